@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
+from cartolake.llm.bpe import bpe_digests
 from cartolake.llm.exact_dedup import exact_dedup
+from cartolake.llm.packing import pack_documents
 from cartolake.llm.quality_rules import quality_rules
-
-WORDS = "[^\\x20\\x09-\\x0D]+"
-
+from cartolake.llm.token_counts import token_counts
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
@@ -26,9 +26,24 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(documents(spark, sf_dir))
 
 
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op7_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_digests(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op8_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op3_exact_dedup": op3_exact_dedup,
+    "op4_token_counts": op4_token_counts,
+    "op7_bpe_round_trip": op7_bpe_round_trip,
+    "op8_pack_sequences": op8_pack_sequences,
 }
 
 #: Lower-casing A-Z only, as DuckDB's lower() also changes other letters.
