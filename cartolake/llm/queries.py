@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from cartolake.llm.bpe import bpe_digests
 from cartolake.llm.exact_dedup import exact_dedup
+from cartolake.llm.minhash import near_duplicates
 from cartolake.llm.packing import pack_documents
 from cartolake.llm.quality_rules import quality_rules
 from cartolake.llm.token_counts import token_counts
@@ -30,6 +31,10 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(documents(spark, sf_dir))
+
+
 def op7_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digests(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -42,6 +47,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_token_counts": op4_token_counts,
+    "op5_minhash_near_dedup": op5_minhash_near_dedup,
     "op7_bpe_round_trip": op7_bpe_round_trip,
     "op8_pack_sequences": op8_pack_sequences,
 }
