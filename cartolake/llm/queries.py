@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from cartolake.llm.bpe import bpe_digests
 from cartolake.llm.exact_dedup import exact_dedup
 from cartolake.llm.minhash import near_duplicates
 from cartolake.llm.packing import pack_documents
 from cartolake.llm.quality_rules import quality_rules
+from cartolake.llm.rindex import remove_repeats
 from cartolake.llm.token_counts import token_counts
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,6 +37,11 @@ def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir))
 
 
+def op6_run_length_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = remove_repeats(documents(spark, sf_dir))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op7_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digests(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -48,6 +55,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_exact_dedup": op3_exact_dedup,
     "op4_token_counts": op4_token_counts,
     "op5_minhash_near_dedup": op5_minhash_near_dedup,
+    "op6_run_length_index": op6_run_length_index,
     "op7_bpe_round_trip": op7_bpe_round_trip,
     "op8_pack_sequences": op8_pack_sequences,
 }
