@@ -29,6 +29,11 @@ def normal_bytes(text: bytes) -> bytes:
     return text.translate(_LOWER)
 
 
+def locator() -> F.Column:
+    """Where a row's content is: its file and its row there."""
+    return F.concat_ws("#", "_metadata.file_path", "_metadata.row_index")
+
+
 def digests(docs: DataFrame) -> DataFrame:
     """(doc_id, text_sha256, row): SHA-256 of each normalised text; null counts as empty. ``row`` locates the content."""
 
@@ -36,7 +41,7 @@ def digests(docs: DataFrame) -> DataFrame:
         sums = [hashlib.sha256(normal_bytes(t)).hexdigest() for t in as_bytes(part.column("text")).to_pylist()]
         return [part.column("doc_id"), pa.array(sums, pa.string()), part.column("row")]
 
-    rows = docs.select("doc_id", "text", F.concat_ws("#", "_metadata.file_path", "_metadata.row_index").alias("row"))
+    rows = docs.select("doc_id", "text", locator().alias("row"))
     return mapped(rows, "text", "doc_id long, text_sha256 string, row string", ["doc_id", "text_sha256", "row"], make)
 
 
@@ -74,8 +79,8 @@ def byte_classes(docs: DataFrame, hits: DataFrame) -> DataFrame:
     return full.groupBy("text_sha256", "body").agg(F.max(F.struct("doc_id", "row")).alias("stays"), F.count(F.lit(1)).alias("n"))
 
 
-def exact_dedup(docs: DataFrame) -> DataFrame:
-    """Per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256.
+def exact_dedup(docs: DataFrame, with_row: bool = False) -> DataFrame:
+    """Per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256, and its locator ``with_row``.
 
     ``docs`` must be read from files (the locator is file and row). Texts are equal if identical after lower-casing A-Z;
     the largest doc_id stays, and of rows that repeat that doc_id the last locator, so exactly one row of a group is kept.
@@ -85,7 +90,7 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
     seen = stored(digests(docs), "digests")
     path = seen.inputFiles()[0].rsplit("/", 1)[0] if seen.inputFiles() else None
     if path is None:
-        return spark.createDataFrame([], "doc_id long, keep_id long, group_size long, kept boolean, text_sha256 string")
+        return spark.createDataFrame([], "doc_id long, keep_id long, group_size long, kept boolean, text_sha256 string" + ", row string" * with_row)
     state = stored(stream_state(spark, path), "dedup-held")
     hits = seen.join(state.where("group_size > 1").select("text_sha256"), "text_sha256", "left_semi")
     classes = byte_classes(docs, hits)
@@ -96,6 +101,7 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
     return out.select(
         "doc_id", "keep_id", "group_size",
         (F.col("doc_id").eqNullSafe(F.col("keep_id")) & F.col("row").eqNullSafe(F.col("keep_row"))).alias("kept"), "text_sha256",
+        *["row"] * with_row,
     )
 
 
@@ -103,7 +109,7 @@ def _split(docs: DataFrame, seen: DataFrame, out: DataFrame, clashes: DataFrame)
     """Groups of digests that several different texts share, told apart by their bytes."""
     bad = seen.join(clashes.select("text_sha256"), "text_sha256", "left_semi")
     body = F.translate(F.coalesce("text", F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    texts = docs.select(F.concat_ws("#", "_metadata.file_path", "_metadata.row_index").alias("row"), body.cast("binary").alias("body")).join(bad, "row")
+    texts = docs.select(locator().alias("row"), body.cast("binary").alias("body")).join(bad, "row")
     classes = texts.groupBy("text_sha256", "body").agg(F.max(F.struct("doc_id", "row")).alias("stays"), F.count(F.lit(1)).alias("group_size"))
     again = texts.join(classes, ["text_sha256", "body"]).select(
         "text_sha256", "doc_id", "row", F.col("stays.doc_id").alias("keep_id"), F.col("stays.row").alias("keep_row"), "group_size"

@@ -83,21 +83,44 @@ def rules() -> dict[str, F.Column]:
     }
 
 
+def _pattern() -> F.Column:
+    return F.concat_ws(",", *[v.cast("string") for v in rules().values()])
+
+
+def posteriors(found: DataFrame) -> F.Column:
+    """The posterior of each row of ``found`` (measures), as an expression over its columns; 0 where the base fails.
+
+    Votes of all rows are counted by pattern (at most three to the number of rules, so the driver's share is bounded), and
+    expectation-maximisation runs on those counts.
+    """
+    seen = found.where(~base_failed()).groupBy(_pattern().alias("pattern")).count().collect()
+    votes = np.array([[int(x) for x in r["pattern"].split(",")] for r in seen], dtype=int).reshape(-1, len(rules()))
+    fitted = fit_votes(votes, np.array([r["count"] for r in seen], dtype=float))
+    pairs = [F.lit(x) for r, p in zip(seen, fitted["posterior"], strict=True) for x in (r["pattern"], float(p))]
+    look_up = F.create_map(*pairs) if pairs else F.lit(None).cast("map<string,double>")
+    return F.when(base_failed(), 0.0).otherwise(F.coalesce(F.element_at(look_up, _pattern()), F.lit(0.0)))
+
+
 def quality_rules(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     """Per row of ``docs``: doc_id, the columns of MEASURES, base_failed, quality (posterior), kept.
 
-    The rules' accuracies come from all rows: votes are counted by pattern (at most three to the number of rules, so the
-    driver's share is bounded), expectation-maximisation runs on those counts, and each row gets its pattern's posterior.
     kept is false where base_failed, else whether the posterior reaches ``threshold``. Null and empty texts have no words
     and fail the base; repeated rows each get a row; no rows give none; other columns of ``docs`` are ignored.
     """
     found = stored(measures(docs), "measures")
-    names = list(rules())
-    pattern = F.concat_ws(",", *[v.cast("string") for v in rules().values()])
-    seen = found.where(~base_failed()).groupBy(pattern.alias("pattern")).count().collect()
-    votes = np.array([[int(x) for x in r["pattern"].split(",")] for r in seen], dtype=int).reshape(-1, len(names))
-    fitted = fit_votes(votes, np.array([r["count"] for r in seen], dtype=float))
-    posterior = {r["pattern"]: float(p) for r, p in zip(seen, fitted["posterior"], strict=True)}
-    look_up = F.create_map(*[F.lit(x) for kv in posterior.items() for x in kv]) if posterior else F.lit(None).cast("map<string,double>")
-    quality = F.when(base_failed(), 0.0).otherwise(F.coalesce(F.element_at(look_up, pattern), F.lit(0.0)))
-    return found.withColumns({"base_failed": base_failed(), "quality": quality}).withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= threshold))
+    out = found.withColumns({"base_failed": base_failed(), "quality": posteriors(found)})
+    return out.withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= threshold))
+
+
+def accepted(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` that ``quality_rules`` keeps, with their columns.
+
+    The measures are taken again beside each row, which costs less than bringing verdicts to the texts by a shuffle.
+    """
+    quality = posteriors(stored(measures(docs), "measures"))
+    extra = [c for c in MEASURES if c not in docs.columns]
+    if len(extra) < len(MEASURES):
+        raise ValueError(f"columns are named as measures: {sorted(set(MEASURES) - set(extra))}")
+    schema = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes) + ", " + ", ".join(f"{c} long" for c in MEASURES)
+    both = mapped(docs, "text", schema, [*docs.columns, *MEASURES], lambda part: [*part.columns, *measure(part.column("text"))])
+    return both.where(~base_failed() & (quality >= threshold)).select(docs.columns)

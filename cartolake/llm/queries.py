@@ -10,8 +10,11 @@ from pyspark.sql import functions as F
 
 from cartolake.llm.bpe import bpe_digests
 from cartolake.llm.exact_dedup import exact_dedup
+from cartolake.llm.langid import fit, identify
 from cartolake.llm.minhash import near_duplicates
 from cartolake.llm.packing import pack_documents
+from cartolake.llm.pii import replace_entities
+from cartolake.llm.quality_classifier import classify_quality
 from cartolake.llm.quality_rules import quality_rules
 from cartolake.llm.rindex import remove_repeats
 from cartolake.llm.token_counts import token_counts
@@ -25,6 +28,10 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "quality")
 
 
+def op2_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return replace_entities(documents(spark, sf_dir)).select("doc_id", "text", "n_entities")
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(documents(spark, sf_dir))
 
@@ -50,14 +57,28 @@ def op8_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify_quality(documents(spark, sf_dir))
+
+
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    third = F.crc32(F.col("doc_id").cast("string")) % 3
+    out = identify(docs, fit(docs.where(third != 1)))
+    return out.select("doc_id", (third == 1).alias("held_out"), "lang_pred", "score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_pii_surrogates": op2_pii_surrogates,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_token_counts": op4_token_counts,
     "op5_minhash_near_dedup": op5_minhash_near_dedup,
     "op6_run_length_index": op6_run_length_index,
     "op7_bpe_round_trip": op7_bpe_round_trip,
     "op8_pack_sequences": op8_pack_sequences,
+    "op9_quality_classifier": op9_quality_classifier,
+    "op10_language_id": op10_language_id,
 }
 
 #: Lower-casing A-Z only, as DuckDB's lower() also changes other letters.

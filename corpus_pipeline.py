@@ -1,12 +1,63 @@
-"""A training-corpus pipeline: quality rules, exact and near deduplication, surrogates for personal data, packing."""
+"""A training-corpus pipeline: quality rules, exact and near deduplication, surrogates for personal data, packing.
+
+Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; its output is written as Parquet and read
+again. All but the last return the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from cartolake.llm.exact_dedup import exact_dedup, locator
+from cartolake.llm.minhash import near_duplicates
+from cartolake.llm.packing import pack_documents
+from cartolake.llm.pii import replace_entities
+from cartolake.llm.quality_rules import accepted
+from cartolake.llm.shared import stored
+
+
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules accept."""
+    return accepted(docs)
+
+
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of equal texts."""
+    kept = stored(exact_dedup(docs, with_row=True).where("kept"), "kept").select("row")
+    return docs.withColumn("row", locator()).join(kept, "row", "left_semi").select(docs.columns)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component of near duplicates."""
+    kept = stored(near_duplicates(docs).where("kept").select("doc_id").distinct(), "kept")
+    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
+
+
+def mask_entities(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Surrogates in place of personal data; n_chars follows the new text."""
+    return replace_entities(docs).drop("n_entities").withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of packed token sequences."""
+    return pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
 
-STAGES: list = []
+STAGES = [
+    ("quality_rules", keep_quality),
+    ("exact_dedup", drop_copies),
+    ("near_dedup", drop_near_copies),
+    ("pii_surrogates", mask_entities),
+    ("packing", pack),
+]
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """All stages over ``documents``; every stage but the last is written and read again."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
