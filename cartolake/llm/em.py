@@ -5,37 +5,37 @@ from __future__ import annotations
 import numpy as np
 
 
-def fit_votes(votes: np.ndarray, counts: np.ndarray, prior: float = 0.7, accuracy: float = 0.8, rounds: int = 100) -> dict:
+def fit_votes(votes: np.ndarray, counts: np.ndarray, prior: float = 0.8, passes_good: float = 0.98, catches_bad: float = 0.35, rounds: int = 200) -> dict:
     """``votes``: distinct vote patterns (-1 bad, 0 abstains, 1 good), a column per rule; ``counts``: rows per pattern.
 
-    Given the class, rules are taken as independent. Each rule has an accuracy per class, with pseudo-counts that hold it
-    near ``accuracy``; abstentions say nothing. Returns posterior (of good, per pattern), accuracy (rules x 2), prior.
-    No patterns give an empty posterior and the starting values.
+    Given the class, rules are taken as independent; abstentions say nothing. A rule has two accuracies: how often it
+    votes good on good texts, and how often it votes bad on bad ones. The second starts low and may stay low, as a rule
+    catches one kind of bad text and lets the others pass. Pseudo-counts hold both near their starting values, and bounds
+    keep every rule better than chance. Returns posterior (of good, per pattern), accuracy (rules x 2), prior. No patterns
+    give an empty posterior and the starting values.
     """
     rules = votes.shape[1] if votes.ndim == 2 else 0
-    right = np.full((rules, 2), accuracy)  # columns: P(vote good | good), P(vote bad | bad)
+    right = np.tile([passes_good, catches_bad], (rules, 1))
     share = prior
     posterior = np.full(len(votes), prior)
     total = counts.sum()
     if not total:
         return {"posterior": posterior, "accuracy": right, "prior": share}
     good, bad = (votes == 1).astype(float), (votes == -1).astype(float)
-    weight = 0.02 * total + 1
+    weight = 0.01 * total + 1
     for _ in range(rounds):
-        with np.errstate(divide="ignore"):
-            a = np.log(share) + good @ np.log(right[:, 0]) + bad @ np.log1p(-right[:, 0])
-            b = np.log1p(-share) + good @ np.log1p(-right[:, 1]) + bad @ np.log(right[:, 1])
+        a = np.log(share) + good @ np.log(right[:, 0]) + bad @ np.log1p(-right[:, 0])
+        b = np.log1p(-share) + good @ np.log1p(-right[:, 1]) + bad @ np.log(right[:, 1])
         posterior = 1 / (1 + np.exp(np.clip(b - a, -700, 700)))
         p, q = counts * posterior, counts * (1 - posterior)
-        share = float(np.clip((p.sum() + prior * weight) / (total + weight), 0.02, 0.98))
+        share = float(np.clip((p.sum() + prior * weight) / (total + weight), 0.05, 0.98))
         new = np.stack(
             [
-                (p @ good + accuracy * weight) / (p @ (good + bad) + weight),
-                (q @ bad + accuracy * weight) / (q @ (good + bad) + weight),
+                np.clip((p @ good + passes_good * weight) / (p @ (good + bad) + weight), 0.9, 0.999),
+                np.clip((q @ bad + catches_bad * weight) / (q @ (good + bad) + weight), 0.2, 0.95),
             ],
             axis=1,
         )
-        new = np.clip(new, 0.55, 0.995)  # a rule is better than chance: this keeps the classes from changing places
         done, right = np.abs(new - right).max() < 1e-7, new
         if done:
             break

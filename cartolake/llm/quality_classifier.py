@@ -22,8 +22,9 @@ def labellers() -> dict[str, Column]:
     c = F.col
     vote = lambda good, bad: F.when(bad, -1).when(good, 1).otherwise(0)
     return rules() | {
-        "clean_lines": vote((c("n_symbols") == 0) & (c("n_dup_lines") == 0), 10 * c("n_symbols") >= 5 * c("n_words")),
-        "prose": vote((30 * c("n_stops") >= c("n_words")) & (10 * c("n_repeat_words") <= c("n_words")), 2 * c("n_repeat_words") >= c("n_words")),
+        "clean": vote((c("n_symbols") == 0) & (c("n_dup_lines") == 0), 100 * c("n_symbols") >= 8 * c("word_chars")),
+        "loops": vote(20 * c("n_repeat_words") <= c("n_words"), (2 * c("n_repeat_words") >= c("n_words")) & (c("n_words") > 20)),
+        "empty": vote(c("n_words") >= 5, c("n_words") == 0),
     }
 
 

@@ -13,10 +13,13 @@ from cartolake.llm.shared import mapped, stored
 
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[[ord(c) for c in "#*$%&|<>"]] = True
-MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_stops"]
+MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_stops", "n_letters"]
 #: Bytes that end a sentence.
 _STOP = np.zeros(256, bool)
 _STOP[[ord(c) for c in ".!?:;"]] = True
+#: Bytes that begin a letter or digit: ASCII ones, and the lead bytes of all other characters.
+_LETTER = np.zeros(256, bool)
+_LETTER[[*range(48, 58), *range(65, 91), *range(97, 123), *range(0xC2, 0xF5)]] = True
 
 
 def measure(texts: pa.Array) -> list[np.ndarray]:
@@ -32,6 +35,7 @@ def measure(texts: pa.Array) -> list[np.ndarray]:
     word_chars = joined.per_text(inside & ((data & 0xC0) != 0x80))
     n_symbols = joined.per_text(_SYMBOL[data])
     n_stops = joined.per_text(_STOP[data])
+    n_letters = joined.per_text(_LETTER[data])
 
     full = at[:-1][np.diff(at) > 0]
     begins = np.unique(np.concatenate([full, np.flatnonzero(data == 10) + 1]))
@@ -53,7 +57,7 @@ def measure(texts: pa.Array) -> list[np.ndarray]:
         covered[twice + i] = True
     sums = np.concatenate([[0], np.cumsum(covered)])
     n_repeat = sums[first[1:]] - sums[first[:-1]]
-    return [np.asarray(x, np.int64) for x in (n_words, word_chars, n_symbols, n_dup_lines, n_repeat, n_lines, n_stops)]
+    return [np.asarray(x, np.int64) for x in (n_words, word_chars, n_symbols, n_dup_lines, n_repeat, n_lines, n_stops, n_letters)]
 
 
 def measures(docs: DataFrame) -> DataFrame:
@@ -77,7 +81,8 @@ def rules() -> dict[str, F.Column]:
         "length": _vote(c("n_words") >= 80, c("n_words") < 50),
         "word_size": _vote((c("word_chars") >= 3 * c("n_words")) & (c("word_chars") <= 9 * c("n_words")), (c("word_chars") < 2 * c("n_words")) | (c("word_chars") > 14 * c("n_words"))),
         "symbols": _vote(100 * c("n_symbols") <= 2 * c("n_words"), 100 * c("n_symbols") >= 20 * c("n_words")),
-        "same_lines": _vote((c("n_lines") >= 2) & (c("n_dup_lines") == 0), 10 * c("n_dup_lines") >= 3 * c("n_lines")),
+        "letters": _vote(100 * c("n_letters") >= 90 * c("word_chars"), 100 * c("n_letters") < 86 * c("word_chars")),
+        "same_lines": _vote((c("n_lines") >= 2) & (c("n_dup_lines") == 0), (c("n_lines") >= 4) & (2 * c("n_dup_lines") >= c("n_lines"))),
         "repeats": _vote(100 * c("n_repeat_words") <= 10 * c("n_words"), 100 * c("n_repeat_words") >= 30 * c("n_words")),
         "sentences": _vote((40 * c("n_stops") >= c("n_words")) & (2 * c("n_stops") <= c("n_words")), (150 * c("n_stops") < c("n_words")) | (c("n_stops") > c("n_words"))),
     }
