@@ -11,17 +11,40 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+from array import array
 
 import numpy as np
 import pyarrow as pa
+import tiktoken
 from pyspark.sql import DataFrame
 from tokenizers import Tokenizer, models
 
 from cartolake.llm.shared import mapped, text_or_empty
 
 LEAF_CHARS = 2048
+#: Fixed value: how byte-level tokenizers of this family split text before merging.
+SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 _CUT = re.compile(r"(?<=\S)(?= )")
 _ODD_SPACE = re.compile(r"^ |\s ")
+_ODD_ASCII = [c + " " for c in " \t\n\v\f\r\x1c\x1d\x1e\x1f"]
+
+
+def _odd(text: str) -> bool:
+    """Whether some space starts the text or follows white space."""
+    if text.isascii():
+        return text.startswith(" ") or any(x in text for x in _ODD_ASCII)
+    return _ODD_SPACE.search(text) is not None
+
+
+class _Pieces(dict):
+    """Ids of pieces with their leading text, encoded when first asked for."""
+
+    def __init__(self, bpe: ByteBpe, lead: str):
+        self.bpe, self.lead = bpe, lead
+
+    def __missing__(self, key: str) -> bytes:
+        self[key] = ids = self.bpe._piece(self.lead + key)
+        return ids
 
 
 class TreeEncoder:
@@ -67,7 +90,7 @@ class TreeEncoder:
 class ByteBpe:
     """Encodes texts to little-endian unsigned 32-bit ids as the library does with ``add_special_tokens=False``."""
 
-    def __init__(self, path: str, leaf: int = LEAF_CHARS, keep: int = 400_000):
+    def __init__(self, path: str, leaf: int = LEAF_CHARS, keep: int = 800_000):
         config = json.load(open(path, encoding="utf-8"))
         if config.get("normalizer") or (config.get("pre_tokenizer") or {}).get("type") != "ByteLevel":
             raise ValueError("a byte-level tokenizer without a normalizer is expected")
@@ -81,12 +104,21 @@ class ByteBpe:
         self._added_cut = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if added else None
         self.tree = TreeEncoder(config, leaf)
         self.leaf, self.keep = leaf, keep
-        self.spaced: dict[str, bytes] = {}  # ids of " " + key
-        self.first: dict[str, bytes] = {}
+        self.spaced = _Pieces(self, " ")
+        self.first = _Pieces(self, "")
         letters = _byte_letters()
         self.bytes_of = {i: bytes(letters[c] for c in t) for t, i in config["model"]["vocab"].items()}
+        self.quick = self._quick(config["model"])
         self.bytes_of |= {i: t.encode() for t, i in self.added.items()}
 
+    def _quick(self, model: dict) -> tiktoken.Encoding | None:
+        """The same merges in a faster encoder, for vocabularies whose ids rise in the order of their merges."""
+        ranked = {b: i for i, b in self.bytes_of.items() if self.added.get(b.decode("utf-8", "replace")) != i}
+        made = [model["vocab"]["".join(m.split(" ") if isinstance(m, str) else m)] for m in model["merges"]]
+        if made != sorted(made) or len(made) + 256 != len(ranked) or max(ranked.values()) >= len(ranked):
+            return None
+        return tiktoken.Encoding("merges", pat_str=SPLIT, mergeable_ranks=ranked, special_tokens={})
+
     def _long(self, text: str) -> bytes:
         """A piece that holds long unsplit text."""
         ids: list[int] = []
@@ -98,39 +130,28 @@ class ByteBpe:
                 ids += self.tree.encode(token)
         return np.array(ids, "<u4").tobytes()
 
-    def _learn(self, cache: dict[str, bytes], keys: list[str], lead: str) -> None:
-        short = [k for k in keys if len(k) <= self.leaf]
-        for k, e in zip(short, self.tokenizer.encode_batch_fast([lead + k for k in short], add_special_tokens=False), strict=True):
-            cache[k] = np.array(e.ids, "<u4").tobytes()
-        for k in keys:
-            if len(k) > self.leaf:
-                cache[k] = self._long(lead + k)
-
-    def pieces(self, texts: list[str]) -> list[tuple[str, list[str]]]:
-        """Each text's first piece, and the others without their leading space, all known to the caches afterwards."""
-        if len(self.spaced) > self.keep:
-            self.spaced.clear()
-        if len(self.first) > self.keep:
-            self.first.clear()
-        out = []
+    def _piece(self, text: str) -> bytes:
+        """Ids of one piece."""
+        if len(text) > self.leaf:
+            return self._long(text)
+        if self.quick and not any(a in text for a in self.added):
+            return array("I", self.quick.encode_ordinary(text)).tobytes()
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        for cache in (self.spaced, self.first):
+            if len(cache) > self.keep:
+                cache.clear()
+        spaced, first, out = self.spaced.__getitem__, self.first, []
         for text in texts:
-            if _ODD_SPACE.search(text):
+            if _odd(text):
                 head, *rest = _CUT.split(text)
-                out.append((head, [p[1:] for p in rest]))
+                out.append(first[head] + b"".join([spaced(p[1:]) for p in rest]))
             else:
                 head, *rest = text.split(" ")
-                out.append((head, rest))
-        need: set[str] = set()
-        for _, rest in out:
-            need.update(rest)
-        self._learn(self.spaced, [k for k in need if k not in self.spaced], " ")
-        self._learn(self.first, list({h for h, _ in out if h not in self.first}), "")
+                out.append(first[head] + b"".join(map(spaced, rest)))
         return out
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        look = self.spaced.__getitem__
-        return [self.first[head] + b"".join(map(look, rest)) for head, rest in self.pieces(texts)]
-
     def decode(self, ids: list[int]) -> str:
         """As the library's ``decode(ids, skip_special_tokens=False)``: bytes of the tokens, read as UTF-8."""
         return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
