@@ -171,4 +171,4 @@ def get_revision(revisions: DataFrame, skill_id: object, version: int) -> DataFr
 
 def normalise_triggers(triggers: Column) -> Column:
     """Trimmed, not blank, at most 200 characters, first-seen ignoring case."""
-    return distinct_ci(F.transform(F.filter(F.transform(triggers, F.trim), lambda t: t != ""), lambda t: F.substring(t, 1, 200)))
+    return distinct_ci(F.transform(F.filter(F.transform(triggers, lambda t: F.trim(t)), lambda t: t != ""), lambda t: F.substring(t, 1, 200)))

@@ -274,8 +274,8 @@ def apply_services(found: DataFrame) -> DataFrame:
 def apply_event_topology(found: DataFrame) -> DataFrame:
     """Edges of (workspace_id, event, publishers, consumers)."""
     tag = lambda c, label: F.transform(F.coalesce(c, F.array().cast("array<string>")), lambda s: F.struct(s.alias("service"), F.lit(label).alias("label")))
-    rows = found.select("workspace_id", "event", F.explode(F.concat(tag(F.col("publishers"), "PUBLISHES"), tag(F.col("consumers"), "CONSUMES"))).alias("x"))
-    return _edges(rows, F.col("x.label"), node_id("Service", F.col("x.service")), node_id("Event", F.col("event"), F.lit(""))).distinct()
+    rows = found.select("workspace_id", "event", F.explode(F.concat(tag(F.col("publishers"), "PUBLISHES"), tag(F.col("consumers"), "CONSUMES"))).alias("x")).distinct()
+    return _edges(rows, F.col("x.label"), node_id("Service", F.col("x.service")), node_id("Event", F.col("event"), F.lit("")))
 
 
 def apply_conventions(found: DataFrame) -> DataFrame:

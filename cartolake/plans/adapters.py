@@ -110,6 +110,12 @@ def build_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]
     return merged, upsert_edges(spark.createDataFrame([], EDGES), edges, merged, now)
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder; a temporary one only where no folder is set."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    return f"{base.rstrip('/')}/cartolake/{name}-{uuid.uuid4().hex}"
+
+
 _graphs: dict[tuple[str, str], str] = {}
 
 
@@ -117,8 +123,7 @@ def graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """The graph's tables, written once per application and partitioned by tenant and label, as reads expect them."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _graphs:
-        base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        path = f"{base.rstrip('/')}/cartolake/graph-{uuid.uuid4().hex}"
+        path = scratch(spark, "graph")
         nodes, edges = project_all(parsed(spark, sf_dir))
         now = F.lit(0).cast("timestamp")
         upsert_nodes(spark.createDataFrame([], NODES), nodes, now).write.partitionBy("workspace_id", "label").parquet(f"{path}/nodes")
