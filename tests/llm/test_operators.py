@@ -1,0 +1,310 @@
+"""Training-data operators against brute force on small fixtures: nulls, empty and long texts, ties, repeated rows."""
+
+import collections
+import hashlib
+import random
+import re
+import zlib
+
+import numpy as np
+import public_tokenizers as P
+import pyarrow as pa
+import pytest
+import sentencepiece
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+from cartolake.llm import exact_dedup as exact
+from cartolake.llm import minhash, packing, pii, rindex
+from cartolake.llm.bpe import ByteBpe, bpe_digests, bpe_round_trip
+from cartolake.llm.em import fit_votes
+from cartolake.llm.langid import fit, identify
+from cartolake.llm.quality_classifier import classify_quality
+from cartolake.llm.quality_rules import accepted, measure, quality_rules
+from cartolake.llm.token_counts import token_counts
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+DOC = "doc_id long, text string, lang string, source string, n_chars long"
+BPE, PIECES = P.path("byte_bpe_50k.json"), P.path("piece_bpe_32k.model")
+
+
+def corpus(spark, texts, tmp_path=None, extra=True):
+    """Documents, with columns whose names the operators use inside; from files if a folder is given."""
+    rows = [(i, t, "en", "s", len(t or "")) for i, t in texts]
+    df = spark.createDataFrame(rows, DOC)
+    if extra:
+        df = df.withColumns({c: F.lit(None).cast("string") for c in ("row", "kept", "v", "hash", "keep_id", "body", "own", "value", "pattern")})
+    if tmp_path is not None:
+        df.repartition(3).write.parquet(str(tmp_path / "docs"))
+        df = spark.read.parquet(str(tmp_path / "docs"))
+    return df
+
+
+def words(n, seed, vocabulary=400):
+    r = random.Random(seed)
+    return " ".join("".join(r.choice("abcdeé") for _ in range(r.randint(1, 7))) + str(r.randint(0, vocabulary)) for _ in range(n))
+
+
+EDGES = [(0, None), (1, ""), (2, " \n\t "), (3, "a"), (4, "<|endoftext|> x"), (5, "中文 ▁ a  b\n"), (6, "word " * 3000), (7, "x" * 20000)]
+
+
+# --- 1: quality rules -----------------------------------------------------------------------------------------------
+def plain_measures(text):
+    w = WORD.findall(text or "")
+    lines = [x for x in (text or "").split("\n") if WORD.search(x)]
+    triples = [tuple(w[i : i + 3]) for i in range(len(w) - 2)]
+    n = collections.Counter(triples)
+    covered = {i + k for i, t in enumerate(triples) if n[t] > 1 for k in range(3)}
+    return [len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in text or ""), len(lines) - len(set(lines)), len(covered)]
+
+
+def test_measures():
+    texts = [t for _, t in EDGES] + [words(200, i, 3) + "\n" + words(5, 1) + "\n\n" + words(5, 1) + " #$" for i in range(20)] + ["a\n", "\na\na", "é é é é"]
+    got = np.stack(measure(pa.array(texts, pa.string()))[:5], axis=1).tolist()
+    assert got == [plain_measures(t) for t in texts]
+
+
+def test_votes_find_bad_texts(spark):
+    good = [(i, ". ".join(words(12, 100 * i + k, 9000) for k in range(12)) + ".") for i in range(60)]
+    bad = [(100 + i, " ".join(w + "&&&" for w in words(150, i).split())) for i in range(12)]
+    docs = corpus(spark, good + bad + EDGES, extra=False)
+    out = {r.doc_id: r for r in quality_rules(docs).collect() if r.doc_id >= 0}
+    assert all(out[i].kept for i, _ in good[8:]) and not any(out[i].kept for i, _ in bad)
+    kept = accepted(docs)
+    assert kept.columns == docs.columns and kept.count() == sum(r.kept for r in quality_rules(docs).collect())
+    assert quality_rules(docs.limit(0)).count() == 0
+
+
+def test_em_separates():
+    votes = np.array([[1, 1, 1], [-1, -1, 1], [0, 0, 0]])
+    p = fit_votes(votes, np.array([90.0, 10.0, 5.0]))["posterior"]
+    assert p[0] > 0.9 and p[1] < 0.1
+    assert len(fit_votes(np.zeros((0, 3)), np.zeros(0))["posterior"]) == 0
+
+
+# --- 2: surrogates --------------------------------------------------------------------------------------------------
+def test_surrogates(spark):
+    texts = [(0, None), (1, ""), (2, "Mail A.b@x.org, a.B@X.ORG; card 4111 1111 1111 1111, ip 10.2.3.4."), (3, "a.b@x.org +1 (743) 555-3824 and +17435553824"), (4, "Mrs. Anna Smith, Mr. Anna Smith"), (5, 'token = "04dbebab91ab85687d33eeaaf9ac699e1188f962"')]
+    df = corpus(spark, texts)
+    out = {r.doc_id: r for r in pii.replace_entities(df).collect()}
+    assert out[0].text is None and out[1].text == "" and out[0].n_entities == 0
+    mails = re.findall(r"\S+@\S+?\.example", out[2].text + " " + out[3].text)
+    assert len(mails) == 3 and len(set(mails)) == 1
+    digits = [int(c) for c in re.search(r"card (\d{4} \d{4} \d{4} \d{4}),", out[2].text)[1].replace(" ", "")]
+    assert sum(d if i % 2 else d * 2 - 9 * (d > 4) for i, d in enumerate(digits)) % 10 == 0
+    assert re.search(r"ip (\d{1,3}\.){3}\d{1,3}\.$", out[2].text) and "10.2.3.4" not in out[2].text
+    spaced, plain = re.search(r"(\+1 \(\d{3}\) \d{3}-\d{4}) and (\+\d+)$", out[3].text).groups()
+    assert re.sub(r"\D", "", spaced) == re.sub(r"\D", "", plain) != "17435553824"
+    woman, man = out[4].text.split(", ")
+    assert woman.split()[1] in pii.GIVEN["latin", "f"] and man.split()[1] in pii.GIVEN["latin", "m"]
+    assert re.fullmatch(r'token = "[0-9a-f]{40}"', out[5].text)
+    assert pii.replace_entities(df.limit(0)).count() == 0 and pii.replace_entities(df).columns == [*df.columns, "n_entities"]
+
+
+def test_digit_permutation_is_one_to_one(spark):
+    df = spark.range(1000).select(F.lpad(F.col("id").cast("string"), 3, "0").alias("d"))
+    out = df.select("d", pii.permute_digits(F.col("d"), "k", F.lit(0)).alias("m"))
+    assert out.select("m").distinct().count() == 1000 and out.where("length(m) <> 3").count() == 0
+
+
+def test_clashes_are_drawn_again(spark):
+    found = spark.createDataFrame([(f"Mr. A{chr(97 + i % 26)}{chr(97 + i // 26)}x",) for i in range(200)], "value string")
+    redrawn = pii.exceptions(found, "k")
+    assert {r.attempt for r in redrawn.collect()} <= set(range(1, 9))
+
+
+# --- 3: exact duplicates --------------------------------------------------------------------------------------------
+def test_exact(spark, tmp_path):
+    texts = [(1, "Abc"), (2, "aBC"), (3, None), (4, ""), (5, "É"), (6, "é"), (7, "x"), (7, "x")]
+    out = exact.exact_dedup(corpus(spark, texts, tmp_path)).collect()
+    got = sorted((r.doc_id, r.keep_id, r.group_size, r.kept) for r in out)
+    assert got == [(1, 2, 2, False), (2, 2, 2, True), (3, 4, 2, False), (4, 4, 2, True), (5, 5, 1, True), (6, 6, 1, True), (7, 7, 2, False), (7, 7, 2, True)]
+    assert {r.text_sha256 for r in out if r.doc_id < 3} == {hashlib.sha256(b"abc").hexdigest()}
+
+
+def test_exact_empty(spark, tmp_path):
+    corpus(spark, [], extra=False).write.parquet(str(tmp_path / "docs"))
+    assert exact.exact_dedup(spark.read.schema(DOC).parquet(str(tmp_path / "docs"))).count() == 0
+
+
+# --- 4, 7, 8: tokens ------------------------------------------------------------------------------------------------
+def random_texts(n=300):
+    r = random.Random(3)
+    return [(100 + i, "".join(r.choice("ab' \n\t  éß中▁rs<|endoftext|>0.9-A") for _ in range(r.randint(0, 80)))) for i in range(n)]
+
+
+def test_counts(spark):
+    model = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    texts = EDGES + random_texts()
+    got = {r.doc_id: (r.n_bytes, r.n_tokens, r.over_limit) for r in token_counts(corpus(spark, texts), PIECES).collect()}
+    for i, t in texts:
+        n = len(model.encode(t or ""))
+        assert got[i] == (len((t or "").encode()), n, n > 4096)
+    assert token_counts(corpus(spark, []), BPE).count() == 0
+
+
+@pytest.mark.parametrize("leaf", [8, 2048])
+def test_tree_concatenation(leaf):
+    r = random.Random(7)
+    texts = [t or "" for _, t in EDGES + random_texts()] + ["".join(r.choice("etaoinshrdlu") for _ in range(5000)), "中文" * 2000, "don't" * 500]
+    library, own = Tokenizer.from_file(BPE), ByteBpe(BPE, leaf=leaf)
+    for text, raw, e in zip(texts, own.encode(texts), library.encode_batch(texts, add_special_tokens=False), strict=True):
+        assert np.frombuffer(raw, "<u4").tolist() == e.ids
+        assert own.decode(e.ids) == library.decode(e.ids, skip_special_tokens=False) == text
+
+
+def test_round_trip(spark):
+    texts = EDGES + random_texts(50)
+    trip = {r.doc_id: r for r in bpe_round_trip(corpus(spark, texts), BPE).collect()}
+    for r in bpe_digests(corpus(spark, texts), BPE).collect():
+        own = trip[r.doc_id]
+        assert own.decoded == (dict(texts)[r.doc_id] or "") and r.n_tokens == len(own.ids)
+        assert r.ids_sha256 == hashlib.sha256(",".join(map(str, own.ids)).encode()).hexdigest()
+        assert r.decoded_sha256 == hashlib.sha256(own.decoded.encode()).hexdigest()
+
+
+def test_packing(spark):
+    texts = EDGES + [(1000 + i, words(5 + i * 3, i)) for i in range(150)]
+    library = Tokenizer.from_file(BPE)
+    pieces = packing.pack_documents(corpus(spark, texts).coalesce(2), BPE).collect()
+    ids = {i: [*library.encode(t or "", add_special_tokens=False).ids, 1] for i, t in texts}
+    at, in_sequence = collections.defaultdict(list), collections.defaultdict(list)
+    for p in pieces:
+        assert p.doc_tokens == len(ids[p.doc_id])
+        own = np.array(ids[p.doc_id][p.start : p.start + p.length], "<u4")
+        assert p.ids_crc32 == zlib.crc32(own.tobytes())
+        at[p.doc_id].append((p.start, p.length))
+        in_sequence[p.sequence_id].append((p.offset, p.length))
+    for groups, ends in ((at, {i: len(x) for i, x in ids.items()}), (in_sequence, None)):
+        for key, parts in groups.items():
+            place = 0
+            for start, n in sorted(parts):
+                assert start == place and n > 0
+                place += n
+            assert place == ends[key] if ends else place <= 2048 and (place == 2048 or place & (place - 1) == 0)
+
+
+def test_solver_keeps_within_the_histogram():
+    r = np.random.default_rng(1)
+    h = np.bincount(r.integers(1, 2048, 4000), minlength=2049)
+    combos = packing.combinations(h, 2048)
+    n = packing.solve_counts(h, combos)
+    used = np.zeros(2049, int)
+    for c, k in zip(combos, n, strict=True):
+        assert sum(c) == 2048
+        np.add.at(used, list(c), k)
+    assert (used <= h).all() and used.sum() > 0.5 * h.sum()
+
+
+# --- 5: near duplicates ---------------------------------------------------------------------------------------------
+def near_plain(texts, percent=75):
+    sets = {}
+    for i, t in texts:
+        w = WORD.findall((t or "").translate(LOWER))
+        sets[i] = {tuple(w)} if 0 < len(w) < 5 else {tuple(w[k : k + 5]) for k in range(len(w) - 4)}
+    label = {i: i for i in sets}
+
+    def root(i):
+        while label[i] != i:
+            i = label[i]
+        return i
+
+    for a in sets:
+        for b in sets:
+            if a < b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
+                x, y = root(a), root(b)
+                label[max(x, y)] = min(x, y)
+    return {i: (len(s), root(i)) for i, s in sets.items()}
+
+
+def test_near(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "BLOCK", 8)
+    r, texts = random.Random(4), list(EDGES)
+    for family in range(6):
+        base = words(120, family).split()
+        for k in range(12):
+            w = list(base)
+            for _ in range(r.randint(0, 9)):
+                w[r.randrange(len(w))] = f"e{r.randint(0, 10**6)}"
+            texts.append((1000 + 100 * family + k, " ".join(w).upper() if k % 4 == 0 else " ".join(w)))
+    texts += [(5000, "One Two"), (5001, "one two"), (5002, "one two three")]
+    out = {x.doc_id: x for x in minhash.near_duplicates(corpus(spark, texts).repartition(3)).collect()}
+    want = near_plain(texts)
+    assert {i: (x.n_shingles, x.component_id) for i, x in out.items()} == want
+    assert all(x.kept == (i == x.component_id) for i, x in out.items())
+    assert minhash.near_duplicates(corpus(spark, [])).count() == 0
+
+
+def test_long_chain(spark):
+    links = spark.range(40).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+    assert {x.c for x in minhash.components(links).collect()} == {0}
+
+
+# --- 6: repeated passages -------------------------------------------------------------------------------------------
+def repeats_plain(texts, length=100):
+    seen, out = set(), {}
+    for i, t in sorted(texts, key=lambda x: x[0]):
+        b = (t or "").encode()
+        gone = np.zeros(len(b), bool)
+        for k in range(len(b) - length + 1):
+            if b[k : k + length] in seen:
+                gone[k : k + length] = True
+            seen.add(b[k : k + length])
+        spans = int((gone & ~np.concatenate([[False], gone[:-1]])).sum()) if len(b) else 0
+        out[i] = (len(b), int(gone.sum()), spans, bytes(np.frombuffer(b, np.uint8)[~gone]))
+    return out
+
+
+@pytest.mark.parametrize("hot", [rindex.HOT, 2])
+def test_repeats(spark, monkeypatch, hot):
+    monkeypatch.setattr(rindex, "HOT", hot)
+    monkeypatch.setattr(rindex, "INDEX_BYTES", 1 << 14)
+    r = random.Random(5)
+    base = "".join(r.choice("abcdé ") for _ in range(2000))
+    texts = [(i, t) for i, t in EDGES if i < 6] + [(6, "word " * 300)]
+    for i in range(60):
+        parts = []
+        for _ in range(r.randint(0, 4)):
+            k = r.randint(0, 1800)
+            parts.append(base[k : k + r.randint(20, 300)] if r.random() < 0.6 else "xy" * r.randint(1, 120) if r.random() < 0.3 else "".join(r.choice("abcdé ") for _ in range(150)))
+        texts.append((100 + i, "".join(parts)))
+    out = {x.doc_id: (x.n_bytes, x.n_removed, x.n_spans, bytes(x.kept)) for x in rindex.remove_repeats(corpus(spark, texts).repartition(4)).collect()}
+    assert out == repeats_plain(texts)
+
+
+def test_run_length_index():
+    texts = [b"abcabcabcabc", b"abcabc", b"", b"xyz"]
+    index = rindex.RunLengthIndex(texts)
+    suffix = lambda i: (texts[index.text[i]][int(i - index.begin[index.text[i]]) :], index.text[i])
+    assert index.rows.tolist() == sorted(range(index.n), key=suffix)
+    assert len(index.letters) < index.n
+    order = np.arange(index.n)
+    first = index.first_of(order, 3)
+    for i in range(index.n):
+        s = suffix(i)[0]
+        want = min((j for j in range(index.n) if suffix(j)[0][:3] == s[:3] and len(suffix(j)[0]) >= 3), default=-1) if len(s) >= 3 else -1
+        assert first[i] == want
+
+
+# --- 9, 10: classifiers ---------------------------------------------------------------------------------------------
+def test_quality_classifier(spark):
+    good = [(i, ". ".join(words(12, 100 * i + k, 9000) for k in range(8)) + ".") for i in range(80)]
+    bad = [(200 + i, " ".join(w + "&&&" for w in words(120, 7000 + i).split())) for i in range(20)]
+    out = {r.doc_id: r for r in classify_quality(corpus(spark, good + bad + [(900, None), (901, "")])).collect()}
+    right = sum(out[i].kept for i, _ in good) + sum(not out[i].kept for i, _ in bad)
+    assert right >= 95 and out[900].score == 0 and not out[901].kept
+
+
+def test_language_id(spark):
+    made = {"en": "the and of ing tion", "de": "der und sch ung ei", "fr": "le et eau oux é", "es": "el y ción ñ os"}
+    r = random.Random(2)
+    rows = [(i, " ".join("".join(r.choice(made[c].split()) for _ in range(2)) for _ in range(60)), c, "s", 0) for i, c in enumerate(list(made) * 40)]
+    docs = spark.createDataFrame(rows, DOC)
+    model = fit(docs.where("doc_id % 3 <> 1"))
+    out = identify(docs.where("doc_id % 3 = 1").union(spark.createDataFrame([(9001, None, None, "s", 0), (9002, "12 !", None, "s", 0)], DOC)), model)
+    got = {x.doc_id: x for x in out.collect()}
+    held = [x for x in rows if x[0] % 3 == 1]
+    assert sum(got[i].lang_pred == c for i, _, c, *_ in held) >= 0.95 * len(held)
+    assert got[9001].lang_pred == got[9002].lang_pred == "und" and all(0 <= x.score <= 1 for x in got.values())
+    assert {x.lang_pred for x in identify(docs, fit(docs.limit(0))).collect()} == {"und"}
