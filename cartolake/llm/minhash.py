@@ -5,15 +5,17 @@
    posts ordered from rare to frequent each document is posted only under its first ``shared - MATCHES + 1`` shared pairs
    (prefix), and not at all with fewer than MATCHES shared pairs.
 3. Each list links its members to its first one. Lists whose members have then come together in one component are
-   skipped; in the others only members of different components are compared, in blocks, by counting equal coordinates.
+   skipped; in the others only members of different components are compared, in blocks, on a wider sketch of 768
+   coordinates of four bits.
 4. Every link is confirmed on the full shingle sets before it joins components.
 
-A pair at the threshold is missed with a probability of about 5e-5 per pair (64 coordinates, 34 matches, similarity 0.75;
-1e-7 at 0.8); groups of more than two are mostly held together by other links as well.
+A pair at the threshold is missed with a probability of about 6e-5 (64 coordinates, 34 matches, similarity 0.75; 3e-7 at
+0.8); groups of more than two are mostly held together by other links as well.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,10 +27,31 @@ from cartolake.llm.kernel import U64, Joined, in_group, later, mix, owner, windo
 from cartolake.llm.shared import forget, mapped, stored, text_or_empty
 
 COORDINATES = 64
-MATCHES = 34
+SKETCH = 768
 BLOCK = 2048
 _XOR = mix(np.arange(1, COORDINATES + 1, dtype=U64) * U64(0x9E3779B97F4A7C15))
 _ODD = mix(_XOR) | U64(1)
+_XOR32 = (mix(np.arange(1, SKETCH + 1, dtype=U64) * U64(0xC2B2AE3D27D4EB4F)) >> U64(32)).astype(np.uint32)
+_ODD32 = (mix(_XOR32.astype(U64)) >> U64(32)).astype(np.uint32) | np.uint32(1)
+#: How many of a byte's two halves are zero.
+_ZEROS = ((np.arange(256) & 15 == 0).astype(np.uint8) + (np.arange(256) >> 4 == 0)).astype(np.uint8)
+
+
+def matches_needed(percent: int) -> int:
+    """Equal coordinates that two sets at the threshold fall short of with a probability of about 5e-5."""
+    s = percent / 100
+    return max(1, math.ceil(COORDINATES * s - 4.06 * math.sqrt(COORDINATES * s * (1 - s))))
+
+
+def sketch_needed(percent: int) -> int:
+    """The same for the sketch, whose coordinates agree by chance once in 16, with about 1e-5."""
+    s = percent / 100 + (1 - percent / 100) / 16
+    return max(0, math.floor(SKETCH * s - 4.2 * math.sqrt(SKETCH * s * (1 - s))))
+
+
+def near(x: np.ndarray, y: np.ndarray, percent: int) -> np.ndarray:
+    """Which pairs of sketches allow the similarity."""
+    return _ZEROS[x ^ y].sum(axis=1, dtype=np.int64) >= sketch_needed(percent)
 
 
 def shingle_sets(texts: pa.Array, k: int = 5) -> tuple[np.ndarray, np.ndarray]:
@@ -65,8 +88,18 @@ def signatures(hashes: np.ndarray, at: np.ndarray) -> np.ndarray:
     return out
 
 
+def sketches(hashes: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Four bits of the least hash under each of SKETCH further permutations, two to a byte."""
+    short, out = (hashes >> U64(20)).astype(np.uint32), np.empty((len(at) - 1, SKETCH), np.uint8)
+    for i in range(SKETCH):
+        least = np.minimum.reduceat((short ^ _XOR32[i]) * _ODD32[i], at[:-1])
+        out[:, i] = (least * np.uint32(0x9E3779B1)) >> np.uint32(28)
+    return out[:, ::2] | (out[:, 1::2] << 4)
+
+
 def features(docs: DataFrame, k: int = 5) -> DataFrame:
-    """(doc_id, n_shingles, set_a, set_b, signature): the set is known by two 64-bit sums; no signature without shingles."""
+    """(doc_id, n_shingles, set_a, set_b, signature, sketch): the set is known by two 64-bit sums; without shingles there
+    is no signature."""
 
     def make(part: pa.RecordBatch) -> list:
         hashes, at = shingle_sets(part.column("text"), k)
@@ -74,14 +107,14 @@ def features(docs: DataFrame, k: int = 5) -> DataFrame:
         has = size > 0
         sums = [np.concatenate([[U64(0)], np.cumsum(mix(hashes + U64(salt)))]) for salt in (1, 2)]
         keys = [(s[at[1:]] - s[at[:-1]]).view(np.int64) for s in sums]
-        signs = np.zeros((len(size), COORDINATES), np.uint32)
-        if has.any():
-            signs[has] = signatures(hashes, np.append(at[:-1][has], len(hashes)))
-        raw = [s.tobytes() if h else None for s, h in zip(signs, has, strict=True)]
-        return [part.column("doc_id"), np.asarray(size, np.int64), *keys, pa.array(raw, pa.binary())]
+        raw = []
+        for make_rows in (signatures, sketches):
+            made = iter(make_rows(hashes, np.append(at[:-1][has], len(hashes))) if has.any() else [])
+            raw.append(pa.array([next(made).tobytes() if h else None for h in has], pa.binary()))
+        return [part.column("doc_id"), np.asarray(size, np.int64), *keys, *raw]
 
-    names = ["doc_id", "n_shingles", "set_a", "set_b", "signature"]
-    return mapped(docs.select("doc_id", "text"), "text", "doc_id long, n_shingles long, set_a long, set_b long, signature binary", names, make)
+    names = ["doc_id", "n_shingles", "set_a", "set_b", "signature", "sketch"]
+    return mapped(docs.select("doc_id", "text"), "text", "doc_id long, n_shingles long, set_a long, set_b long, signature binary, sketch binary", names, make)
 
 
 def _posts(vertices: DataFrame) -> DataFrame:
@@ -97,12 +130,13 @@ def _posts(vertices: DataFrame) -> DataFrame:
     return vertices.select("v", "signature").mapInArrow(run, "post long, v long")
 
 
-def prefix_posts(vertices: DataFrame) -> DataFrame:
-    """(post, v): each vertex under its rarest shared posts, as many as MATCHES needs."""
+def prefix_posts(vertices: DataFrame, percent: int) -> DataFrame:
+    """(post, v): each vertex under its rarest shared posts, as many as the matches needed ask for."""
+    needed = matches_needed(percent)
     posts = _posts(vertices)
     shared = posts.groupBy("post").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     mine = posts.join(shared, "post").groupBy("v").agg(F.array_sort(F.collect_list(F.struct("n", "post"))).alias("own"))  # COORDINATES at most
-    return mine.where(F.size("own") >= MATCHES).select("v", F.explode(F.slice("own", 1, F.size("own") - MATCHES + 1)).alias("o")).select(F.col("o.post").alias("post"), "v")
+    return mine.where(F.size("own") >= needed).select("v", F.explode(F.slice("own", 1, F.size("own") - needed + 1)).alias("o")).select(F.col("o.post").alias("post"), "v")
 
 
 def _alike(x: F.Column, y: F.Column, percent: int) -> F.Column:
@@ -110,13 +144,13 @@ def _alike(x: F.Column, y: F.Column, percent: int) -> F.Column:
     return 100 * F.least(x, y) >= percent * F.greatest(x, y)
 
 
-def _equal_coordinates(pairs: DataFrame) -> DataFrame:
-    """Pairs (a, b, sa, sb) whose signatures agree in MATCHES coordinates or more."""
+def _near_pairs(pairs: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b, sa, sb) whose sketches allow the similarity."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint32).reshape(-1, COORDINATES) for c in ("sa", "sb"))
-            yield batch.select(["a", "b"]).filter(pa.array((x == y).sum(axis=1) >= MATCHES))
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, SKETCH // 2) for c in ("sa", "sb"))
+            yield batch.select(["a", "b"]).filter(pa.array(near(x, y, percent)))
 
     return pairs.mapInArrow(run, "a long, b long")
 
@@ -125,9 +159,9 @@ def star_pairs(prefix: DataFrame, vertices: DataFrame, percent: int) -> DataFram
     """Each list's members with its first one, where sizes and signatures allow the similarity."""
     hubs = prefix.groupBy("post").agg(F.min("v").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1").select("post", "a")
     pairs = prefix.withColumnRenamed("v", "b").join(hubs, "post").where("a < b").select("a", "b").distinct()
-    side = vertices.select("v", "n_shingles", "signature")
+    side = vertices.select("v", "n_shingles", "sketch")
     both = pairs.join(side.toDF("a", "na", "sa"), "a").join(side.toDF("b", "nb", "sb"), "b").where(_alike(F.col("na"), F.col("nb"), percent))
-    return _equal_coordinates(both.select("a", "b", "sa", "sb"))
+    return _near_pairs(both.select("a", "b", "sa", "sb"), percent)
 
 
 def block_pairs(prefix: DataFrame, vertices: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
@@ -135,18 +169,21 @@ def block_pairs(prefix: DataFrame, vertices: DataFrame, labels: DataFrame, perce
 
     A list of more than BLOCK members is compared block against block, each pair of blocks being a group of its own.
     """
+    # Lists with the same members ask the same questions: one of them is enough.
+    alike = prefix.groupBy("post").agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("v").cast("decimal(20,0)")).alias("m")).where("n > 1")
+    prefix = prefix.join(alike.groupBy("n", "m").agg(F.min("post").alias("post")).select("post"), "post")
     known = prefix.join(labels, "v", "left").withColumn("c", F.coalesce("c", "v"))
     mixed = known.groupBy("post").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo < hi")
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     rows = known.join(mixed.select("post", blocks.alias("blocks")), "post").withColumn("own", F.pmod(F.xxhash64("v"), "blocks").cast("int"))
-    rows = rows.join(vertices.select("v", "n_shingles", "signature"), "v")
+    rows = rows.join(vertices.select("v", "n_shingles", "sketch"), "v")
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("post", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "v", "c", "n_shingles", "signature")
+    rows = rows.select("post", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "v", "c", "n_shingles", "sketch")
     dealt = rows.repartition("post", "i", "j").sortWithinPartitions("post", "i", "j")
 
     def compare(batch: pa.RecordBatch) -> pa.RecordBatch:
         column = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in ("post", "i", "j", "own", "v", "c", "n_shingles")}
-        signs = np.frombuffer(b"".join(batch.column("signature").to_pylist()), np.uint32).reshape(-1, COORDINATES)
+        signs = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint8).reshape(-1, SKETCH // 2)
         group = _runs(column)
         size = np.diff(np.append(np.flatnonzero(np.append(True, group[1:] != group[:-1])), len(group)))
         across = column["i"] != column["j"]
@@ -158,7 +195,7 @@ def block_pairs(prefix: DataFrame, vertices: DataFrame, labels: DataFrame, perce
             ok = (column["c"][x] != column["c"][y]) & (100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y]))
             ok &= ~across[x] | (column["own"][x] != column["own"][y])
             x, y = x[ok], y[ok]
-            ok = (signs[x] == signs[y]).sum(axis=1) >= MATCHES
+            ok = near(signs[x], signs[y], percent)
             v = column["v"]
             out.append(np.stack([np.minimum(v[x[ok]], v[y[ok]]), np.maximum(v[x[ok]], v[y[ok]])], axis=1))
         pairs = np.concatenate(out)
@@ -190,10 +227,28 @@ def _runs(column: dict[str, np.ndarray]) -> np.ndarray:
     return np.cumsum(new)
 
 
+#: Bits of the filter that spares texts a shuffle: 8 MB, whatever the number of documents.
+FILTER_BITS = 1 << 26
+
+
+def likely(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``docs`` without most rows whose doc_id is not in ``wanted``.
+
+    A bitmap of hashed ids, of fixed size, is broadcast to the scan. It lets some other rows pass (all of them, if it is
+    full), so a join must follow; it only makes that join's shuffle smaller.
+    """
+    place = lambda: F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))
+    bits = wanted.select(place().alias("h")).groupBy(F.bitmap_bucket_number("h").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("h")).alias("bits"))
+    at = F.bitmap_bit_position(place())
+    byte = F.conv(F.hex(F.substring("bits", (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    found = docs.withColumn("bucket", F.bitmap_bucket_number(place())).join(F.broadcast(bits), "bucket")
+    return found.where(F.getbit(byte, (at % 8).cast("int")) == 1).select(docs.columns)
+
+
 def confirmed(pairs: DataFrame, docs: DataFrame, percent: int, k: int = 5) -> DataFrame:
     """Pairs whose full shingle sets have 100 * intersection >= percent * union."""
     wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    texts = docs.select("doc_id", text_or_empty().alias("text")).join(wanted, "doc_id").dropDuplicates(["doc_id"])
+    texts = likely(docs.select("doc_id", text_or_empty().alias("text")), wanted).join(wanted, "doc_id").dropDuplicates(["doc_id"])
 
     def make(part: pa.RecordBatch) -> list:
         (x, at_x), (y, at_y) = (shingle_sets(part.column(c), k) for c in ("ta", "tb"))
@@ -244,10 +299,10 @@ def near_duplicates(docs: DataFrame, percent: int = 75, k: int = 5) -> DataFrame
     """
     seen = stored(features(docs, k), "features")
     sets = seen.where("n_shingles > 0").groupBy("set_a", "set_b").agg(
-        F.min("doc_id").alias("v"), F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature")
+        F.min("doc_id").alias("v"), F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature"), F.first("sketch").alias("sketch")
     )
     vertices = stored(sets, "vertices")
-    prefix = stored(prefix_posts(vertices), "prefix")
+    prefix = stored(prefix_posts(vertices, percent), "prefix")
     links = stored(confirmed(stored(star_pairs(prefix, vertices, percent), "star"), docs, percent, k), "links-1")
     labels = components(links)
     more = stored(confirmed(stored(block_pairs(prefix, vertices, labels, percent), "blocks"), docs, percent, k), "links-2")
