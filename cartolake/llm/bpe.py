@@ -90,7 +90,7 @@ class TreeEncoder:
 class ByteBpe:
     """Encodes texts to little-endian unsigned 32-bit ids as the library does with ``add_special_tokens=False``."""
 
-    def __init__(self, path: str, leaf: int = LEAF_CHARS, keep: int = 800_000):
+    def __init__(self, path: str, leaf: int = LEAF_CHARS, keep: int = 300_000):
         config = json.load(open(path, encoding="utf-8"))
         if config.get("normalizer") or (config.get("pre_tokenizer") or {}).get("type") != "ByteLevel":
             raise ValueError("a byte-level tokenizer without a normalizer is expected")

@@ -33,7 +33,7 @@ IS_SPACE[[32, 9, 10, 11, 12, 13]] = True
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The first ``n`` powers of the base and of its inverse modulo 2**64."""
     if "up" not in _powers or len(_powers["up"]) < n:
-        size = max(n, 1 << 21)
+        size = max(n, 1 << 20)
         for name, base in (("up", _BASE), ("down", pow(_BASE, -1, 1 << 64))):
             x = np.full(size, base, dtype=U64)
             x[0] = 1

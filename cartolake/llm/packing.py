@@ -12,10 +12,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cartolake.llm.bpe import encoder, texts_of
-from cartolake.llm.shared import slices, text_or_empty
+from cartolake.llm.shared import slices, small_batches, text_or_empty
 
 #: Tokens that are packed together in a task; bounds its memory.
-LOT_TOKENS = 4_000_000
+LOT_TOKENS = 2_000_000
 _SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 _NAMES = [x.split()[0] for x in _SCHEMA.split(", ")]
 
@@ -158,4 +158,5 @@ def pack_documents(docs: DataFrame, path: str, window: int = 2048, end_id: int =
         if parts:
             yield lot(parts, base)
 
+    small_batches(docs.sparkSession)
     return docs.select("doc_id", text_or_empty().alias("text")).mapInArrow(run, _SCHEMA)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from cartolake.llm.em import fit_votes
 from cartolake.llm.kernel import Joined, in_group, later, owner, repeated, windows
-from cartolake.llm.shared import mapped, stored
+from cartolake.llm.shared import mapped, slices, stored
 
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[[ord(c) for c in "#*$%&|<>"]] = True
@@ -123,9 +123,13 @@ def accepted(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     The measures are taken again beside each row, which costs less than bringing verdicts to the texts by a shuffle.
     """
     quality = posteriors(stored(measures(docs), "measures"))
-    extra = [c for c in MEASURES if c not in docs.columns]
-    if len(extra) < len(MEASURES):
-        raise ValueError(f"columns are named as measures: {sorted(set(MEASURES) - set(extra))}")
-    schema = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes) + ", " + ", ".join(f"{c} long" for c in MEASURES)
-    both = mapped(docs, "text", schema, [*docs.columns, *MEASURES], lambda part: [*part.columns, *measure(part.column("text"))])
-    return both.where(~base_failed() & (quality >= threshold)).select(docs.columns)
+
+    def run(texts: pa.Array) -> pa.Array:
+        parts = [measure(x.column("text")) for x in slices(iter([pa.RecordBatch.from_arrays([texts], ["text"])]), "text")]
+        columns = [np.concatenate(c) for c in zip(*parts, strict=True)] if parts else [np.zeros(0, np.int64)] * len(MEASURES)
+        return pa.StructArray.from_arrays([pa.array(c) for c in columns], names=MEASURES)
+
+    # Only texts go to Python, and only numbers come back; taken once, as it is declared not to be repeatable.
+    measured = F.arrow_udf(run, "struct<" + ", ".join(f"{c}: long" for c in MEASURES) + ">").asNondeterministic()
+    own = docs.select(F.struct(*docs.columns).alias("doc"), measured("text").alias("m")).select("doc", "m.*")
+    return own.where(~base_failed() & (quality >= threshold)).select("doc.*")

@@ -11,11 +11,19 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
+#: Bytes of an Arrow batch on its way to Python; each task holds a few of them outside the heap.
+BATCH_BYTES = 8 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound the Arrow batches of whole texts by bytes."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path under ``spark.checkpoint.dir``; only where that is unset, under a temporary folder (tests)."""
+    small_batches(spark)
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         base = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
@@ -66,6 +74,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BY
 
 def mapped(df: DataFrame, column: str, schema: str, names: list[str], make: Callable[[pa.RecordBatch], list]) -> DataFrame:
     """``make`` gives the arrays of ``names`` for each slice of ``df``; rows with no slice give nothing."""
+    small_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, column):
