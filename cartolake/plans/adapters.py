@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cartolake.operators.graph_write import upsert_edges, upsert_nodes
-from cartolake.operators.project import parse_extractions, project_all
+from cartolake.operators.project import edge_rows, facts, node_rows, parse_extractions, project_all
 from cartolake.schemas import EDGES, NODES
 
 TABLES = "region nation customer supplier part orders lineitem events documents pages benchmark labels conversations".split()
@@ -80,7 +80,8 @@ def load(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
 
 def extractions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """File extractions with JSON payloads, one per fact row; half of the payloads use Pascal-case keys."""
-    f = load(spark, sf_dir, FACTS)
+    # Parsing and projecting is the work here: rows are dealt out, as small inputs come in one split.
+    f = load(spark, sf_dir, FACTS).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "workspace_id", "file_path")
     event = F.array(F.struct(F.col("event_name").alias("name"), F.col("storage_name").alias("topic")))
     payload = F.struct(
         F.struct(F.lit(True).alias("isPartOfService"), F.col("service_name").alias("serviceName")).alias("service"),
@@ -124,8 +125,10 @@ def graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _graphs:
         path = scratch(spark, "graph")
-        nodes, edges = project_all(parsed(spark, sf_dir))
         now = F.lit(0).cast("timestamp")
+        facts(parsed(spark, sf_dir)).write.parquet(f"{path}/facts")
+        emitted = spark.read.parquet(f"{path}/facts")
+        nodes, edges = node_rows(emitted), edge_rows(emitted)
         upsert_nodes(spark.createDataFrame([], NODES), nodes, now).write.partitionBy("workspace_id", "label").parquet(f"{path}/nodes")
         merged = spark.read.schema(NODES).parquet(f"{path}/nodes")
         upsert_edges(spark.createDataFrame([], EDGES), edges, merged, now).write.partitionBy("workspace_id", "label").parquet(f"{path}/edges")
