@@ -35,7 +35,7 @@ def render_prompt(requests: DataFrame, structure: Column | None = None, truth: C
 def cache_key(content: Column, prompt_id: Column, version: Column, model: Column, structure_hash: Column | None = None, truth_hash: Column | None = None) -> Column:
     """SHA-256 over content, prompt, version (with hashes of added blocks) and model."""
     tag = lambda name, c: [] if c is None else [F.when(c.isNotNull() & (c != ""), F.concat(F.lit(f"+{name}:"), F.substring(c, 1, 12))).otherwise("")]
-    full = F.concat(version, *tag("gfy", structure_hash), *tag("clf", truth_hash))
+    full = F.concat(version, *tag("structure", structure_hash), *tag("truth", truth_hash))
     return F.sha2(F.concat_ws("|", content, prompt_id, full, model), 256)
 
 

@@ -8,10 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cartolake.functions import exprs as X
-from cartolake.operators import changes, context, corpus, correlate, extract, graph_read, graph_write, project, questions, reports, structural
+from cartolake.operators import graph_read, graph_write, project, structural
 from cartolake.plans import adapters as A
 from cartolake.schemas import EDGE_LABELS, EDGES, NODE_LABELS, NODES
-from cartolake.sources import readers, writers
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -166,7 +165,6 @@ def w4_remove_edge(spark, sf_dir):
     return graph_write.remove_edge(edges, edges.where("label = 'CALLS'").select(*graph_write.EDGE_KEY)).groupBy("label").agg(F.count(F.lit(1)).alias("n"))
 
 
-_SPEC = f"""SELECT workspace_id, 'Endpoint' AS label, {E_ID} AS id, repo_id, file_path, min(method) AS method, min(path) AS path FROM f GROUP BY ALL"""
 
 
 @query(W_FACTS + """, x AS (SELECT workspace_id, repo_id, regexp_replace(file_path, '/l[0-9]+', '') AS file_path, service_name AS id, md5(file_path) AS ex FROM f),
