@@ -93,37 +93,31 @@ def resolve_owner(files: DataFrame, mapped: DataFrame) -> DataFrame:
 
     Tiers: the same path; the longest path that ends in the other, at a segment and ignoring case; most leading
     directories in common; the repository's only service. The theta joins are equi-joins on exploded suffixes and
-    ancestor directories, and each tier sees only what the tiers before left over.
+    ancestor directories; all candidates meet in one aggregation that takes the first tier's best.
     """
     key = ["workspace_id", "repo_id"]
+    full = [*key, "file_path"]
     todo = files.select(*key, "file_path", F.lower(normalise_path(F.col("file_path"))).alias("p")).distinct()
     known = mapped.select(*key, F.lower(normalise_path(F.col("file_path"))).alias("m"), "service").distinct()
-    full = [*key, "file_path"]
-
-    def best(rows: DataFrame, score: Column, tier: int) -> DataFrame:
-        """The largest score, then the least service, by a partial aggregation."""
-        ranked = rows.groupBy(*full).agg(F.min(F.struct((-score).alias("s"), "service")).alias("b"))
-        return ranked.select(*full, F.col("b.service").alias("service"), F.lit(tier).alias("tier"))
-
-    one = best(todo.join(known.withColumnRenamed("m", "p"), [*key, "p"]), F.lit(0), 1)
-    left = todo.join(one, full, "left_anti")
-    suffixes = lambda c: F.transform(F.sequence(F.lit(1), F.size(F.split(c, "/"))), lambda i: F.array_join(F.slice(F.split(c, "/"), i, F.size(F.split(c, "/"))), "/"))
-    longer = left.withColumn("m", F.explode(suffixes(F.col("p")))).join(known, [*key, "m"])
-    shorter = known.withColumn("p", F.explode(suffixes(F.col("m")))).join(left, [*key, "p"])
-    two = best(longer.select(*full, "service", "m").unionByName(shorter.select(*full, "service", "m")), F.length("m"), 2)
-    left = left.join(two, full, "left_anti")
+    parts = lambda c: F.split(c, "/")
+    suffixes = lambda c: F.transform(F.sequence(F.lit(1), F.size(parts(c))), lambda i: F.array_join(F.slice(parts(c), i, F.size(parts(c))), "/"))
 
     def parents(c: Column) -> Column:
-        dirs = F.slice(F.split(c, "/"), 1, F.size(F.split(c, "/")) - 1)
+        dirs = F.slice(parts(c), 1, F.size(parts(c)) - 1)
         return F.when(F.size(dirs) > 0, F.transform(F.sequence(F.lit(1), F.size(dirs)), lambda i: F.array_join(F.slice(dirs, 1, i), "/")))
 
-    ours = left.withColumn("d", F.explode(parents(F.col("p"))))
+    def tier(rows: DataFrame, number: int, score: Column) -> DataFrame:
+        return rows.select(*full, F.struct(F.lit(number).alias("tier"), (-score).cast("int").alias("s"), "service").alias("b"))
+
     theirs = known.withColumn("d", F.explode(parents(F.col("m")))).groupBy(*key, "d").agg(F.min("service").alias("service"))  # one service stands for a directory
-    three = best(ours.join(theirs, [*key, "d"]), F.size(F.split("d", "/")), 3)
-    left = left.join(three, full, "left_anti")
     only = known.groupBy(*key).agg(F.min("service").alias("service"), F.count_distinct(F.lower("service")).alias("n")).where("n = 1")
-    four = left.join(only, key, "left").select(*full, "service", F.when(F.col("service").isNotNull(), 4).otherwise(0).alias("tier"))
-    return one.unionByName(two).unionByName(three).unionByName(four)
+    found = tier(todo.join(known.withColumnRenamed("m", "p"), [*key, "p"]), 1, F.lit(0))
+    found = found.union(tier(todo.withColumn("m", F.explode(suffixes(F.col("p")))).join(known, [*key, "m"]), 2, F.length("m")))
+    found = found.union(tier(known.withColumn("p", F.explode(suffixes(F.col("m")))).join(todo, [*key, "p"]), 2, F.length("m")))
+    found = found.union(tier(todo.withColumn("d", F.explode(parents(F.col("p")))).join(theirs, [*key, "d"]), 3, F.size(parts(F.col("d")))))
+    found = found.union(tier(todo.join(only, key), 4, F.lit(0)))
+    best = found.groupBy(*full).agg(F.min("b").alias("b"))
+    return todo.join(best, full, "left").select(*full, F.col("b.service").alias("service"), F.coalesce("b.tier", F.lit(0)).alias("tier"))
 
 
 def capability_from_path(path: Column) -> Column:
