@@ -167,7 +167,8 @@ def star_pairs(prefix: DataFrame, vertices: DataFrame, percent: int) -> DataFram
 def block_pairs(prefix: DataFrame, vertices: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     """Pairs of one list but of different components, where sizes and signatures allow the similarity.
 
-    A list of more than BLOCK members is compared block against block, each pair of blocks being a group of its own.
+    A list of more than BLOCK members is compared block against block, each pair of blocks being a group of its own. Two
+    documents that share several lists come out of the first of them only.
     """
     # Lists with the same members ask the same questions: one of them is enough.
     alike = prefix.groupBy("post").agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("v").cast("decimal(20,0)")).alias("m")).where("n > 1")
@@ -175,15 +176,21 @@ def block_pairs(prefix: DataFrame, vertices: DataFrame, labels: DataFrame, perce
     known = prefix.join(labels, "v", "left").withColumn("c", F.coalesce("c", "v"))
     mixed = known.groupBy("post").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo < hi")
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    rows = known.join(mixed.select("post", blocks.alias("blocks")), "post").withColumn("own", F.pmod(F.xxhash64("v"), "blocks").cast("int"))
-    rows = rows.join(vertices.select("v", "n_shingles", "sketch"), "v")
+    lists = known.join(mixed.select("post", blocks.alias("blocks")), "post").groupBy("v").agg(
+        F.first("c").alias("c"), F.array_sort(F.collect_list(F.struct("post", "blocks"))).alias("lists")  # COORDINATES at most
+    )
+    rows = lists.join(vertices.select("v", "n_shingles", "sketch"), "v").withColumn("posts", F.col("lists.post"))
+    rows = rows.withColumn("list", F.explode("lists")).select("*", "list.post", "list.blocks").withColumn("own", F.pmod(F.xxhash64("v"), "blocks").cast("int"))
+    # What else the two share is only of interest below the list at hand.
+    rows = rows.withColumn("lower", F.slice("posts", 1, F.array_position("posts", F.col("post")).cast("int") - 1))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("post", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "v", "c", "n_shingles", "sketch")
+    rows = rows.select("post", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "v", "c", "n_shingles", "sketch", "lower")
     dealt = rows.repartition("post", "i", "j").sortWithinPartitions("post", "i", "j")
 
     def compare(batch: pa.RecordBatch) -> pa.RecordBatch:
         column = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in ("post", "i", "j", "own", "v", "c", "n_shingles")}
         signs = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint8).reshape(-1, SKETCH // 2)
+        lower = _padded(batch.column("lower"))
         group = _runs(column)
         size = np.diff(np.append(np.flatnonzero(np.append(True, group[1:] != group[:-1])), len(group)))
         across = column["i"] != column["j"]
@@ -196,6 +203,8 @@ def block_pairs(prefix: DataFrame, vertices: DataFrame, labels: DataFrame, perce
             ok &= ~across[x] | (column["own"][x] != column["own"][y])
             x, y = x[ok], y[ok]
             ok = near(signs[x], signs[y], percent)
+            x, y = x[ok], y[ok]
+            ok = ~_meet(lower[x], lower[y])
             v = column["v"]
             out.append(np.stack([np.minimum(v[x[ok]], v[y[ok]]), np.maximum(v[x[ok]], v[y[ok]])], axis=1))
         pairs = np.concatenate(out)
@@ -219,6 +228,23 @@ def block_pairs(prefix: DataFrame, vertices: DataFrame, labels: DataFrame, perce
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
+def _padded(lists: pa.Array) -> np.ndarray:
+    """Lists of posts as rows of equal width; posts are not negative, what is filled up is."""
+    size = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    out = np.full((len(size), size.max(initial=0)), -1, np.int64)
+    out[np.arange(out.shape[1]) < size[:, None]] = lists.flatten().to_numpy(zero_copy_only=False)
+    return out
+
+
+def _meet(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Which rows have a post in common."""
+    found = np.zeros(len(x), bool)
+    for i in range(x.shape[1]):
+        one = x[:, i : i + 1]
+        found |= ((one == y) & (one >= 0)).any(axis=1)
+    return found
+
+
 def _runs(column: dict[str, np.ndarray]) -> np.ndarray:
     """Number of the (post, i, j) run that holds each row."""
     new = np.zeros(len(column["post"]), bool)
