@@ -19,7 +19,7 @@ BROADCAST_ROWS = 10_000
 MALE, FEMALE = "Mr|Herr|Monsieur|Señor|Sr|Г-н|Господин", "Mrs|Ms|Miss|Frau|Madame|Mme|Señora|Sra|Г-жа|Госпожа"
 _TITLED = rf"(?<![\p{{L}}\p{{N}}])(?:{MALE}|{FEMALE})\.? \p{{Lu}}[\p{{L}}'’-]++(?: \p{{Lu}}[\p{{L}}'’-]++)?"
 PATTERNS = {
-    "secret": r"(?<=(?:token|secret|password|passwd|api_key|apikey|key) {0,2}[=:] {0,2}[\"']?)[A-Za-z0-9_+/-]{12,}+|(?<![A-Za-z0-9])(?:AKIA[A-Z0-9]{16}|[0-9a-f]{32,64})(?![A-Za-z0-9])",
+    "secret": r"(?<=(?i:token|secret|password|passwd|api_key|apikey|key) {0,2}[=:] {0,2}[\"']?)[A-Za-z0-9_+/-]{12,}+|(?<![A-Za-z0-9])(?:AKIA[A-Z0-9]{16}|[0-9A-Fa-f]{32,64})(?![A-Za-z0-9])",
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+",
     "ip": r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\.?\d)",
     "phone": r"(?<![\d+])\+\d{1,3}[ .-]?\(?\d{2,4}\)?(?:[ .-]?\d{2,4}){2,4}(?!\d)|(?<!\d)\(\d{3}\) \d{3}-\d{4}(?!\d)",
@@ -56,7 +56,8 @@ def _number(digest: Column, start: int = 1) -> Column:
 def entity_type(value: Column) -> Column:
     """The first pattern that the whole entity matches, looked at apart from its surroundings; secrets are the rest."""
     order = [k for k in PATTERNS if k != "secret"]
-    return F.coalesce(*[F.when(value.rlike(f"^(?:{PATTERNS[k]})$"), F.lit(k)) for k in order], F.lit("secret"))
+    secret = F.when(value.rlike("^[0-9A-Fa-f]{32,64}$"), F.lit("secret"))  # some in upper case look like an IBAN
+    return F.coalesce(secret, *[F.when(value.rlike(f"^(?:{PATTERNS[k]})$"), F.lit(k)) for k in order], F.lit("secret"))
 
 
 def canonical(kind: Column, value: Column) -> Column:
@@ -120,13 +121,17 @@ def _written(value: Column, digits: Column) -> Column:
 
 def _like(value: Column, seed: Column, key: str, attempt: Column) -> Column:
     """Each letter or digit of ``value`` replaced by one of its own class (hex letters by hex letters), keyed by ``seed``."""
-    hex_only = value.rlike("^(?=.*[a-f])(?=.*[0-9])[0-9a-f]+$")
+    lower_hex, upper_hex = value.rlike("^(?=.*[a-f])(?=.*[0-9])[0-9a-f]+$"), value.rlike("^(?=.*[A-F])(?=.*[0-9])[0-9A-F]+$")
+    mixed_hex = value.rlike("^[0-9A-Fa-f]{32,64}$")
 
     def put(c: Column, i: Column) -> Column:
         n = _number(_digest(key, "like", seed, attempt.cast("string"), i.cast("string")))
         pick = lambda letters: F.substring(F.lit(letters), (n % len(letters) + 1).cast("int"), F.lit(1))
         return (
-            F.when(hex_only, pick("0123456789abcdef"))
+            F.when(lower_hex, pick("0123456789abcdef"))
+            .when(upper_hex, pick("0123456789ABCDEF"))
+            .when(mixed_hex & c.rlike("[a-f]"), pick("abcdef"))
+            .when(mixed_hex & c.rlike("[A-F]"), pick("ABCDEF"))
             .when(c.rlike("[0-9]"), pick("0123456789"))
             .when(c.rlike("[a-z]"), pick("abcdefghijklmnopqrstuvwxyz"))
             .when(c.rlike("[A-Z]"), pick("ABCDEFGHIJKLMNOPQRSTUVWXYZ"))

@@ -102,6 +102,20 @@ def test_surrogates(spark):
     assert pii.replace_entities(df.limit(0)).count() == 0 and pii.replace_entities(df).columns == [*df.columns, "n_entities"]
 
 
+def masked(spark, texts):
+    return {r.doc_id: r.text for r in pii.replace_entities(corpus(spark, list(enumerate(texts)))).collect()}
+
+
+def test_secrets_in_any_case(spark):
+    upper, mixed = "9233A8ECF7C5B09FD1E2A3B4C5D6E7F80912A3B4", "9233a8ECf7c5B09fd1E2a3b4C5d6E7f8"
+    kept = "AB12CDEF34AB12CDEF34AB12CDEF34AB"  # 32 hex digits that an IBAN's pattern matches too
+    texts = [f'TOKEN = "{upper}"', "API_KEY=Zq8rTw3LmN5p", "Secret_Key: zq8rtw3lmn5pxy", "PASSWORD='hunter-2-hunter'", f"sum {upper}.", f"sum {mixed}.", f"sum {kept}.", 'token = "zq8rtw3lmn5p"']
+    out = masked(spark, texts)
+    assert all(out[i] != t for i, t in enumerate(texts))
+    assert re.fullmatch(r'TOKEN = "[0-9A-F]{40}"', out[0]) and re.fullmatch(r"API_KEY=[A-Z][a-z]\d[a-z][A-Z][a-z]\d[A-Z][a-z][A-Z]\d[a-z]", out[1])
+    assert out[4][4:-1] == out[0][9:-1] and re.fullmatch(r"sum [0-9A-Fa-f]{32}\.", out[5]) and re.fullmatch(r"sum [0-9A-F]{32}\.", out[6])
+
+
 def test_digit_permutation_is_one_to_one(spark):
     df = spark.range(1000).select(F.lpad(F.col("id").cast("string"), 3, "0").alias("d"))
     out = df.select("d", pii.permute_digits(F.col("d"), "k", F.lit(0)).alias("m"))
