@@ -2,7 +2,7 @@
 
 Entities are found by one pattern. A surrogate depends on a key, the entity's type and its canonical form (so all spellings
 of one value in all documents get the same one) and is written in the entity's own format: digits and punctuation stay
-where they are, card numbers keep their check digit's validity, addresses their shape, names their gender and script.
+where they are, card numbers and IBANs keep their check digits' validity, addresses their shape, names their gender and script.
 Numbers are permuted by keyed Feistel rounds, so distinct ones stay distinct; all surrogates are checked against each other
 and against the corpus' real values, and clashes are drawn again.
 """
@@ -109,30 +109,34 @@ def _card(digits: Column, key: str, attempt: Column) -> Column:
     return F.concat(new, F.pmod(_luhn(new) + off, F.lit(10)).cast("string"))
 
 
-def _written(value: Column, digits: Column) -> Column:
-    """``value`` with its digits replaced, in order, by ``digits``."""
+def _written(value: Column, new: Column, places: str = r"\d") -> Column:
+    """``value`` with its digits (or other ``places``) replaced, in order, by those of ``new``."""
     start = F.struct(F.lit("").alias("out"), F.lit(0).alias("n"))
 
     def put(s: Column, c: Column) -> Column:
-        is_digit = c.rlike(r"^\d$")
-        return F.struct(F.concat(s["out"], F.when(is_digit, F.substring(digits, s["n"] + 1, F.lit(1))).otherwise(c)).alias("out"), (s["n"] + is_digit.cast("int")).alias("n"))
+        is_place = c.rlike(f"^{places}$")
+        return F.struct(F.concat(s["out"], F.when(is_place, F.substring(new, s["n"] + 1, F.lit(1))).otherwise(c)).alias("out"), (s["n"] + is_place.cast("int")).alias("n"))
 
     return F.aggregate(F.split(value, ""), start, put)["out"]
 
 
-def _like(value: Column, seed: Column, key: str, attempt: Column) -> Column:
-    """Each letter or digit of ``value`` replaced by one of its own class (hex letters by hex letters), keyed by ``seed``."""
+def _like(value: Column, seed: Column, key: str, attempt: Column, hexes: bool = True) -> Column:
+    """Each letter or digit of ``value`` replaced by one of its own class (with ``hexes``, hex letters by hex letters), keyed
+    by ``seed``."""
     lower_hex, upper_hex = value.rlike("^(?=.*[a-f])(?=.*[0-9])[0-9a-f]+$"), value.rlike("^(?=.*[A-F])(?=.*[0-9])[0-9A-F]+$")
     mixed_hex = value.rlike("^[0-9A-Fa-f]{32,64}$")
 
     def put(c: Column, i: Column) -> Column:
         n = _number(_digest(key, "like", seed, attempt.cast("string"), i.cast("string")))
         pick = lambda letters: F.substring(F.lit(letters), (n % len(letters) + 1).cast("int"), F.lit(1))
-        return (
+        in_hex = (
             F.when(lower_hex, pick("0123456789abcdef"))
             .when(upper_hex, pick("0123456789ABCDEF"))
             .when(mixed_hex & c.rlike("[a-f]"), pick("abcdef"))
             .when(mixed_hex & c.rlike("[A-F]"), pick("ABCDEF"))
+        )
+        return (
+            (in_hex if hexes else F)
             .when(c.rlike("[0-9]"), pick("0123456789"))
             .when(c.rlike("[a-z]"), pick("abcdefghijklmnopqrstuvwxyz"))
             .when(c.rlike("[A-Z]"), pick("ABCDEFGHIJKLMNOPQRSTUVWXYZ"))
@@ -143,6 +147,21 @@ def _like(value: Column, seed: Column, key: str, attempt: Column) -> Column:
     return F.array_join(F.transform(F.split(value, ""), put), "")
 
 
+def _iban_check(country: Column, account: Column) -> Column:
+    """The check number (2 to 98) of an account: 98 less the remainder by 97, letters counting as 10 to 35."""
+    add = lambda a, c: F.when(c.rlike("[0-9]"), (a * 10 + F.ascii(c) - 48) % 97).otherwise((a * 100 + F.ascii(c) - 55) % 97)
+    return F.lit(98) - F.aggregate(F.split(F.concat(account, country, F.lit("00")), ""), F.lit(0), add)
+
+
+def _iban(plain: Column, key: str, attempt: Column) -> Column:
+    """Country kept, the account drawn anew; the check digits stay as far from the right ones as they were."""
+    country, account = F.substring(plain, 1, 2), F.substring(plain, F.lit(5), F.length(plain))
+    new = _like(account, plain, key, attempt, hexes=False)
+    off = F.substring(plain, 3, 2).cast("int") - _iban_check(country, account)
+    check = F.pmod(_iban_check(country, new) + off - 2, F.lit(97)) + 2
+    return F.concat(country, F.lpad(check.cast("string"), 2, "0"), new)
+
+
 def _email(value: Column, key: str, attempt: Column) -> Column:
     """A local part of the same shape with a keyed tag, at a reserved domain that stands for the real one."""
     local, domain = F.substring_index(F.lower(value), "@", 1), F.substring_index(F.lower(value), "@", -1)
@@ -177,14 +196,13 @@ def surrogate(kind: Column, value: Column, plain: Column, key: str, attempt: Col
     """The replacement of an entity, by its type."""
     country = F.substring(plain, 1, F.when(value.startswith("+"), 1).otherwise(0))  # its first digit at least stays
     phone = F.concat(country, permute_digits(F.substring(plain, F.length(country) + 1, F.length(plain)), key, attempt))
-    iban_tail = _like(F.substring(value, F.lit(3), F.length(value)), plain, key, attempt)
     return (
         F.when(kind == "phone", _written(value, phone))
         .when(kind == "number", _written(value, _card(plain, key, attempt)))
         .when(kind == "social", _written(value, permute_digits(plain, key, attempt)))
         .when(kind == "email", _email(value, key, attempt))
         .when(kind == "ip", _ip(plain, key, attempt))
-        .when(kind == "iban", F.concat(F.substring(value, 1, 2), iban_tail))
+        .when(kind == "iban", _written(value, _iban(plain, key, attempt), "[A-Z0-9]"))
         .when(kind == "name", _name(value, plain, key, attempt))
         .otherwise(_like(value, plain, key, attempt))
     )
@@ -203,15 +221,15 @@ def _rows(values: DataFrame, key: str) -> DataFrame:
 def exceptions(found: DataFrame, key: str, rounds: int = 8) -> DataFrame:
     """(value, attempt) of entities whose first surrogate is another value's or a real one; empty as a rule.
 
-    ``found``: distinct values. Each round draws clashing values again and checks all surrogates anew.
+    ``found``: distinct values. Every value's surrogate is checked, as spellings of one canonical form can differ in theirs
+    (titles, country codes). Each round draws all spellings of clashing forms again and checks all surrogates anew.
     """
     kind = entity_type(F.col("value"))
     base = stored(found.select("value", kind.alias("kind")).withColumn("plain", canonical(F.col("kind"), F.col("value"))), "entities")
-    one = base.groupBy("kind", "plain").agg(F.min("value").alias("value"))
-    current = stored(_rows(one.withColumn("attempt", F.lit(0)), key), "surrogates")
+    current = stored(_rows(base.withColumn("attempt", F.lit(0)), key), "surrogates")
     for _ in range(rounds):
         # The least canonical form keeps a shared surrogate; nobody keeps a real value.
-        owners = current.groupBy("kind", "mask").agg(F.min("plain").alias("owner"), F.count(F.lit(1)).alias("n")).where("n > 1")
+        owners = current.groupBy("kind", "mask").agg(F.min("plain").alias("owner"), F.max("plain").alias("other")).where("owner <> other")
         shared = current.join(owners, ["kind", "mask"]).where("plain <> owner").select("kind", "plain")
         real = current.join(current.select("kind", F.col("plain").alias("mask")), ["kind", "mask"], "left_semi").select("kind", "plain")
         clash = stored(shared.union(real).distinct(), "clashes")
@@ -219,7 +237,7 @@ def exceptions(found: DataFrame, key: str, rounds: int = 8) -> DataFrame:
             break
         again = current.join(clash, ["kind", "plain"], "left_semi").withColumn("attempt", F.col("attempt") + 1).drop("mask")
         current = stored(current.join(clash, ["kind", "plain"], "left_anti").unionByName(_rows(again, key)), "surrogates")
-    return base.join(current.where("attempt > 0").select("kind", "plain", "attempt"), ["kind", "plain"]).select("value", "attempt")
+    return current.where("attempt > 0").select("value", "attempt")
 
 
 def replace_entities(docs: DataFrame, key: str = "corpus-key") -> DataFrame:

@@ -137,6 +137,46 @@ def test_hint_passes_every_entity(spark):
     assert a.split()[1] == b.split()[1] != "8.8.8.8" and "4 1 1 1 1 1 1 1 1" not in c and "a1b2c3d4" * 4 not in d
 
 
+def iban_remainder(iban):
+    plain = iban.replace(" ", "")
+    return int("".join(str(int(c, 36)) for c in plain[4:] + plain[:4])) % 97
+
+
+def test_iban_spellings_share_a_valid_surrogate(spark):
+    good = ["DE89 3704 0044 0532 0130 00", "DE89370400440532013000", "GB82 WEST 1234 5698 7654 32", "GB82WEST12345698765432", "BE68539007547034"]
+    wrong = ["DE88 3704 0044 0532 0130 00"]
+    assert all(iban_remainder(x) == 1 for x in good) and iban_remainder(wrong[0]) != 1
+    out = list(masked(spark, good + wrong).values())
+    shape = lambda x: re.sub("[0-9]", "0", x[:2] + re.sub("[A-Z]", "A", x[2:]))
+    assert all(a != b and shape(a) == shape(b) for a, b in zip(good + wrong, out, strict=True))
+    assert out[0].replace(" ", "") == out[1] and out[2].replace(" ", "") == out[3]
+    assert [iban_remainder(x) == 1 for x in out] == [True] * 5 + [False]
+
+
+def drawn(spark, values, redrawn):
+    """(kind, plain, mask) of ``values`` with the attempts of ``redrawn``."""
+    attempts = {r.value: r.attempt for r in redrawn.collect()}
+    df = spark.createDataFrame([(v, attempts.get(v, 0)) for v in values], "value string, attempt int")
+    df = df.withColumn("kind", pii.entity_type(F.col("value"))).withColumn("plain", pii.canonical(F.col("kind"), F.col("value")))
+    return [(r.kind, r.plain, r["mask"]) for r in pii._rows(df, "k").collect()]
+
+
+def assert_distinct(rows):
+    real, of = {(k, p) for k, p, _ in rows}, collections.defaultdict(set)
+    for kind, plain, mask in rows:
+        of[kind, mask].add(plain)
+    assert not real & set(of) and all(len(p) == 1 for p in of.values())
+
+
+def test_every_spelling_is_checked(spark):
+    values = ["Mr. Anna Smith", "Mrs. Anna Smith"]
+    none = spark.createDataFrame([], "value string, attempt int")
+    taken = ["Mrs. " + m.title() for _, _, m in drawn(spark, values, none) if m.split()[0].title() in pii.GIVEN["latin", "f"]]
+    assert len(taken) == 1  # the other title's surrogate is a real name
+    redrawn = pii.exceptions(spark.createDataFrame([(v,) for v in values + taken], "value string"), "k")
+    assert_distinct(drawn(spark, values + taken, redrawn))
+
+
 def test_digit_permutation_is_one_to_one(spark):
     df = spark.range(1000).select(F.lpad(F.col("id").cast("string"), 3, "0").alias("d"))
     out = df.select("d", pii.permute_digits(F.col("d"), "k", F.lit(0)).alias("m"))
