@@ -16,6 +16,8 @@ from cartolake.llm.shared import stored
 
 #: Exceptions up to this number are broadcast; more are joined by shuffle.
 BROADCAST_ROWS = 10_000
+#: Draws of a name before its surrogate gets longer.
+LONG_FROM = 4
 MALE, FEMALE = "Mr|Herr|Monsieur|Señor|Sr|Г-н|Господин", "Mrs|Ms|Miss|Frau|Madame|Mme|Señora|Sra|Г-жа|Госпожа"
 _TITLED = rf"(?<![\p{{L}}\p{{N}}])(?:{MALE}|{FEMALE})\.? \p{{Lu}}[\p{{L}}'’-]++(?: \p{{Lu}}[\p{{L}}'’-]++)?"
 PATTERNS = {
@@ -181,7 +183,8 @@ def _ip(value: Column, key: str, attempt: Column) -> Column:
 
 
 def _name(value: Column, plain: Column, key: str, attempt: Column) -> Column:
-    """Title kept; a given name of the title's gender and the name's script, a family name of four syllables."""
+    """Title kept; a given name of the title's gender and the name's script, a family name of four syllables; after
+    ``LONG_FROM`` draws of eight, so that names that have run out of short ones still find their own."""
     title = F.regexp_extract(value, rf"^(?:{MALE}|{FEMALE})\.? ", 0)
     script = F.when(plain.rlike(r"\p{IsCyrillic}"), F.lit("cyrillic")).otherwise(F.lit("latin"))
     gender = F.when(title.rlike(rf"^(?:{FEMALE})\.? $"), F.lit("f")).otherwise(F.lit("m"))
@@ -189,6 +192,9 @@ def _name(value: Column, plain: Column, key: str, attempt: Column) -> Column:
     choose = lambda names, at: F.element_at(F.array(*map(F.lit, names)), (_number(digest, at) % len(names) + 1).cast("int"))
     given = F.coalesce(*[F.when((script == s) & (gender == g), choose(names, 1)) for (s, g), names in GIVEN.items()])
     family = F.coalesce(*[F.when(script == s, F.initcap(F.concat(*[choose(parts, at) for at in (14, 22, 30, 38)]))) for s, parts in SYLLABLES.items()])
+    more = _digest(key, "name more", plain, attempt.cast("string"))
+    tail = F.coalesce(*[F.when(script == s, F.concat(*[F.element_at(F.array(*map(F.lit, parts)), (_number(more, at) % len(parts) + 1).cast("int")) for at in (14, 22, 30, 38)])) for s, parts in SYLLABLES.items()])
+    family = F.concat(family, F.when(attempt >= LONG_FROM, tail).otherwise(""))
     return F.concat(title, F.when(plain.contains(" "), F.concat_ws(" ", given, family)).otherwise(family))
 
 
@@ -218,11 +224,12 @@ def _rows(values: DataFrame, key: str) -> DataFrame:
     return values.withColumn("mask", canonical(F.col("kind"), surrogate(F.col("kind"), F.col("value"), F.col("plain"), key, F.col("attempt"))))
 
 
-def exceptions(found: DataFrame, key: str, rounds: int = 8) -> DataFrame:
+def exceptions(found: DataFrame, key: str, rounds: int = 64) -> DataFrame:
     """(value, attempt) of entities whose first surrogate is another value's or a real one; empty as a rule.
 
     ``found``: distinct values. Every value's surrogate is checked, as spellings of one canonical form can differ in theirs
-    (titles, country codes). Each round draws all spellings of clashing forms again and checks all surrogates anew.
+    (titles, country codes). Each round draws all spellings of clashing forms again and checks all surrogates anew,
+    until no clash is left; clashes left after ``rounds`` are an error (a corpus that holds almost all numbers of a length).
     """
     kind = entity_type(F.col("value"))
     base = stored(found.select("value", kind.alias("kind")).withColumn("plain", canonical(F.col("kind"), F.col("value"))), "entities")
@@ -234,10 +241,10 @@ def exceptions(found: DataFrame, key: str, rounds: int = 8) -> DataFrame:
         real = current.join(current.select("kind", F.col("plain").alias("mask")), ["kind", "mask"], "left_semi").select("kind", "plain")
         clash = stored(shared.union(real).distinct(), "clashes")
         if not clash.limit(1).count():
-            break
+            return current.where("attempt > 0").select("value", "attempt")
         again = current.join(clash, ["kind", "plain"], "left_semi").withColumn("attempt", F.col("attempt") + 1).drop("mask")
         current = stored(current.join(clash, ["kind", "plain"], "left_anti").unionByName(_rows(again, key)), "surrogates")
-    return current.where("attempt > 0").select("value", "attempt")
+    raise RuntimeError(f"surrogates clash after {rounds} rounds")
 
 
 def replace_entities(docs: DataFrame, key: str = "corpus-key") -> DataFrame:

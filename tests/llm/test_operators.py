@@ -189,6 +189,20 @@ def test_clashes_are_drawn_again(spark):
     assert {r.attempt for r in redrawn.collect()} <= set(range(1, 9))
 
 
+def test_no_clash_is_left(spark, monkeypatch):
+    monkeypatch.setitem(pii.SYLLABLES, "latin", ["bar", "ben", "dor"])  # 81 short family names for 120 names
+    values = [f"Mr. A{chr(97 + i % 26)}{chr(97 + i // 26)}x" for i in range(120)]
+    redrawn = pii.exceptions(spark.createDataFrame([(v,) for v in values], "value string"), "k")
+    assert_distinct(drawn(spark, values, redrawn))
+
+
+def test_clashes_that_stay_are_an_error(spark, monkeypatch):
+    monkeypatch.setitem(pii.SYLLABLES, "latin", ["bar"])  # two family names for three
+    found = spark.createDataFrame([("Mr. Aax",), ("Mr. Abx",), ("Mr. Acx",)], "value string")
+    with pytest.raises(RuntimeError):
+        pii.exceptions(found, "k", rounds=6)
+
+
 # --- 3: exact duplicates --------------------------------------------------------------------------------------------
 def test_exact(spark, tmp_path):
     texts = [(1, "Abc"), (2, "aBC"), (3, None), (4, ""), (5, "É"), (6, "é"), (7, "x"), (7, "x")]
