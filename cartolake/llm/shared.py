@@ -22,10 +22,13 @@ def small_batches(spark: SparkSession) -> None:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path under ``spark.checkpoint.dir``; only where that is unset, under a temporary folder (tests)."""
+    """A new path under ``spark.checkpoint.dir``. Where that is unset, a local session (as in tests) sets one of its own; on a
+    cluster, whose machines share no temporary folder, it is an error."""
     small_batches(spark)
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/cartolake/{name}-{uuid.uuid4().hex}"
