@@ -1,9 +1,13 @@
-"""Byte-level BPE encoding and decoding.
+"""Byte-level BPE encoding and decoding by tree concatenation.
 
-Texts are cut where a single space follows a character that is no white space: no pre-token of this family of tokenizers
-reaches over such a place, so the cut pieces can be encoded apart. Pieces repeat, so each distinct one is encoded once in
-a worker. A pre-token that is still long (unsplit text) goes through tree concatenation: its halves are encoded in
-parallel, and at each join growing windows are encoded again until both sides agree exactly.
+A long text is not split beforehand: it is halved, wherever that falls, until its parts are short. The parts are encoded in
+parallel, and at each join of two halves growing windows around it are encoded again, until the outermost pieces of the
+window are those that both sides have there, with the same ids; then nothing beyond the window can differ.
+
+Inside a part, and inside a window, pieces begin where a single space follows a character that is no white space: no
+pre-token of this family of tokenizers reaches over such a place, so an agreement there is exact. A piece without any such
+place that is still long goes through the same tree on its bytes, with windows of tokens. Short pieces repeat, so each
+distinct one is encoded once in a worker; caches are bounded by bytes.
 """
 
 from __future__ import annotations
@@ -21,7 +25,7 @@ from tokenizers import Tokenizer, models
 
 from cartolake.llm.shared import mapped, text_or_empty
 
-LEAF_CHARS = 2048
+LEAF_CHARS = 4096
 #: Fixed value: how byte-level tokenizers of this family split text before merging.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 _CUT = re.compile(r"(?<=\S)(?= )")
@@ -36,14 +40,25 @@ def _odd(text: str) -> bool:
     return _ODD_SPACE.search(text) is not None
 
 
+#: Characters of a piece that is remembered, and of all pieces that a worker remembers.
+KEPT_CHARS = 64
+CACHE_CHARS = 4 << 20
+
+
 class _Pieces(dict):
-    """Ids of pieces with their leading text, encoded when first asked for."""
+    """Ids of pieces with their leading text, encoded when first asked for. Short ones are kept while they fit in CACHE_CHARS."""
 
     def __init__(self, bpe: ByteBpe, lead: str):
-        self.bpe, self.lead = bpe, lead
+        self.bpe, self.lead, self.held = bpe, lead, 0
 
     def __missing__(self, key: str) -> bytes:
-        self[key] = ids = self.bpe._piece(self.lead + key)
+        ids = self.bpe._piece(self.lead + key)
+        if len(key) <= KEPT_CHARS:
+            if self.held > CACHE_CHARS:
+                self.clear()
+                self.held = 0
+            self[key] = ids
+            self.held += len(key)
         return ids
 
 
@@ -90,7 +105,7 @@ class TreeEncoder:
 class ByteBpe:
     """Encodes texts to little-endian unsigned 32-bit ids as the library does with ``add_special_tokens=False``."""
 
-    def __init__(self, path: str, leaf: int = LEAF_CHARS, keep: int = 300_000):
+    def __init__(self, path: str, leaf: int = LEAF_CHARS):
         config = json.load(open(path, encoding="utf-8"))
         if config.get("normalizer") or (config.get("pre_tokenizer") or {}).get("type") != "ByteLevel":
             raise ValueError("a byte-level tokenizer without a normalizer is expected")
@@ -103,9 +118,10 @@ class ByteBpe:
         self.added = {t["content"]: t["id"] for t in added}
         self._added_cut = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if added else None
         self.tree = TreeEncoder(config, leaf)
-        self.leaf, self.keep = leaf, keep
-        self.spaced = _Pieces(self, " ")
-        self.first = _Pieces(self, "")
+        self.leaf = leaf
+        self.spaced, self.first = _Pieces(self, " "), _Pieces(self, "")
+        #: Joins made so far, and encoded windows; a join has one window or more.
+        self.joins = self.windows = 0
         letters = _byte_letters()
         self.bytes_of = {i: bytes(letters[c] for c in t) for t, i in config["model"]["vocab"].items()}
         self.quick = self._quick(config["model"])
@@ -138,18 +154,49 @@ class ByteBpe:
             return array("I", self.quick.encode_ordinary(text)).tobytes()
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
+    def _encoded(self, text: str) -> tuple[list[str], list[bytes]]:
+        """The text's pieces with their ids: its head, then what begins at a safe space, without that space."""
+        if _odd(text):
+            head, *rest = _CUT.split(text)
+            pieces = [p[1:] for p in rest]
+        else:
+            head, *pieces = text.split(" ")
+        ids = [self.first[head], *map(self.spaced.__getitem__, pieces)]
+        return [head, *pieces], ids
+
+    def join(self, left: tuple[list[str], list[bytes]], right: tuple[list[str], list[bytes]]) -> tuple[list[str], list[bytes]]:
+        """Pieces and ids of the joined text from those of its halves; ``left`` is changed into it."""
+        self.joins += 1
+        (left_pieces, left_ids), (right_pieces, right_ids) = left, right
+        reach = 1
+        while True:
+            i, j = max(0, len(left_pieces) - reach), min(len(right_pieces), reach)
+            # Every piece but the head of the left half begins with its space.
+            window = (" " if i else "") + " ".join(left_pieces[i:]) + " ".join(right_pieces[:j])
+            pieces, ids = self._encoded(window)
+            if i:
+                pieces[0] = pieces[0][1:]
+            self.windows += 1
+            left_agrees = i == 0 or (pieces[0] == left_pieces[i] and ids[0] == left_ids[i])
+            right_agrees = j == len(right_pieces) or (len(pieces) > 1 and pieces[-1] == right_pieces[j - 1] and ids[-1] == right_ids[j - 1])
+            if left_agrees and right_agrees:
+                left_pieces[i:], left_ids[i:] = pieces + right_pieces[j:], ids + right_ids[j:]
+                return left
+            reach *= 2
+
+    def _leaves(self, text: str) -> list[str]:
+        parts = [text]
+        while len(parts[0]) > self.leaf:
+            parts = [h for p in parts for h in (p[: (len(p) + 1) // 2], p[(len(p) + 1) // 2 :]) if h]
+        return parts
+
     def encode(self, texts: list[str]) -> list[bytes]:
-        for cache in (self.spaced, self.first):
-            if len(cache) > self.keep:
-                cache.clear()
-        spaced, first, out = self.spaced.__getitem__, self.first, []
-        for text in texts:
-            if _odd(text):
-                head, *rest = _CUT.split(text)
-                out.append(first[head] + b"".join([spaced(p[1:]) for p in rest]))
-            else:
-                head, *rest = text.split(" ")
-                out.append(first[head] + b"".join(map(spaced, rest)))
+        """Ids of each text; the leaves of all texts are encoded before any are joined."""
+        out, leaves = [], [[self._encoded(leaf) for leaf in self._leaves(text)] for text in texts]
+        for parts in leaves:
+            while len(parts) > 1:
+                parts = [self.join(*parts[i : i + 2]) if i + 1 < len(parts) else parts[i] for i in range(0, len(parts), 2)]
+            out.append(b"".join(parts[0][1]))
         return out
 
     def decode(self, ids: list[int]) -> str:

@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 
 from cartolake.llm.kernel import U64, Joined, in_group, later, owner
+from cartolake.llm.quality_rules import measure
 
 SIZE = 8192
 #: Rows of features that are held at once.
@@ -43,6 +44,22 @@ def features(texts: pa.Array) -> np.ndarray:
     return out
 
 
+#: Weight of a style feature.
+STYLE = 0.25
+
+
+def add_style(out: np.ndarray, texts: pa.Array) -> np.ndarray:
+    """``out`` with features of style: the hashed step on which each ratio of the texts' measures lies."""
+    words, chars, symbols, dup_lines, repeats, lines, stops, letters = (m.astype(float) for m in measure(texts))
+    ratio = lambda a, b: a / np.maximum(b, 1)
+    ratios = [words, ratio(chars, words), ratio(100 * symbols, words), ratio(100 * dup_lines, lines), ratio(100 * repeats, words), ratio(100 * stops, words), 100 - ratio(100 * letters, chars)]
+    rows = np.arange(len(out))
+    for i, r in enumerate(ratios):
+        step = np.floor(2 * np.log2(1 + np.maximum(r, 0))).astype(np.int64)
+        out[rows, (((i + 1) * 1009 + step) * 0x9E3779B1 >> 9) % (SIZE - 1)] += STYLE
+    return out
+
+
 def in_rows(part: pa.RecordBatch, rows: int = ROWS) -> Iterator[pa.RecordBatch]:
     for i in range(0, part.num_rows, rows):
         yield part.slice(i, rows)

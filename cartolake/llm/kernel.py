@@ -12,8 +12,9 @@ import pyarrow as pa
 from cartolake.llm.shared import as_bytes
 
 U64 = np.uint64
-_BASE = 0x9E3779B97F4A7C15 | 1
-_powers: dict[str, np.ndarray] = {}
+#: Bases of two independent hashes.
+BASES = (0x9E3779B97F4A7C15, 0xA0761D6478BD642F)
+_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -30,21 +31,24 @@ IS_SPACE = np.zeros(256, bool)
 IS_SPACE[[32, 9, 10, 11, 12, 13]] = True
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+def powers(n: int, base: int = BASES[0]) -> tuple[np.ndarray, np.ndarray]:
     """The first ``n`` powers of the base and of its inverse modulo 2**64."""
-    if "up" not in _powers or len(_powers["up"]) < n:
-        size = max(n, 1 << 20)
-        for name, base in (("up", _BASE), ("down", pow(_BASE, -1, 1 << 64))):
-            x = np.full(size, base, dtype=U64)
+    if base not in _powers or len(_powers[base][0]) < n:
+        made = []
+        for b in (base, pow(base, -1, 1 << 64)):
+            x = np.full(max(n, 1 << 20), b, dtype=U64)
             x[0] = 1
-            _powers[name] = np.multiply.accumulate(x)
-    return _powers["up"][:n], _powers["down"][:n]
+            made.append(np.multiply.accumulate(x))
+        _powers[base] = tuple(made)
+    up, down = _powers[base]
+    return up[:n], down[:n]
 
 
 class Joined:
     """Bytes of a column's texts end to end; ``at`` holds where each begins, with the total at the end."""
 
-    def __init__(self, texts: pa.Array, lower: bool = False):
+    def __init__(self, texts: pa.Array, lower: bool = False, base: int = BASES[0]):
+        self.base = base
         array = as_bytes(texts)
         offsets = np.frombuffer(array.buffers()[1], dtype=np.int64)[array.offset : array.offset + len(array) + 1]
         data = array.buffers()[2]
@@ -59,10 +63,10 @@ class Joined:
     def hashes(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """A mixed hash of each byte range."""
         if self._sums is None:
-            up, _ = powers(len(self.data) + 1)
+            up, _ = powers(len(self.data) + 1, self.base)
             self._sums = np.zeros(len(self.data) + 1, dtype=U64)
-            np.cumsum(BYTE_VALUE[self.data] * up[:-1], out=self._sums[1:])
-        _, down = powers(len(self.data) + 1)
+            np.cumsum(mix(BYTE_VALUE * U64(self.base))[self.data] * up[:-1], out=self._sums[1:])
+        _, down = powers(len(self.data) + 1, self.base)
         return mix((self._sums[end] - self._sums[start]) * down[start] + (end - start).astype(U64))
 
     def grams(self, k: int) -> np.ndarray:
@@ -71,7 +75,7 @@ class Joined:
         if n <= 0:
             return np.zeros(0, U64)
         self.hashes(np.zeros(0, np.int64), np.zeros(0, np.int64))
-        return mix((self._sums[k:] - self._sums[:-k]) * powers(len(self.data) + 1)[1][:n])
+        return mix((self._sums[k:] - self._sums[:-k]) * powers(len(self.data) + 1, self.base)[1][:n])
 
     def words(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Start and end of every maximal run without ASCII white space, and at which word each text begins."""

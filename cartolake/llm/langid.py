@@ -6,7 +6,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cartolake.llm.grams import features, in_rows, scale_of
@@ -27,11 +27,11 @@ FAMILIES = {
 }
 
 
-def svm(x: np.ndarray, y: np.ndarray, strength: float = 1e-3, rounds: int = 200) -> np.ndarray:
+def svm(x: np.ndarray, y: np.ndarray, strength: float = 1e-3, rounds: int = 80) -> np.ndarray:
     """Weights (the last is the intercept) of a linear machine with squared hinge loss; ``y`` is 1 or -1, classes balanced."""
     x = np.concatenate([x, np.ones((len(x), 1), np.float32)], axis=1)
     weight = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum())).astype(np.float32)
-    step = 1 / (2 * float((weight[:, None] * x * x).sum()) + strength)
+    step = 1 / (2 * largest(x, weight) + strength)
     w = v = np.zeros(x.shape[1], np.float32)
     t = 1.0
     for _ in range(rounds):
@@ -43,6 +43,19 @@ def svm(x: np.ndarray, y: np.ndarray, strength: float = 1e-3, rounds: int = 200)
     return w.astype(np.float32)
 
 
+def largest(x: np.ndarray, weight: np.ndarray, rounds: int = 12) -> float:
+    """An upper estimate of the largest eigenvalue of x' diag(weight) x, by power iteration."""
+    v = np.full(x.shape[1], 1 / np.sqrt(x.shape[1]), np.float32)
+    size = 0.0
+    for _ in range(rounds):
+        v = x.T @ (weight * (x @ v))
+        size = float(np.linalg.norm(v))
+        if not size:
+            return 0.0
+        v /= size
+    return 1.3 * size
+
+
 def one_versus_one(x: np.ndarray, label: np.ndarray, classes: list[str]) -> dict:
     pairs = list(combinations(range(len(classes)), 2))
     weights = []
@@ -95,18 +108,20 @@ def predict(model: dict, x: np.ndarray) -> tuple[list[str], np.ndarray]:
 
 
 def training_rows(docs: DataFrame, rows: int = TRAINING_ROWS) -> DataFrame:
-    """(lang, text): at most ``rows`` texts with a language in all, an equal share per language, chosen by hash.
+    """(lang, text): at most ``rows`` texts with a language in all, about an equal share per language, chosen by hash.
 
-    The least hashes win; a task passes on no more than one language's share (a limit inside the window), so the largest
-    language is not gathered.
+    Each language has a threshold on hashes of doc_id, from its count; so rows are picked where they are, and no language is
+    gathered. More than ``rows`` languages are an error.
     """
     usable = docs.where("lang is not null and text is not null")
-    langs = max(1, usable.select("lang").distinct().count())
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    picked = usable.select("doc_id", "lang").withColumn("r", F.row_number().over(order)).where(F.col("r") <= max(20, rows // langs)).select("doc_id", "lang")
-    if picked.count() <= 5 * rows:
-        picked = F.broadcast(picked)
-    return docs.select("doc_id", "text").where("text is not null").join(picked, "doc_id").select("lang", "text")
+    counts = usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    langs = counts.limit(rows + 1).count()
+    if langs > rows:
+        raise ValueError("more languages than training rows")
+    counts = F.broadcast(counts)  # at most ``rows`` of them
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) / float(1 << 40)
+    picked = usable.select("lang", "text", place.alias("__at")).join(counts, "lang").where(F.col("__at") * F.col("n") < rows / max(1, langs))
+    return picked.orderBy("__at", "lang").limit(rows).select("lang", "text")
 
 
 def fit(docs: DataFrame, families: dict[str, list[str]] | None = None, rows: int = TRAINING_ROWS) -> dict | None:

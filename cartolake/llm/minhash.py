@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cartolake.llm.kernel import U64, Joined, in_group, later, mix, owner, windows
-from cartolake.llm.shared import forget, mapped, stored, text_or_empty
+from cartolake.llm.shared import bit_marked, forget, mapped, stored, text_or_empty
 
 COORDINATES = 64
 BLOCK = 2048
@@ -340,22 +340,9 @@ def _runs(batch: pa.RecordBatch) -> np.ndarray:
     return np.cumsum(new)
 
 
-#: Bits of the filter that spares texts a shuffle: 8 MB, whatever the number of documents.
-FILTER_BITS = 1 << 26
-
-
 def likely(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``docs`` without most rows whose doc_id is not in ``wanted``.
-
-    A bitmap of hashed ids, of fixed size, is broadcast to the scan. It lets some other rows pass (all of them, if it is
-    full), so a join must follow; it only makes that join's shuffle smaller.
-    """
-    place = lambda: F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))
-    bits = wanted.select(place().alias("h")).groupBy(F.bitmap_bucket_number("h").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("h")).alias("bits"))
-    at = F.bitmap_bit_position(place())
-    byte = F.conv(F.hex(F.substring("bits", (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    found = docs.withColumn("bucket", F.bitmap_bucket_number(place())).join(F.broadcast(bits), "bucket")
-    return found.where(F.getbit(byte, (at % 8).cast("int")) == 1).select(docs.columns)
+    """``docs`` without most rows whose doc_id is not in ``wanted``; a join must follow, whose shuffle it makes smaller."""
+    return bit_marked(docs, "doc_id", wanted, "doc_id", "__maybe").where("__maybe").drop("__maybe")
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, percent: int, k: int = 5) -> DataFrame:

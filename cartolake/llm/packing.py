@@ -60,24 +60,28 @@ def solve_counts(histogram: np.ndarray, combos: list[tuple[int, ...]], rounds: i
         y = np.maximum(0, new + (last - 1) / t * (new - x))
         x = new
     counts = np.floor(x + 1e-9).astype(np.int64)
-    left = histogram.astype(np.int64).copy()
+    left = histogram.tolist()
     order = np.argsort(-x, kind="stable")
-    for k in order:  # rounding and over-use are settled here
-        need = np.bincount(combos[k])
-        at = np.flatnonzero(need)
-        fit = int((left[at] // need[at]).min())
-        counts[k] = min(fit, int(counts[k]) if counts[k] else 0)
-        left[at] -= counts[k] * need[at]
-    for k in order:
-        need = np.bincount(combos[k])
-        at = np.flatnonzero(need)
-        if fit := int((left[at] // need[at]).min()):
-            counts[k] += fit
-            left[at] -= fit * need[at]
+
+    def take(k: int, most: int | None) -> int:
+        """Uses combination ``k`` as often as what is left allows, ``most`` times at most."""
+        combo = combos[k]
+        fit = min(left[n] // combo.count(n) for n in combo)
+        fit = fit if most is None else min(fit, most)
+        for n in combo:
+            left[n] -= fit
+        return fit
+
+    for k in order[counts[order] > 0].tolist():  # rounding and over-use are settled here
+        counts[k] = take(k, int(counts[k]))
+    # What is left only shrinks: a combination that lacks a length now never fits again.
+    lacks = np.bincount(column[(np.array(left) == 0)[length]], minlength=len(combos)) > 0
+    for k in order[~lacks[order]].tolist():
+        counts[k] += take(k, None)
     return counts
 
 
-def pack(sizes: np.ndarray, window: int) -> np.ndarray:
+def pack(sizes: np.ndarray, window: int, deepest: int = 400) -> np.ndarray:
     """Rows (document, start, length, sequence, offset) for documents of ``sizes`` tokens.
 
     Full windows of a document stand alone. The remainders' histogram goes to the solver. What is left is laid end to end
@@ -95,7 +99,7 @@ def pack(sizes: np.ndarray, window: int) -> np.ndarray:
     histogram = np.bincount(rest[order], minlength=window + 1)
     first = np.concatenate([[0], np.cumsum(histogram)])[:-1]  # of each length, in ``order``
     taken = np.zeros(window + 1, np.int64)
-    combos = combinations(histogram, window)
+    combos = combinations(histogram, window, deepest)
     for combo, times in zip(combos, solve_counts(histogram, combos), strict=True):
         if not times:
             continue
@@ -127,12 +131,14 @@ def pack(sizes: np.ndarray, window: int) -> np.ndarray:
     return np.concatenate(pieces).astype(np.int64)
 
 
-def pack_documents(docs: DataFrame, path: str, window: int = 2048, end_id: int = 1) -> DataFrame:
+def pack_documents(docs: DataFrame, path: str, window: int = 2048, end_id: int = 1, deepest: int = 400) -> DataFrame:
     """Per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     A document's ids are its text's, then ``end_id``; null text counts as empty, so it is one token. Documents are packed
     in lots of LOT_TOKENS within a task: every lot solves its own histogram, no rows move between tasks, and at most the
-    few shorter sequences at a lot's end are not full. sequence_id is unique over all lots. Repeated rows are packed each
+    few shorter sequences at a lot's end are not full. sequence_id is unique over all lots. Combinations of three lengths are
+    formed from a lot's ``deepest`` most frequent lengths; a smaller number costs no padding, as what no combination takes is
+    laid end to end, but cuts more documents. Repeated rows are packed each
     for itself; no rows give no pieces; other columns are ignored.
     """
 
@@ -140,7 +146,7 @@ def pack_documents(docs: DataFrame, path: str, window: int = 2048, end_id: int =
         doc_id = pa.concat_arrays([d for d, _ in parts])
         raw = [r for _, rs in parts for r in rs]
         sizes = np.array([len(r) // 4 for r in raw], np.int64)
-        out = pack(sizes, window)
+        out = pack(sizes, window, deepest)
         crc = [zlib.crc32(raw[d][4 * s : 4 * (s + n)]) for d, s, n in out[:, :3].tolist()]
         columns = [doc_id.take(pa.array(out[:, 0])), out[:, 1], out[:, 2], np.array(crc, np.int64), sizes[out[:, 0]], base + out[:, 3], out[:, 4]]
         return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], _NAMES)

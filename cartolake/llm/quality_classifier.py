@@ -5,11 +5,12 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cartolake.llm.em import fit_votes
-from cartolake.llm.grams import SIZE, features, in_rows, scale_of
+from cartolake.llm.grams import SIZE, add_style, features, in_rows, scale_of
 from cartolake.llm.quality_rules import measures, rules
 from cartolake.llm.shared import mapped, stored, text_or_empty
 
@@ -37,8 +38,8 @@ def label_model(found: DataFrame) -> DataFrame:
     posterior = fit_votes(votes, np.array([r["count"] for r in seen], dtype=float))["posterior"]
     if not seen:
         return found.withColumn("weak_label", F.lit(None).cast("double"))
-    table = F.create_map(*[F.lit(x) for r, p in zip(seen, posterior, strict=True) for x in (r["pattern"], float(p))])
-    return found.withColumn("weak_label", F.element_at(table, pattern))
+    known = found.sparkSession.createDataFrame([(r["pattern"], float(p)) for r, p in zip(seen, posterior, strict=True)], "pattern string, weak_label double")
+    return found.withColumn("pattern", pattern).join(F.broadcast(known), "pattern").drop("pattern")  # a row per pattern
 
 
 def logistic(x: np.ndarray, p: np.ndarray, strength: float = 1e-3, rounds: int = 300) -> np.ndarray:
@@ -56,12 +57,18 @@ def logistic(x: np.ndarray, p: np.ndarray, strength: float = 1e-3, rounds: int =
     return w.astype(np.float32)
 
 
+def _features(texts: pa.Array) -> np.ndarray:
+    return add_style(features(texts), texts)
+
+
 def fit_scorer(docs: DataFrame, labelled: DataFrame, rows: int = TRAINING_ROWS) -> dict:
-    """A scorer from at most ``rows`` texts, those with the least hashes of doc_id."""
-    picked = labelled.select("doc_id", "weak_label").orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)  # bounded by rows
+    """A scorer from at most ``rows`` texts: of those that are rather good and those that are rather bad, the ones with the
+    least hashes of doc_id, half of ``rows`` each."""
+    least = lambda side: labelled.where(side).select("doc_id", "weak_label").orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows // 2)
+    picked = least(F.col("weak_label") < 0.5).union(least(F.col("weak_label") >= 0.5))  # bounded by rows
 
     def make(part: pa.RecordBatch) -> list:
-        raw = [r.astype(np.float16).tobytes() for piece in in_rows(part) for r in features(piece.column("text"))]
+        raw = [r.astype(np.float16).tobytes() for piece in in_rows(part) for r in _features(piece.column("text"))]
         return [part.column("weak_label"), pa.array(raw, pa.binary())]
 
     texts = docs.select("doc_id", text_or_empty().alias("text")).join(F.broadcast(picked), "doc_id").select("weak_label", "text")
@@ -81,9 +88,10 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
     def make(part: pa.RecordBatch) -> list:
         out = []
         for piece in in_rows(part):
-            x = features(piece.column("text"))
+            x = _features(piece.column("text"))
             line = (x * sent.value["scale"]) @ sent.value["weights"][:-1] + sent.value["weights"][-1]
-            out.append(np.where(x.any(axis=1), 1 / (1 + np.exp(-np.clip(line, -30, 30))), 0.0))
+            empty = np.asarray(pc.binary_length(piece.column("text"))) == 0
+            out.append(np.where(~empty, 1 / (1 + np.exp(-np.clip(line, -30, 30))), 0.0))
         return [part.column("doc_id"), pa.array(np.concatenate(out) if out else np.zeros(0), pa.float64())]
 
     return mapped(docs.select("doc_id", text_or_empty().alias("text")), "text", "doc_id long, score double", ["doc_id", "score"], make)

@@ -19,6 +19,12 @@ from cartolake.llm.quality_rules import quality_rules
 from cartolake.llm.rindex import remove_repeats
 from cartolake.llm.token_counts import token_counts
 
+
+def surrogate_key(spark: SparkSession) -> str:
+    """The secret that surrogates depend on, from the session; the test tables do with a public one."""
+    return spark.conf.get("spark.cartolake.surrogateKey", "key of the test tables")
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
@@ -29,7 +35,7 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return replace_entities(documents(spark, sf_dir)).select("doc_id", "text", "n_entities")
+    return replace_entities(documents(spark, sf_dir), surrogate_key(spark)).select("doc_id", "text", "n_entities")
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

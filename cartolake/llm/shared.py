@@ -52,6 +52,24 @@ def forget(*tables: DataFrame) -> None:
             path.getFileSystem(conf).delete(path, True)
 
 
+#: Bits of a filter of hashed keys: 8 MB, whatever the number of keys.
+FILTER_BITS = 1 << 26
+
+
+def bit_marked(df: DataFrame, column: str, wanted: DataFrame, key: str, name: str) -> DataFrame:
+    """``df`` with a boolean ``name``: false where ``column`` is surely not among the ``key`` values of ``wanted``.
+
+    A bitmap of hashed keys, of fixed size, is broadcast. It lets some other rows pass (all of them, if it is full), so a join
+    must follow for those that do.
+    """
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_BITS))
+    bits = wanted.select(place(key).alias("h")).groupBy(F.bitmap_bucket_number("h").alias("__bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("h")).alias("__bits"))
+    at = F.bitmap_bit_position(place(column))
+    byte = F.conv(F.hex(F.substring("__bits", (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    found = df.withColumn("__bucket", F.bitmap_bucket_number(place(column))).join(F.broadcast(bits), "__bucket", "left")
+    return found.select(*[F.col(c) for c in df.columns], F.coalesce(F.getbit(byte, (at % 8).cast("int")) == 1, F.lit(False)).alias(name))
+
+
 def text_or_empty(column: str = "text") -> F.Column:
     return F.coalesce(F.col(column), F.lit(""))
 

@@ -9,7 +9,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from tokenizers import Tokenizer
 
-from cartolake.llm.bpe import texts_of
+from cartolake.llm.bpe import CACHE_CHARS, KEPT_CHARS, texts_of
 from cartolake.llm.shared import mapped, text_or_empty
 
 MARK = "▁"
@@ -23,29 +23,33 @@ class PieceCounter:
 
     With an identity normaliser, a dummy prefix and no piece that holds a space mark after another character, a single
     space between two other characters is a safe boundary: the right part gets its mark back as the dummy prefix. Whole
-    texts are split there, and each distinct part is encoded once in a worker. Other models get whole texts.
+    texts are split there. Each distinct short part is encoded once in a worker, as long as they fit in CACHE_CHARS; long
+    parts are not kept. Other models get whole texts.
     """
 
-    def __init__(self, path: str, keep: int = 400_000):
+    def __init__(self, path: str):
         self.model = sentencepiece.SentencePieceProcessor(model_file=path)
         pieces = [self.model.id_to_piece(i) for i in range(self.model.get_piece_size())]
         probe = self.model.encode("ﬁ  a", out_type=str)
         self.safe = not any(MARK in p.lstrip(MARK) for p in pieces) and "".join(probe) == f"{MARK}ﬁ{MARK}{MARK}a"
         self.known: dict[str, int] = {"": 0}
-        self.keep = keep
+        self.held = 0
 
     def counts(self, texts: list[str]) -> list[int]:
         if not self.safe:
             return [len(x) for x in self.model.encode(texts, num_threads=1)]
-        if len(self.known) > self.keep:
-            self.known = {"": 0}
+        if self.held > CACHE_CHARS:
+            self.known, self.held = {"": 0}, 0
         parts = [_CUT.split(t) if _ODD.search(t) else t.split(" ") for t in texts]
         need: set[str] = set()
         for p in parts:
             need.update(p)
         new = [k for k in need if k not in self.known]
-        self.known.update(zip(new, map(len, self.model.encode(new, num_threads=1)), strict=True))
-        look = self.known.__getitem__
+        found = dict(zip(new, map(len, self.model.encode(new, num_threads=1)), strict=True))
+        long = {k: found.pop(k) for k in new if len(k) > KEPT_CHARS}
+        self.known.update(found)
+        self.held += sum(map(len, found))
+        look = self.known.__getitem__ if not long else lambda k: self.known[k] if k in self.known else long[k]
         return [sum(map(look, p)) for p in parts]
 
 
