@@ -8,6 +8,7 @@ twice or more are checked on the full bytes; texts that share a digest but diffe
 from __future__ import annotations
 
 import hashlib
+import uuid
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 from cartolake.llm.shared import as_bytes, mapped, scratch, stored
 
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
+_DIGESTS = "doc_id long, text_sha256 string, row string, batch string"
 _STATE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
@@ -45,56 +47,67 @@ def digests(docs: DataFrame) -> DataFrame:
     return mapped(rows, "text", "doc_id long, text_sha256 string, row string", ["doc_id", "text_sha256", "row"], make)
 
 
-def stream_state(spark: SparkSession, digest_path: str, bytes_per_batch: int = 8 << 30) -> DataFrame:
-    """Run the keyed stream over all digest files and read its state: text_sha256, doc_id, row, group_size."""
-    for key, value in _STATE.items():
-        spark.conf.set(key, value)
-    checkpoint = scratch(spark, "dedup-state")
-    schema = "doc_id long, text_sha256 string, row string"
-    feed = spark.readStream.schema(schema).option("maxBytesPerTrigger", str(bytes_per_batch)).parquet(digest_path)
-    held = feed.groupBy("text_sha256").agg(
-        F.max(F.struct("doc_id", "row")).alias("stays"), F.count(F.lit(1)).alias("group_size")
-    )
-    run = held.writeStream.outputMode("update").format("noop").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    run.awaitTermination()
-    if not spark.read.parquet(digest_path).limit(1).count():
+def stream_state(spark: SparkSession, folder: str, bytes_per_batch: int = 8 << 30) -> DataFrame:
+    """Run the keyed stream over the digest files of ``folder`` that it has not seen yet, and read its state: text_sha256,
+    keep_id, keep_row, group_size. The state stays in the folder without expiry; the session's settings are put back."""
+    before = {key: spark.conf.get(key, None) for key in _STATE}
+    try:
+        for key, value in _STATE.items():
+            spark.conf.set(key, value)
+        feed = spark.readStream.schema(_DIGESTS).option("maxBytesPerTrigger", str(bytes_per_batch)).parquet(f"{folder}/digests")
+        held = feed.groupBy("text_sha256").agg(F.max(F.struct("doc_id", "row")).alias("stays"), F.count(F.lit(1)).alias("group_size"))
+        run = held.writeStream.outputMode("update").format("noop").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+        run.awaitTermination()
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+    if not spark.read.schema(_DIGESTS).parquet(f"{folder}/digests").limit(1).count():
         return spark.createDataFrame([], "text_sha256 string, keep_id long, keep_row string, group_size long")
-    state = spark.read.format("statestore").load(checkpoint)
+    state = spark.read.format("statestore").load(f"{folder}/state")
     stays, size = (F.col("value").getField(f.name) for f in state.schema["value"].dataType.fields)
     return state.select(
         F.col("key.text_sha256").alias("text_sha256"), stays["doc_id"].alias("keep_id"), stays["row"].alias("keep_row"), size.alias("group_size")
     )
 
 
-def byte_classes(docs: DataFrame, hits: DataFrame) -> DataFrame:
-    """For documents of repeated digests: one row per (digest, full normalised bytes) with the row that stays."""
+def clashing(docs: DataFrame, hits: DataFrame) -> DataFrame:
+    """(text_sha256) of repeated digests whose texts are not all the same bytes.
+
+    ``hits``: doc_id and text_sha256 of all rows of repeated digests. Least and greatest bytes of each digest are compared, so a
+    task passes on two texts of a group at most.
+    """
 
     def make(part: pa.RecordBatch) -> list:
         out = [normal_bytes(t) for t in as_bytes(part.column("text")).to_pylist()]
-        return [part.column("doc_id"), part.column("text_sha256"), part.column("row"), pa.array(out, pa.binary())]
+        own = [hashlib.sha256(t).hexdigest() for t in out]
+        keep = pa.array([a == b for a, b in zip(own, part.column("text_sha256").to_pylist(), strict=True)])
+        return [part.column("text_sha256").filter(keep), pa.array(out, pa.binary()).filter(keep)]
 
-    texts = docs.select("doc_id", "text").join(hits.select("doc_id", "text_sha256", "row"), "doc_id")
-    names = ["doc_id", "text_sha256", "row", "body"]
-    full = mapped(texts, "text", "doc_id long, text_sha256 string, row string, body binary", names, make)
-    return full.groupBy("text_sha256", "body").agg(F.max(F.struct("doc_id", "row")).alias("stays"), F.count(F.lit(1)).alias("n"))
+    texts = docs.select("doc_id", "text").join(hits.select("doc_id", "text_sha256").distinct(), "doc_id")
+    full = mapped(texts, "text", "text_sha256 string, body binary", ["text_sha256", "body"], make)
+    return full.groupBy("text_sha256").agg(F.min("body").alias("lo"), F.max("body").alias("hi")).where("lo <> hi").select("text_sha256")
 
 
-def exact_dedup(docs: DataFrame, with_row: bool = False) -> DataFrame:
+def exact_dedup(docs: DataFrame, with_row: bool = False, folder: str | None = None, earlier: DataFrame | None = None) -> DataFrame:
     """Per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256, and its locator ``with_row``.
 
     ``docs`` must be read from files (the locator is file and row). Texts are equal if identical after lower-casing A-Z;
     the largest doc_id stays, and of rows that repeat that doc_id the last locator, so exactly one row of a group is kept.
     Null text counts as empty; a null doc_id loses to any other. No rows in, no rows out. Other columns are ignored.
+
+    With a ``folder`` the state outlives the call: the next call with it goes on from there, and its rows are held against all
+    that came before. ``earlier`` are those documents, whose bytes are checked on hits.
     """
     spark = docs.sparkSession
-    seen = stored(digests(docs), "digests")
-    path = seen.inputFiles()[0].rsplit("/", 1)[0] if seen.inputFiles() else None
-    if path is None:
-        return spark.createDataFrame([], "doc_id long, keep_id long, group_size long, kept boolean, text_sha256 string" + ", row string" * with_row)
-    state = stored(stream_state(spark, path), "dedup-held")
-    hits = seen.join(state.where("group_size > 1").select("text_sha256"), "text_sha256", "left_semi")
-    classes = byte_classes(docs, hits)
-    clashes = stored(classes.groupBy("text_sha256").agg(F.count(F.lit(1)).alias("bodies")).where("bodies > 1"), "dedup-clashes")
+    folder = folder or scratch(spark, "dedup")
+    batch = uuid.uuid4().hex
+    digests(docs).withColumn("batch", F.lit(batch)).write.mode("append").parquet(f"{folder}/digests")
+    every = spark.read.schema(_DIGESTS).parquet(f"{folder}/digests")
+    seen = every.where(F.col("batch") == batch).drop("batch")
+    state = stored(stream_state(spark, folder), "dedup-held")
+    hits = every.join(state.where("group_size > 1").select("text_sha256"), "text_sha256", "left_semi")
+    own = docs.select("doc_id", "text")
+    clashes = stored(clashing(own if earlier is None else own.unionByName(earlier.select("doc_id", "text")), hits), "dedup-clashes")
     out = seen.join(state, "text_sha256", "left")
     if clashes.limit(1).count():
         out = _split(docs, seen, out, clashes)
@@ -106,7 +119,7 @@ def exact_dedup(docs: DataFrame, with_row: bool = False) -> DataFrame:
 
 
 def _split(docs: DataFrame, seen: DataFrame, out: DataFrame, clashes: DataFrame) -> DataFrame:
-    """Groups of digests that several different texts share, told apart by their bytes."""
+    """Groups of digests that several different texts share, told apart by their bytes within ``docs``."""
     bad = seen.join(clashes.select("text_sha256"), "text_sha256", "left_semi")
     body = F.translate(F.coalesce("text", F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     texts = docs.select(locator().alias("row"), body.cast("binary").alias("body")).join(bad, "row")

@@ -92,8 +92,8 @@ def _pattern() -> F.Column:
     return F.concat_ws(",", *[v.cast("string") for v in rules().values()])
 
 
-def posteriors(found: DataFrame) -> F.Column:
-    """The posterior of each row of ``found`` (measures), as an expression over its columns; 0 where the base fails.
+def posteriors(found: DataFrame) -> DataFrame:
+    """(pattern, quality): the posterior of each pattern of votes in ``found`` (measures), at most 3 to the number of rules.
 
     Votes of all rows are counted by pattern (at most three to the number of rules, so the driver's share is bounded), and
     expectation-maximisation runs on those counts.
@@ -101,9 +101,15 @@ def posteriors(found: DataFrame) -> F.Column:
     seen = found.where(~base_failed()).groupBy(_pattern().alias("pattern")).count().collect()
     votes = np.array([[int(x) for x in r["pattern"].split(",")] for r in seen], dtype=int).reshape(-1, len(rules()))
     fitted = fit_votes(votes, np.array([r["count"] for r in seen], dtype=float))
-    pairs = [F.lit(x) for r, p in zip(seen, fitted["posterior"], strict=True) for x in (r["pattern"], float(p))]
-    look_up = F.create_map(*pairs) if pairs else F.lit(None).cast("map<string,double>")
-    return F.when(base_failed(), 0.0).otherwise(F.coalesce(F.element_at(look_up, _pattern()), F.lit(0.0)))
+    rows = [(r["pattern"], float(p)) for r, p in zip(seen, fitted["posterior"], strict=True)]
+    return found.sparkSession.createDataFrame(rows, "pattern string, quality double").coalesce(1)
+
+
+def judged(rows: DataFrame, table: DataFrame, threshold: float) -> DataFrame:
+    """``rows`` (with the columns of MEASURES) with base_failed, quality (0 where the base fails) and kept."""
+    out = rows.withColumn("pattern", _pattern()).join(F.broadcast(table), "pattern", "left")  # a row per pattern
+    out = out.withColumns({"base_failed": base_failed(), "quality": F.when(base_failed(), 0.0).otherwise(F.coalesce("quality", F.lit(0.0)))})
+    return out.withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= threshold)).drop("pattern")
 
 
 def quality_rules(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
@@ -113,8 +119,7 @@ def quality_rules(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     and fail the base; repeated rows each get a row; no rows give none; other columns of ``docs`` are ignored.
     """
     found = stored(measures(docs), "measures")
-    out = found.withColumns({"base_failed": base_failed(), "quality": posteriors(found)})
-    return out.withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= threshold))
+    return judged(found, posteriors(found), threshold)
 
 
 def accepted(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
@@ -122,7 +127,7 @@ def accepted(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
 
     The measures are taken again beside each row, which costs less than bringing verdicts to the texts by a shuffle.
     """
-    quality = posteriors(stored(measures(docs), "measures"))
+    table = posteriors(stored(measures(docs), "measures"))
 
     def run(texts: pa.Array) -> pa.Array:
         parts = [measure(x.column("text")) for x in slices(iter([pa.RecordBatch.from_arrays([texts], ["text"])]), "text")]
@@ -132,4 +137,4 @@ def accepted(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     # Only texts go to Python, and only numbers come back; taken once, as it is declared not to be repeatable.
     measured = F.arrow_udf(run, "struct<" + ", ".join(f"{c}: long" for c in MEASURES) + ">").asNondeterministic()
     own = docs.select(F.struct(*docs.columns).alias("doc"), measured("text").alias("m")).select("doc", "m.*")
-    return own.where(~base_failed() & (quality >= threshold)).select("doc.*")
+    return judged(own, table, threshold).where("kept").select("doc.*")

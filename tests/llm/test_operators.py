@@ -266,6 +266,28 @@ def test_exact(spark, tmp_path):
     assert {r.text_sha256 for r in out if r.doc_id < 3} == {hashlib.sha256(b"abc").hexdigest()}
 
 
+def test_exact_state_goes_on(spark, tmp_path):
+    """A second call with the same folder is held against the first one's documents; the session's settings are put back."""
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before, folder = spark.conf.get(key), str(tmp_path / "held")
+    one = corpus(spark, [(1, "a"), (2, "b"), (9, "c")], tmp_path / "one")
+    two = corpus(spark, [(3, "A"), (4, "d"), (5, "c")], tmp_path / "two")
+    assert all(r.kept for r in exact.exact_dedup(one, folder=folder).collect())
+    got = sorted((r.doc_id, r.keep_id, r.group_size, r.kept) for r in exact.exact_dedup(two, folder=folder, earlier=one).collect())
+    assert got == [(3, 3, 2, True), (4, 4, 1, True), (5, 9, 2, False)] and spark.conf.get(key) == before
+
+
+def test_exact_digest_clash(spark, tmp_path, monkeypatch):
+    """Texts that share a digest but differ in bytes are groups of their own."""
+    docs = corpus(spark, [(1, "a"), (2, "a"), (3, "b")], tmp_path)
+    monkeypatch.setattr(exact, "digests", lambda d: d.select("doc_id", F.lit("same").alias("text_sha256"), exact.locator().alias("row")))
+    monkeypatch.setattr(exact, "clashing", lambda d, hits: hits.select("text_sha256").distinct())
+    assert sorted((r.doc_id, r.keep_id, r.group_size) for r in exact.exact_dedup(docs).collect()) == [(1, 2, 2), (2, 2, 2), (3, 3, 1)]
+    monkeypatch.undo()
+    hits = spark.createDataFrame([(1, hashlib.sha256(b"a").hexdigest()), (2, hashlib.sha256(b"a").hexdigest())], "doc_id long, text_sha256 string")
+    assert exact.clashing(docs, hits).count() == 0
+
+
 def test_exact_empty(spark, tmp_path):
     corpus(spark, [], extra=False).write.parquet(str(tmp_path / "docs"))
     assert exact.exact_dedup(spark.read.schema(DOC).parquet(str(tmp_path / "docs"))).count() == 0
