@@ -15,7 +15,8 @@ from cartolake.llm.minhash import near_duplicates
 from cartolake.llm.packing import pack_documents
 from cartolake.llm.pii import replace_entities
 from cartolake.llm.quality_rules import accepted
-from cartolake.llm.shared import stored
+from cartolake.llm.queries import surrogate_key
+from cartolake.llm.shared import bit_marked, stored
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,21 +24,33 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return accepted(docs)
 
 
+def _without(rows: DataFrame, column: str, dropped: DataFrame, key: str) -> DataFrame:
+    """``rows`` but for those whose ``column`` is a ``key`` of ``dropped``. Only rows that a bitmap of fixed size cannot clear
+    are shuffled to be met with the keys."""
+    marked = bit_marked(rows, column, dropped, key, "__maybe")
+    hit = F.col(column) == F.col("__key")
+    held = marked.where("__maybe").join(dropped.select(F.col(key).alias("__key")), hit, "left_anti")
+    return marked.where("not __maybe").unionByName(held).drop("__maybe")
+
+
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts."""
-    kept = stored(exact_dedup(docs, with_row=True).where("kept"), "kept").select("row")
-    return docs.withColumn("row", locator()).join(kept, "row", "left_semi").select(docs.columns)
+    dropped = stored(exact_dedup(docs, with_row=True).where("not kept").select("row"), "dropped")
+    rows = docs.select(F.struct(*docs.columns).alias("__doc"), locator().alias("__row"))
+    return _without(rows, "__row", dropped, "row").select("__doc.*")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near duplicates."""
-    kept = stored(near_duplicates(docs).where("kept").select("doc_id").distinct(), "kept")
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
+    """One document of each component of near duplicates; those without doc_id stay."""
+    dropped = stored(near_duplicates(docs).where("not kept").select("doc_id").distinct(), "dropped")
+    rows = docs.select(F.struct(*docs.columns).alias("__doc"), F.col("doc_id").alias("__id"))
+    return _without(rows, "__id", dropped, "doc_id").select("__doc.*")
 
 
 def mask_entities(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Surrogates in place of personal data; n_chars follows the new text."""
-    return replace_entities(docs).drop("n_entities").withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+    made = replace_entities(docs, surrogate_key(spark), count="__entities").drop("__entities")
+    return made.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
