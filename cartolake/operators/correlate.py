@@ -23,9 +23,12 @@ FRONTEND_HINTS = ["react", "next", "vue", "angular", "svelte"]
 STRUCTURAL_RELATIONS = ["imports", "import", "calls", "depends_on", "uses"]
 
 
-def first_files(order: str = "file_path", n: int = 5) -> Column:
-    """The first ``n`` distinct files by path."""
-    return F.slice(F.array_sort(F.collect_set(order)), 1, n)
+def first_of(rows: DataFrame, key: list[str], column: str, n: int, name: str) -> DataFrame:
+    """(key, name): the first ``n`` distinct values of each key. Ranks are cut before values are brought together, so no
+    group is larger than ``n`` of each task."""
+    r = F.row_number().over(Window.partitionBy(*key).orderBy(column))
+    first = rows.select(*key, column).distinct().withColumn("__r", r).where(F.col("__r") <= n)
+    return first.groupBy(*key).agg(F.array_sort(F.collect_list(column)).alias(name))
 
 
 def summarize_services(parsed: DataFrame) -> DataFrame:
@@ -34,9 +37,9 @@ def summarize_services(parsed: DataFrame) -> DataFrame:
     digest = F.sha2(F.concat_ws("|", F.coalesce(c["category"], F.lit("")), F.coalesce(c["name"], F.lit("")), F.coalesce(c["description"], F.lit(""))), 256)
     rows = parsed.withColumn("service", service_name()).where(F.col("service").isNotNull())
     key = ["workspace_id", "repo_id", "service"]
-    counts = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("file_count"), first_files().alias("files"))
+    counts = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("file_count")).join(first_of(rows, key, "file_path", 5, "files"), key)
     hashes = rows.select(*key, F.explode("rec.conventions.conventions").alias("c")).select(*key, digest.alias("h"))
-    hashes = hashes.groupBy(*key).agg(F.slice(F.array_sort(F.collect_set("h")), 1, 10).alias("convention_hashes"))
+    hashes = first_of(hashes, key, "h", 10, "convention_hashes")
     return counts.join(hashes, key, "left").withColumn("convention_hashes", F.coalesce("convention_hashes", F.array().cast("array<string>")))
 
 
@@ -50,15 +53,16 @@ def event_mentions(parsed: DataFrame) -> DataFrame:
 
 def summarize_events(parsed: DataFrame) -> DataFrame:
     """(workspace_id, repo_id, event, directions, files): directions as publish before consume."""
-    out = event_mentions(parsed).groupBy("workspace_id", "repo_id", "event")
-    return out.agg(F.sort_array(F.collect_set("direction"), asc=False).alias("directions"), first_files().alias("files"))
+    key, m = ["workspace_id", "repo_id", "event"], event_mentions(parsed)
+    return m.groupBy(*key).agg(F.sort_array(F.collect_set("direction"), asc=False).alias("directions")).join(first_of(m, key, "file_path", 5, "files"), key)
 
 
 def summarize_storages(parsed: DataFrame) -> DataFrame:
-    """(workspace_id, repo_id, name, type, access, file_count, files)."""
-    rows = parsed.select("workspace_id", "repo_id", "file_path", F.explode("rec.storage.storages").alias("s"))
-    key = [F.col("s.name").alias("name"), F.col("s.type").alias("type"), F.col("s.access").alias("access")]
-    return rows.groupBy("workspace_id", "repo_id", *key).agg(F.count(F.lit(1)).alias("file_count"), first_files().alias("files"))
+    """(workspace_id, repo_id, name, type, access, file_count, files); parts that are null count as empty."""
+    none = lambda c: F.coalesce(c, F.lit(""))
+    rows = parsed.select("workspace_id", "repo_id", "file_path", F.explode("rec.storage.storages").alias("s")).select("workspace_id", "repo_id", "file_path", none("s.name").alias("name"), none("s.type").alias("type"), none("s.access").alias("access"))
+    key = ["workspace_id", "repo_id", "name", "type", "access"]
+    return rows.groupBy(*key).agg(F.count(F.lit(1)).alias("file_count")).join(first_of(rows, key, "file_path", 5, "files"), key)
 
 
 def summary_hash(summary: DataFrame) -> DataFrame:
@@ -88,11 +92,11 @@ def synthesise_service(mapped: DataFrame, manifests: DataFrame, parsed: DataFram
     return mapped.unionByName(parsed.select(*key, normalise_path(F.col("file_path")).alias("file_path")).join(bare, key))
 
 
-def resolve_owner(files: DataFrame, mapped: DataFrame) -> DataFrame:
+def resolve_owner(files: DataFrame, mapped: DataFrame, raw: bool = False) -> DataFrame:
     """(workspace_id, repo_id, file_path, service, tier): the owner of every file of ``files``, null if there is none.
 
-    Tiers: the same path; the longest path that ends in the other, at a segment and ignoring case; most leading
-    directories in common; the repository's only service. The theta joins are equi-joins on exploded suffixes and
+    Tiers: the same path; the longest path that ends in the other, at a segment (with ``raw`` at any character) and
+    ignoring case; most leading directories in common; the repository's only service. The theta joins are equi-joins on exploded suffixes and
     ancestor directories; all candidates meet in one aggregation that takes the first tier's best.
     """
     key = ["workspace_id", "repo_id"]
@@ -100,7 +104,8 @@ def resolve_owner(files: DataFrame, mapped: DataFrame) -> DataFrame:
     todo = files.select(*key, "file_path", F.lower(normalise_path(F.col("file_path"))).alias("p")).distinct()
     known = mapped.select(*key, F.lower(normalise_path(F.col("file_path"))).alias("m"), "service").distinct()
     parts = lambda c: F.split(c, "/")
-    suffixes = lambda c: F.transform(F.sequence(F.lit(1), F.size(parts(c))), lambda i: F.array_join(F.slice(parts(c), i, F.size(parts(c))), "/"))
+    any_suffix = lambda c: F.transform(F.sequence(F.lit(1), F.greatest(F.length(c), F.lit(1))), lambda i: F.substring(c, i, F.length(c)))
+    suffixes = any_suffix if raw else lambda c: F.transform(F.sequence(F.lit(1), F.size(parts(c))), lambda i: F.array_join(F.slice(parts(c), i, F.size(parts(c))), "/"))
 
     def parents(c: Column) -> Column:
         dirs = F.slice(parts(c), 1, F.size(parts(c)) - 1)
@@ -132,9 +137,10 @@ def capabilities(files: DataFrame) -> DataFrame:
 
 
 def stitch_edges(parsed: DataFrame, owners: DataFrame) -> DataFrame:
-    """Facts of files that name no service, with edges from the file's owner."""
+    """Facts of files that name no service, with edges from the file's owner; of several owners the first by name."""
     key = ["workspace_id", "repo_id", "file_path"]
-    nameless = parsed.where(service_name().isNull()).join(owners.select(*key, F.col("service").alias("__owner")), key, "left")
+    one = owners.groupBy(*key).agg(F.min("service").alias("__owner"))
+    nameless = parsed.where(service_name().isNull()).join(one, key, "left")
     return facts(nameless, owner=F.col("__owner"))
 
 
@@ -229,19 +235,16 @@ def shared_packages(packages: DataFrame, services: DataFrame, most: int = 20) ->
     """(workspace_id, source, target, signal, shared): services of two repositories with packages in common, ignoring case.
 
     Internal packages come first (signal 'internal'); pairs without any share all packages, of which ``most`` are listed
-    ('transitive'). ``packages`` has ``internal``; a repository's packages are a bounded list, so the self join is by
-    package and its result by pairs of repositories.
+    ('transitive'). ``packages`` has ``internal``. Internal packages meet by themselves first, and what they link is left out
+    before the lists of all packages are gathered; every other pair that is formed is a pair of the result.
     """
     p = packages.select("workspace_id", "repo_id", F.lower("package").alias("k"), "internal").groupBy("workspace_id", "repo_id", "k").agg(F.bool_or("internal").alias("internal"))
     a, b = p.toDF("workspace_id", "ra", "k", "ia"), p.toDF("workspace_id", "rb", "k", "ib")
-    both = a.join(b, ["workspace_id", "k"]).where("ra < rb")
-    pairs = both.groupBy("workspace_id", "ra", "rb").agg(
-        F.array_sort(F.collect_list(F.when(F.col("ia") & F.col("ib"), F.col("k")))).alias("inner"), F.array_sort(F.collect_list("k")).alias("all")
-    )
-    pairs = pairs.select(
-        "workspace_id", "ra", "rb", F.when(F.size("inner") > 0, "internal").otherwise("transitive").alias("signal"),
-        F.when(F.size("inner") > 0, F.col("inner")).otherwise(F.slice("all", 1, most)).alias("shared"),
-    )
+    pair = ["workspace_id", "ra", "rb"]
+    gather = lambda rows: rows.groupBy(*pair).agg(F.array_sort(F.collect_list("k")).alias("shared"))
+    inner = gather(a.where("ia").join(b.where("ib"), ["workspace_id", "k"]).where("ra < rb"))
+    rest = gather(a.join(b, ["workspace_id", "k"]).where("ra < rb").join(inner.select(pair), pair, "left_anti"))
+    pairs = inner.select(*pair, F.lit("internal").alias("signal"), "shared").union(rest.select(*pair, F.lit("transitive"), F.slice("shared", 1, most)))
     s = services.select("workspace_id", "repo_id", "service").distinct()
     out = pairs.join(s.toDF("workspace_id", "ra", "source"), ["workspace_id", "ra"]).join(s.toDF("workspace_id", "rb", "target"), ["workspace_id", "rb"])
     return out.where("source <> target").select("workspace_id", "source", "target", "signal", "shared")
@@ -320,11 +323,13 @@ def direction_conflicts(parsed: DataFrame) -> DataFrame:
     return out.where(F.size("patterns") > 1)
 
 
-def merge_services(parsed: DataFrame) -> DataFrame:
-    """(workspace_id, key, canonical, aliases, file_count): services whose names agree in letters and digits."""
-    rows = parsed.withColumn("service", service_name()).where("service is not null")
-    out = rows.groupBy("workspace_id", normalised_name(F.col("service")).alias("key"))
-    return out.agg(F.min("service").alias("canonical"), F.array_sort(F.collect_set("service")).alias("aliases"), F.count(F.lit(1)).alias("file_count"))
+def merge_services(parsed: DataFrame, files: int = 50) -> DataFrame:
+    """(workspace_id, key, canonical, aliases, file_count, source_files): services whose names agree in letters and digits, with
+    their first ``files`` files by path."""
+    key = ["workspace_id", "key"]
+    rows = parsed.withColumn("service", service_name()).where("service is not null").select("workspace_id", normalised_name(F.col("service")).alias("key"), "service", "file_path")
+    out = rows.groupBy(*key).agg(F.min("service").alias("canonical"), F.array_sort(F.collect_set("service")).alias("aliases"), F.count(F.lit(1)).alias("file_count"))
+    return out.join(first_of(rows, key, "file_path", files, "source_files"), key)
 
 
 def record_conflicts(conflicts: DataFrame) -> DataFrame:

@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cartolake.functions import exprs as X
-from cartolake.operators import changes, context, corpus, correlate, extract, questions, reports
+from cartolake.operators import changes, context, corpus, correlate, extract, graph_read, project, questions, reports
 from cartolake.plans import adapters as A
-from cartolake.plans.queries import C_ID, ORACLE_SQL, QUERIES, S_ID, W_FACTS, W_GRAPH, csv, query
+from cartolake.plans.queries import C_ID, GRAPH, ORACLE_SQL, Q_ID, QUERIES, S_ID, V_ID, W_FACTS, W_GRAPH, csv, guid_sql, query
+from cartolake.schemas import EDGES, NODES
 from cartolake.sources import readers, writers
 from cartolake.streaming import streams
 
@@ -209,12 +210,10 @@ def x12_extract_routes(spark, sf_dir):
     return extract.extract_routes(f.select(F.col("file_path").alias("path"), text.alias("text")))
 
 
-@query(f"SELECT workspace_id, model, CAST(sum(cost_e8) AS BIGINT) AS cost_e8 FROM ({A.COSTED}) GROUP BY ALL")
+@query(f"SELECT workspace_id, model, CAST(sum((cost_e8 + 50) // 100) AS BIGINT) AS cost_micro FROM ({A.COSTED}) GROUP BY ALL")
 def x13_model_cost(spark, sf_dir):
     c = extract.model_cost(A.load(spark, sf_dir, A.CALLS))
-    exact = c.withColumn("e8", (F.col("input_tokens").cast("long") * F.when(F.col("model") == "small", 80).otherwise(300) + F.col("output_tokens").cast("long") * F.when(F.col("model") == "small", 400).otherwise(1500)))
-    ok = F.abs(F.col("cost_usd") * 100000000 - F.col("e8")) <= 50
-    return exact.where(ok).groupBy("workspace_id", "model").agg(F.sum("e8").alias("cost_e8"))
+    return c.groupBy("workspace_id", "model").agg((F.sum("cost_usd") * 1000000).cast("long").alias("cost_micro"))
 
 
 @query(W_FACTS + "SELECT workspace_id, file_path FROM f WHERE contains(file_path, '/l1.')")
@@ -233,10 +232,10 @@ def _first5(c: str) -> str:
     return f"array_to_string(list_sort(list(DISTINCT {c}))[1:5], ',')"
 
 
-@query(W_FACTS + f"""SELECT workspace_id, repo_id, service_name AS service, count(*) AS file_count, {_first5('file_path')} AS files, least(10, count(DISTINCT storage_name)) AS hashes FROM f GROUP BY ALL""")
+@query(W_FACTS + f"""SELECT workspace_id, repo_id, service_name AS service, count(*) AS file_count, {_first5('file_path')} AS files, array_to_string(list_sort(list(DISTINCT sha256('storage|' || storage_name || '|')))[1:10], ',') AS hashes FROM f GROUP BY ALL""")
 def c1_summarize_services(spark, sf_dir):
     s = correlate.summarize_services(A.parsed(spark, sf_dir))
-    return s.select("workspace_id", "repo_id", "service", "file_count", csv("files").alias("files"), F.size("convention_hashes").cast("long").alias("hashes"))
+    return s.select("workspace_id", "repo_id", "service", "file_count", csv("files").alias("files"), csv("convention_hashes").alias("hashes"))
 
 
 @query(W_FACTS + f"""SELECT workspace_id, repo_id, event_name AS event, string_agg(DISTINCT direction, ',' ORDER BY direction DESC) AS directions, {_first5('file_path')} AS files FROM f WHERE direction <> 'none' GROUP BY ALL""")
@@ -273,7 +272,7 @@ def c6_synthesise_service(spark, sf_dir):
     return correlate.synthesise_service(m, manifests, A.parsed(spark, sf_dir))
 
 
-@query(W_FACTS + """, m AS (SELECT DISTINCT workspace_id, repo_id, file_path, service_name FROM f WHERE contains(file_path, '/l1.')),
+@query(W_FACTS + """, m AS (SELECT workspace_id, repo_id, file_path, min(service_name) AS service_name FROM f WHERE contains(file_path, '/l1.') GROUP BY ALL),
     d AS (SELECT workspace_id, repo_id, split_part(file_path, '/', 2) AS d, min(service_name) AS s FROM m GROUP BY ALL), a AS (SELECT workspace_id, repo_id, min(service_name) AS s FROM m GROUP BY ALL)
     SELECT f.workspace_id, f.repo_id, f.file_path, CASE WHEN m.service_name IS NOT NULL THEN m.service_name WHEN d.s IS NOT NULL THEN d.s ELSE a.s END AS service,
     CASE WHEN m.service_name IS NOT NULL THEN 1 WHEN d.s IS NOT NULL OR a.s IS NOT NULL THEN 3 ELSE 0 END AS tier FROM (SELECT DISTINCT workspace_id, repo_id, file_path FROM f) f
@@ -315,12 +314,12 @@ def c11_apply_services(spark, sf_dir):
     return correlate.apply_services(s).select("workspace_id", "id", "name")
 
 
-@query(W_FACTS + f"SELECT DISTINCT workspace_id, CASE direction WHEN 'publish' THEN 'PUBLISHES' ELSE 'CONSUMES' END AS label, {S_ID} AS source_id FROM f WHERE direction <> 'none'")
+@query(W_FACTS + f"SELECT DISTINCT workspace_id, CASE direction WHEN 'publish' THEN 'PUBLISHES' ELSE 'CONSUMES' END AS label, {S_ID} AS source_id, {V_ID} AS target_id FROM f WHERE direction <> 'none'")
 def c12_apply_event_topology(spark, sf_dir):
     f = A.load(spark, sf_dir, A.FACTS)
     side = lambda d: F.collect_set(F.when(F.col("direction") == d, F.col("service_name")))
     found = f.groupBy("workspace_id", F.col("event_name").alias("event")).agg(side("publish").alias("publishers"), side("consume").alias("consumers"))
-    return correlate.apply_event_topology(found).select("workspace_id", "label", "source_id").distinct()
+    return correlate.apply_event_topology(found).select("workspace_id", "label", "source_id", "target_id").distinct()
 
 
 @query(W_FACTS + f"SELECT DISTINCT workspace_id, {S_ID} AS source_id, {C_ID} AS target_id FROM f")
@@ -382,10 +381,10 @@ def c20_eligible_for_cross_repo(spark, sf_dir):
     return correlate.eligible_for_cross_repo(A.parsed(spark, sf_dir))
 
 
-@query(W_FACTS + f"SELECT DISTINCT workspace_id, {S_ID} AS source_id FROM f")
+@query(W_FACTS + f"SELECT DISTINCT workspace_id, {S_ID} AS source_id, {guid_sql("'Service|' || workspace_id || '|c'")} AS target_id, 'e' AS evidence, 'cross-repo' AS inferred_by FROM f")
 def c21_apply_calls(spark, sf_dir):
     calls = A.load(spark, sf_dir, A.FACTS).select("workspace_id", F.col("service_name").alias("caller"), F.lit("c").alias("callee"), F.lit("e").alias("evidence")).distinct()
-    return correlate.apply_calls(calls).select("workspace_id", "source_id")
+    return correlate.apply_calls(calls).select("workspace_id", "source_id", "target_id", "props.evidence", "props.inferred_by")
 
 
 @query(W_FACTS + """SELECT workspace_id, repo_id, 'storage' AS category, storage_name AS name, count(DISTINCT service_name) AS followers, any_value(t) AS services FROM f
@@ -407,9 +406,9 @@ def c24_direction_conflicts(spark, sf_dir):
     return correlate.direction_conflicts(A.parsed(spark, sf_dir)).withColumn("patterns", csv("patterns"))
 
 
-@query(W_FACTS + "SELECT workspace_id, lower(replace(service_name, '#', '')) AS key, min(service_name) AS canonical, min(service_name) AS aliases, count(*) AS file_count FROM f GROUP BY ALL")
+@query(W_FACTS + "SELECT workspace_id, lower(replace(service_name, '#', '')) AS key, min(service_name) AS canonical, min(service_name) AS aliases, count(*) AS file_count, array_to_string(list_sort(list(DISTINCT file_path))[1:50], ',') AS source_files FROM f GROUP BY ALL")
 def c25_merge_services(spark, sf_dir):
-    return correlate.merge_services(A.parsed(spark, sf_dir)).withColumn("aliases", csv("aliases"))
+    return correlate.merge_services(A.parsed(spark, sf_dir)).withColumns({"aliases": csv("aliases"), "source_files": csv("source_files")})
 
 
 @query(W_FACTS + """SELECT DISTINCT workspace_id, repo_id, substr(event_name || repeat('x', 60), 1, 50) AS kind, storage_name AS description, '["' || service_name || '"]' AS involved, 'open' AS status FROM f""")
@@ -467,14 +466,19 @@ def q6_insert_new(spark, sf_dir):
     return questions.insert_new(q.where("id % 7 = 0"), q).select("workspace_id", "fingerprint", "id")
 
 
-@query(_Q + f"SELECT id, CASE WHEN status = 'Open' AND created_at < {NOW} - INTERVAL 90 DAY THEN 'Dismissed' ELSE status END AS status FROM q")
+_OLD = f"status = 'Open' AND created_at < {NOW} - INTERVAL 90 DAY"
+
+
+@query(_Q + f"SELECT id, CASE WHEN {_OLD} THEN 'Dismissed' ELSE status END AS status, CASE WHEN {_OLD} THEN '[auto-dismissed] stale > 90d' WHEN status = 'Answered' THEN 'yes' END AS answer FROM q")
 def q7_expire_stale(spark, sf_dir):
-    return questions.expire_stale(_questions(spark, sf_dir), now()).select("id", "status")
+    return questions.expire_stale(_questions(spark, sf_dir), now()).select("id", "status", "answer")
 
 
-@query(W_GRAPH + f", q AS ({A.QUESTIONS}), t AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY workspace_id ORDER BY created_at, id) AS r FROM q WHERE status = 'Open') WHERE r <= 200) SELECT workspace_id, id FROM t WHERE NOT EXISTS (SELECT 1 FROM n WHERE n.workspace_id = t.workspace_id AND contains(lower(n.name), 'supplier#00000000' || (t.id % 12)))")
+@query(W_GRAPH + f""", q AS ({A.QUESTIONS}), t AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY workspace_id ORDER BY created_at, id) AS r FROM q WHERE status = 'Open') WHERE r <= 200), h AS (SELECT DISTINCT n.workspace_id, i FROM range(12) r(i), n WHERE contains(lower(n.name), 'supplier#00000000' || i)),
+    g AS (SELECT id FROM t WHERE NOT EXISTS (SELECT 1 FROM h WHERE h.workspace_id = t.workspace_id AND h.i = t.id % 12))
+    SELECT id, CASE WHEN id IN (FROM g) THEN 'Dismissed' ELSE status END AS status, CASE WHEN id IN (FROM g) THEN '[auto-dismissed] referenced nodes no longer exist' WHEN status = 'Answered' THEN 'yes' END AS answer FROM q""")
 def q8_dismiss_orphaned(spark, sf_dir):
-    return questions.dismiss_orphaned(_questions(spark, sf_dir), A.graph(spark, sf_dir)[0])
+    return questions.dismiss_orphaned(_questions(spark, sf_dir), A.graph(spark, sf_dir)[0]).select("id", "status", "answer")
 
 
 @query(W_GRAPH + "SELECT workspace_id, lower(replace(name, '#', '')) AS key, replace(name, '#', '-') || ',' || name AS names FROM n WHERE label = 'Service' AND replace(name, '#', '-') < name UNION ALL SELECT workspace_id, lower(replace(name, '#', '')), name || ',' || replace(name, '#', '-') FROM n WHERE label = 'Service' AND replace(name, '#', '-') > name")
@@ -485,12 +489,13 @@ def q9_duplicate_services(spark, sf_dir):
     return questions.duplicate_services(nodes.unionByName(more)).select("workspace_id", "key", csv("names").alias("names"))
 
 
-@query(W_GRAPH + ", t AS (SELECT *, row_number() OVER (PARTITION BY workspace_id ORDER BY path, method, id) AS r FROM n WHERE label = 'Endpoint'), d AS (SELECT *, row_number() OVER (PARTITION BY workspace_id ORDER BY path, method, id) AS k FROM t WHERE r <= 50 AND method = 'GET') SELECT workspace_id, id, method, path FROM d WHERE k <= 20")
+@query(W_GRAPH + ", t AS (SELECT *, row_number() OVER (PARTITION BY workspace_id ORDER BY path, method, id) AS r FROM n WHERE label = 'Endpoint'), d AS (SELECT *, row_number() OVER (PARTITION BY workspace_id ORDER BY path, method, id) AS k FROM t WHERE r <= 50 AND method = 'GET') SELECT workspace_id, id, method, path, '**Method:** `' || method || '`  ' || chr(10) || '**Path:** `' || path || '`  ' || chr(10) || chr(10) || 'No incoming CALLS edges were found in the graph, and no Service node EXPOSES this endpoint.' AS evidence, 'Remove it,Keep it,Add a caller' AS choices FROM d WHERE k <= 20")
 def q10_dangling_endpoints(spark, sf_dir):
     """Endpoints read with GET lose their edges first."""
     nodes, edges = A.graph(spark, sf_dir)
     get = nodes.where("label = 'Endpoint' AND props['method'] = 'GET'").select("workspace_id", F.col("id").alias("target_id"))
-    return questions.dangling_endpoints(nodes, edges.join(get, ["workspace_id", "target_id"], "left_anti")).select("workspace_id", "id", "method", "path")
+    found = questions.dangling_endpoints(nodes, edges.join(get, ["workspace_id", "target_id"], "left_anti"))
+    return found.select("workspace_id", "id", "method", "path", "evidence", csv("choices").alias("choices"))
 
 
 @query(_Q + "SELECT id FROM (SELECT id, row_number() OVER (PARTITION BY workspace_id ORDER BY priority DESC, id) AS r FROM q) WHERE r <= 51")
@@ -590,9 +595,9 @@ def _items(spark, sf_dir) -> DataFrame:
     return context.relevant_context(parts)
 
 
-@query("SELECT p_brand AS query_id, CASE p_partkey % 4 WHEN 0 THEN 'skill' WHEN 1 THEN 'graph' WHEN 2 THEN 'file' ELSE 'extraction' END AS bucket, count(*) AS n FROM part GROUP BY ALL")
+@query("SELECT p_brand AS query_id, CASE p_partkey % 4 WHEN 0 THEN 'skill' WHEN 1 THEN 'graph' WHEN 2 THEN 'file' ELSE 'extraction' END AS bucket, p_partkey AS pos, p_name || p_partkey AS item, p_size * 10 AS chars FROM part")
 def k3_relevant_context(spark, sf_dir):
-    return _items(spark, sf_dir).groupBy("query_id", "bucket").agg(F.count(F.lit(1)).alias("n"))
+    return _items(spark, sf_dir)
 
 
 _B = """WITH i AS (SELECT p_brand AS q, p_partkey AS pos, p_name || p_partkey AS item, CASE p_partkey % 4 WHEN 0 THEN 'skill' WHEN 1 THEN 'graph' WHEN 2 THEN 'file' ELSE 'extraction' END AS b, p_size * 10 AS chars FROM part),
@@ -683,6 +688,11 @@ def _costed(spark, sf_dir) -> DataFrame:
     return A.load(spark, sf_dir, A.COSTED).withColumn("cost_usd", (F.col("cost_e8").cast("decimal(20,0)") / 100).cast("decimal(18,0)"))
 
 
+def micro(df: DataFrame) -> DataFrame:
+    """Costs as whole millionths of a dollar."""
+    return df.withColumn("cost_micro", (F.col("cost_usd") * 1000000).cast("long")).drop("cost_usd")
+
+
 @query(f"SELECT workspace_id, count(*) AS total, count(*) FILTER (WHERE enabled) AS active FROM ({A.SKILLS}) GROUP BY ALL")
 def p1_repo_summary(spark, sf_dir):
     return reports.repo_summary(A.load(spark, sf_dir, A.SKILLS).withColumn("status", F.when(F.col("enabled"), "active").otherwise("off")))
@@ -708,12 +718,15 @@ def p5_skill_count(spark, sf_dir):
     return reports.skill_count(A.load(spark, sf_dir, A.SKILLS))
 
 
-_SUMS = f"count(*) AS calls, CAST(sum(input_tokens) AS BIGINT) AS input_tokens, CAST(sum(output_tokens) AS BIGINT) AS output_tokens, {_PCT.format(a='count(*) FILTER (WHERE cache_hit)', b='count(*)')} AS hit_pct"
+#: A call's cost in millionths of a dollar, rounded as the operator rounds it.
+_MICRO = "((input_tokens::BIGINT * CASE model WHEN 'small' THEN 80 ELSE 300 END + output_tokens::BIGINT * CASE model WHEN 'small' THEN 400 ELSE 1500 END + 50) // 100)"
+_SUMS = f"count(*) AS calls, CAST(sum(input_tokens) AS BIGINT) AS input_tokens, CAST(sum(output_tokens) AS BIGINT) AS output_tokens, CAST(sum(input_tokens // 2) AS BIGINT) AS cache_read_tokens, CAST(sum(output_tokens // 2) AS BIGINT) AS cache_write_tokens, CAST(sum({_MICRO}) AS BIGINT) AS cost_micro, {_PCT.format(a='count(*) FILTER (WHERE cache_hit)', b='count(*)')} AS hit_pct"
 
 
 @query(f"WITH c AS ({A.CALLS}) SELECT workspace_id, purpose, {_SUMS} FROM c GROUP BY workspace_id, purpose UNION ALL SELECT workspace_id, 'total', {_SUMS} FROM c GROUP BY workspace_id")
 def p6_spend_by_purpose(spark, sf_dir):
-    return hundredths(reports.spend_by_purpose(extract.model_cost(A.load(spark, sf_dir, A.CALLS))).drop("cost_usd"), "hit_pct")
+    c = A.load(spark, sf_dir, A.CALLS).withColumns({"cache_read_tokens": F.expr("input_tokens div 2"), "cache_write_tokens": F.expr("output_tokens div 2")})
+    return micro(hundredths(reports.spend_by_purpose(extract.model_cost(c)), "hit_pct"))
 
 
 _LAT = "CAST(round_even(quantile_cont(latency_ms, {p}), 0) AS INT)"
@@ -725,12 +738,18 @@ def p7_latency_stats(spark, sf_dir):
 
 
 @query(f"""WITH k AS (SELECT workspace_id, count(*) AS skills, count(*) AS total, count(*) FILTER (WHERE enabled) AS active FROM ({A.SKILLS}) GROUP BY ALL), q AS (SELECT workspace_id, count(*) FILTER (WHERE status = 'Open') AS open FROM ({A.QUESTIONS}) GROUP BY ALL),
-    t AS (SELECT workspace_id, count(*) AS calls, {_LAT.format(p=0.95)} AS p95 FROM ({A.TELEMETRY}) GROUP BY ALL) SELECT workspace_id, total, active, skills, open, calls, p95 FROM k JOIN q USING (workspace_id) JOIN t USING (workspace_id)""")
+    t AS (SELECT workspace_id, count(*) AS calls, {_LAT.format(p=0.95)} AS p95 FROM ({A.TELEMETRY}) GROUP BY ALL), l AS (SELECT workspace_id, count(*) AS llm_calls, CAST(sum({_MICRO}) AS BIGINT) AS cost_micro FROM ({A.CALLS}) GROUP BY ALL),
+    {GRAPH}, g AS (SELECT workspace_id, count(*) FILTER (WHERE label = 'Service') AS services FROM n GROUP BY ALL), h AS (SELECT workspace_id, count(DISTINCT source_id || target_id) AS exposes FROM e WHERE label = 'EXPOSES' GROUP BY ALL)
+    SELECT workspace_id, total, active, skills, open, calls, p95, llm_calls, cost_micro, services, exposes FROM k JOIN q USING (workspace_id) JOIN t USING (workspace_id) JOIN l USING (workspace_id) JOIN g USING (workspace_id) JOIN h USING (workspace_id)""")
 def p8_summary(spark, sf_dir):
     skills = A.load(spark, sf_dir, A.SKILLS)
     repos = skills.withColumn("status", F.when(F.col("enabled"), "active").otherwise("off"))
-    out = reports.summary(repos, _scans(spark, sf_dir), A.load(spark, sf_dir, A.CALLS), A.load(spark, sf_dir, A.QUESTIONS), skills, A.load(spark, sf_dir, A.TELEMETRY))
-    return out.select("workspace_id", "total", "active", "skills", "open", "calls", "p95")
+    calls = extract.model_cost(A.load(spark, sf_dir, A.CALLS))
+    graph = graph_read.overview(*A.graph(spark, sf_dir))
+    out = reports.summary(repos, _scans(spark, sf_dir), calls, A.load(spark, sf_dir, A.QUESTIONS), skills, A.load(spark, sf_dir, A.TELEMETRY), graph)
+    n = lambda kind, label: F.col(f"{kind}_counts")[label].cast("long")
+    cost = (F.col("llm_cost_usd") * 1000000).cast("long").alias("cost_micro")
+    return out.select("workspace_id", "total", "active", "skills", "open", "calls", "p95", "llm_calls", cost, n("node", "Service").alias("services"), n("edge", "EXPOSES").alias("exposes"))
 
 
 @query(_S + "SELECT id, status FROM s WHERE workspace_id = 'ws1' AND repo_id = 'repo2' ORDER BY started_at DESC, id LIMIT 20")
@@ -743,9 +762,9 @@ def p10_scan_detail(spark, sf_dir):
     return reports.scan_detail(_scans(spark, sf_dir)).select("id", F.coalesce("duration_ms", F.lit(-1)).cast("long").alias("duration_ms"))
 
 
-@query(f"WITH c AS ({A.CALLS}) SELECT workspace_id, strftime(created_at, '%Y-%m-%d') AS day, count(*) AS calls, count(*) FILTER (WHERE cache_hit) AS cached FROM c WHERE created_at >= date_trunc('day', {NOW}) - INTERVAL 29 DAY AND created_at <= {NOW} GROUP BY ALL")
+@query(f"WITH c AS ({A.CALLS}) SELECT workspace_id, strftime(created_at, '%Y-%m-%d') AS day, count(*) AS calls, count(*) FILTER (WHERE cache_hit) AS cached, CAST(sum({_MICRO}) AS BIGINT) AS cost_micro FROM c WHERE created_at >= date_trunc('day', {NOW}) - INTERVAL 29 DAY AND created_at <= {NOW} GROUP BY ALL")
 def p11_daily_spend(spark, sf_dir):
-    return reports.daily_spend(extract.model_cost(A.load(spark, sf_dir, A.CALLS)), now()).drop("cost_usd")
+    return micro(reports.daily_spend(extract.model_cost(A.load(spark, sf_dir, A.CALLS)), now()))
 
 
 @query(f"WITH t AS ({A.TELEMETRY}) SELECT workspace_id, strftime(created_at, '%Y-%m-%d') AS day, count(*) AS calls, count(*) FILTER (WHERE status_code >= 400) AS errors, {_LAT.format(p=0.95)} AS p95 FROM t WHERE created_at >= date_trunc('day', {EVENTS_NOW}) - INTERVAL 6 DAY AND created_at <= {EVENTS_NOW} GROUP BY ALL")
@@ -778,9 +797,7 @@ def p16_member_workspaces(spark, sf_dir):
 
 @query(W_GRAPH + "SELECT workspace_id, (SELECT count(*) FROM n b WHERE b.workspace_id = a.workspace_id) AS nodes, (SELECT count(*) FROM (SELECT DISTINCT workspace_id, label, source_id, target_id FROM e) b WHERE b.workspace_id = a.workspace_id) AS edges FROM (SELECT DISTINCT workspace_id FROM n) a")
 def p17_graph_totals(spark, sf_dir):
-    from cartolake.operators.graph_read import overview
-
-    t = reports.graph_totals(overview(*A.graph(spark, sf_dir)))
+    t = reports.graph_totals(graph_read.overview(*A.graph(spark, sf_dir)))
     return t.select("workspace_id", F.col("nodes").cast("long").alias("nodes"), F.col("edges").cast("long").alias("edges"))
 
 
@@ -871,11 +888,9 @@ def s5_property_bag(spark, sf_dir):
 @query(W_FACTS + "SELECT workspace_id, service_name, count(*) AS n FROM f GROUP BY ALL")
 def s6_parse_extractions(spark, sf_dir):
     """A tenth of the rows is repeated as broken JSON, which is skipped."""
-    from cartolake.operators.project import parse_extractions
-
     e = A.extractions(spark, sf_dir)
     broken = e.withColumn("extraction_payload", F.substring("extraction_payload", 1, 30))
-    p = parse_extractions(e.unionByName(broken))
+    p = project.parse_extractions(e.unionByName(broken))
     return p.groupBy("workspace_id", F.col("rec.service.serviceName").alias("service_name")).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -901,6 +916,43 @@ def s12_to_wire_json(spark, sf_dir):
     return writers.to_wire_json(A.load(spark, sf_dir, "SELECT n_nationkey, n_name, CAST(NULL AS STRING) AS gone FROM nation"))
 
 
+@query("SELECT lang || '/' || doc_id % 3 AS folder, count(*) AS lines, CAST(sum(doc_id) AS BIGINT) AS ids FROM documents GROUP BY ALL")
+def s1_read_source_tree(spark, sf_dir):
+    """A working tree of small files, one folder below the other, is written first."""
+    path = A.scratch(spark, "tree")
+    docs = A.load(spark, sf_dir, "SELECT lang, doc_id % 3 AS part, CAST(doc_id AS STRING) AS value FROM documents")
+    docs.repartition("lang", "part").write.partitionBy("lang", "part").text(path)
+    tree = readers.read_source_tree(spark, path).where("not startswith(path, '_')")
+    folder = F.concat_ws("/", F.regexp_extract("path", "^lang=([^/]*)/part=([^/]*)/", 1), F.regexp_extract("path", "^lang=([^/]*)/part=([^/]*)/", 2))
+    ids = tree.select(folder.alias("folder"), F.explode(F.split(F.col("text"), "\n")).alias("id")).where("id <> ''")
+    return ids.groupBy("folder").agg(F.count(F.lit(1)).alias("lines"), F.sum(F.col("id").cast("long")).alias("ids"))
+
+
+@query(f"SELECT id, workspace_id, method FROM ({A.TELEMETRY}) WHERE workspace_id = 'ws1'")
+def s2_read_table(spark, sf_dir):
+    path = A.scratch(spark, "telemetry")
+    writers.write_tenant_table(A.load(spark, sf_dir, A.TELEMETRY), path)
+    return readers.read_table(spark, path, "ws1").select("id", "workspace_id", "method")
+
+
+@query(f"SELECT repo_id, 'node' AS kind, count(*) AS n, min(id) AS first FROM ({A.GNODES}) GROUP BY repo_id UNION ALL SELECT 'all', 'edge', count(*), min(source_id) FROM ({A.GEDGES})")
+def s9_write_combined_graph(spark, sf_dir):
+    """What was written is read back; folder names become the repository again."""
+    path = A.scratch(spark, "combined")
+    writers.write_combined_graph(A.load(spark, sf_dir, A.GNODES), A.load(spark, sf_dir, A.GEDGES).withColumn("repo_id", F.lit("all")), path)
+    side = lambda kind, first: spark.read.parquet(f"{path}/{kind}s").groupBy("repo_id").agg(F.lit(kind).alias("kind"), F.count(F.lit(1)).alias("n"), F.min(first).alias("first"))
+    return side("node", "id").union(side("edge", "source_id"))
+
+
+@query(W_FACTS + f"SELECT DISTINCT workspace_id, 'Queue' AS label, {Q_ID} AS id, event_name AS name, 'CONSUMES' AS edge, {S_ID} AS service_id FROM f")
+def g14_project_msg_consumes(spark, sf_dir):
+    f, none = A.load(spark, sf_dir, A.FACTS), F.lit(None).cast("string")
+    own = F.array(F.struct(F.lit("RabbitMQ").alias("kind"), F.col("event_name").alias("exchange"), none.alias("routingKey"), none.alias("topic"), none.alias("queue"), none.alias("messageType")))
+    service = F.struct(F.lit(True).alias("isPartOfService"), F.col("service_name").alias("serviceName"))
+    rows = f.select("workspace_id", "repo_id", "file_path", F.lit("h").alias("content_hash"), F.struct(service.alias("service"), F.struct(own.alias("messagingConsumes")).alias("integrationContracts")).alias("rec"))
+    return project.facts(rows, ["msg_consumes"]).select("workspace_id", "x.label", "x.id", "x.name", "x.edge", "service_id").distinct()
+
+
 # --- streams, replayed to their end ---------------------------------------------------------------------------------
 def _events(spark, sf_dir) -> DataFrame:
     """A stream of the events table."""
@@ -932,3 +984,73 @@ def st7_stream_rate_of_errors(spark, sf_dir):
     """Every event lies in twelve sliding windows."""
     out = _drain(streams.stream_rate_of_errors(_events(spark, sf_dir)), "st7", "update")
     return out.groupBy("workspace_id").agg(F.sum("calls").cast("long").alias("calls"))
+
+
+def _stream(spark, sf_dir, table: str, sql: str) -> DataFrame:
+    """A stream of a table, projected by ``sql`` over the view ``feed``."""
+    schema = spark.read.parquet(f"{sf_dir}/{table}.parquet").schema
+    spark.readStream.schema(schema).option("pathGlobFilter", f"{table}.parquet").parquet(sf_dir).createOrReplaceTempView("feed")
+    return spark.sql(sql)
+
+
+_FEED = A.CHANGES.replace("FROM orders", "FROM feed")
+_TOUCHED = f"t AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY filename) AS r FROM ({A.CHANGES})) WHERE r <= 500 AND status <> 'removed')"
+
+
+@query(f"WITH {_TOUCHED} SELECT repo_id, filename AS file_path, {guid_sql("'Service|ws|' || filename")} AS service_id, true AS extracted FROM t")
+def st2_stream_file_changes(spark, sf_dir):
+    """Every changed file names itself as its service; the tables after the last batch hold one extraction and node each."""
+    path = A.scratch(spark, "st2")
+    feed = _stream(spark, sf_dir, "orders", _FEED).withColumns({"additions": F.lit(None).cast("int"), "deletions": F.lit(1)})
+    files = A.load(spark, sf_dir, A.CHANGES).select("repo_id", F.col("filename").alias("path"), F.lit(10).alias("length"), F.lit("text").cast("binary").alias("content"))
+    payload = F.to_json(F.struct(F.struct(F.lit(True).alias("isPartOfService"), F.col("path").alias("serviceName")).alias("service")))
+
+    def extract_files(todo: DataFrame) -> DataFrame:
+        return todo.select(F.lit("ws").alias("workspace_id"), "repo_id", F.col("path").alias("file_path"), F.lit("h").alias("content_hash"), payload.alias("extraction_payload"), now().alias("created_at"))
+
+    start = {"extractions": extract_files(files.limit(0)), "nodes": spark.createDataFrame([], NODES), "edges": spark.createDataFrame([], EDGES)}
+    writer = streams.stream_incremental_update(feed, files, extract_files, start, f"{path}/tables", f"{path}/checkpoint", now())
+    run = writer.trigger(availableNow=True).start()
+    run.awaitTermination()
+    last = f"{path}/tables/{run.lastProgress['batchId']}"
+    found = spark.read.parquet(f"{last}/extractions").select("repo_id", "file_path", F.lit(True).alias("extracted"))
+    nodes = spark.read.parquet(f"{last}/nodes").where("label = 'Service'").select("repo_id", "file_path", F.col("id").alias("service_id"))
+    return nodes.join(found, ["repo_id", "file_path"], "full_outer").select("repo_id", "file_path", "service_id", F.coalesce("extracted", F.lit(False)).alias("extracted"))
+
+
+@query(f"WITH c AS ({A.CHANGES}) SELECT repo_id, strftime(ts, '%Y-%m-%d') AS day, count(*) AS changes FROM c WHERE ts < (SELECT max(ts) FROM c) GROUP BY ALL")
+def st3_settle(spark, sf_dir):
+    """A day's changes of a repository are a burst of their own; that of the last day has not been quiet yet."""
+    feed = _stream(spark, sf_dir, "orders", _FEED).withColumn("ts", F.col("ts").cast("timestamp"))
+    out = _drain(streams.settle(feed), "st3", "append")
+    return out.select("repo_id", F.date_format("started", "yyyy-MM-dd").alias("day"), "changes")
+
+
+@query(_Q + "SELECT DISTINCT workspace_id, topic || question AS fingerprint FROM q WHERE question <> 'Question 7'")
+def st4_stream_dedupe_questions(spark, sf_dir):
+    feed = _stream(spark, sf_dir, "orders", A.QUESTIONS.replace("FROM orders o", "FROM feed o")).withColumns({"fingerprint": F.concat("topic", "question"), "created_at": F.col("created_at").cast("timestamp")})
+    known = A.load(spark, sf_dir, A.QUESTIONS).where("question = 'Question 7'").select("workspace_id", F.concat("topic", "question").alias("fingerprint")).distinct()
+    return _drain(streams.stream_dedupe_questions(feed, known), "st4", "append").select("workspace_id", "fingerprint")
+
+
+@query("""WITH h AS (SELECT DISTINCT 'r' || o_custkey AS repo_id, strftime(o_orderdate, '%Y-%m') AS m FROM orders), p AS (SELECT *, lag(m) OVER (PARTITION BY repo_id ORDER BY m) AS b FROM h)
+    SELECT repo_id, CASE WHEN b IS NULL THEN 'initial' ELSE 'diff' END AS action, coalesce(b, '-') AS from_sha, m AS to_sha FROM p""")
+def st5_track_heads(spark, sf_dir):
+    """A repository's head is the month of its latest order."""
+    feed = _stream(spark, sf_dir, "orders", "SELECT 'r' || CAST(o_custkey AS STRING) AS repo_id, date_format(o_orderdate, 'yyyy-MM') AS head_sha, CAST(o_orderdate AS TIMESTAMP) AS ts FROM feed")
+    return _drain(streams.track_heads(feed), "st5", "append").withColumn("from_sha", F.coalesce("from_sha", F.lit("-")))
+
+
+@query(_Q + f"SELECT 'question' AS kind, CASE WHEN {_OLD} THEN 'Dismissed' ELSE status END AS state, count(*) AS n FROM q GROUP BY ALL UNION ALL SELECT 'candidate', 'duplicate_service', (SELECT count(DISTINCT (workspace_id, service_name)) FROM ({A.FACTS}))")
+def st6_sweep(spark, sf_dir):
+    """One sweep over all questions: none is orphaned, as every name is a node's; every service has a twin; no endpoint dangles."""
+    q = _questions(spark, sf_dir).withColumn("related_node_names", F.array(F.lit("Brand#")))
+    nodes, edges = A.graph(spark, sf_dir)
+    twins = nodes.where("label = 'Service'").withColumns({"name": F.replace("name", F.lit("#"), F.lit("-")), "id": F.concat("id", F.lit("x"))})
+    path = A.scratch(spark, "st6")
+    ticks = _stream(spark, sf_dir, "region", f"SELECT {NOW} AS ts FROM feed")
+    writer = streams.stream_sweep(ticks, lambda: (q, nodes.unionByName(twins), edges), f"{path}/out", f"{path}/checkpoint")
+    writer.trigger(availableNow=True).start().awaitTermination()
+    done, new = (spark.read.parquet(f"{path}/out/0/{name}") for name in ("questions", "candidates"))
+    count = lambda df, kind, state: df.groupBy(F.lit(kind).alias("kind"), state.alias("state")).agg(F.count(F.lit(1)).alias("n"))
+    return count(done, "question", F.col("status")).union(count(new, "candidate", F.substring_index("topic", ":", 1)))
