@@ -16,9 +16,7 @@ TASK_SEPARATORS = r"""[ \t\n\r.,;:!?()\[\]{}"'/\\]+"""
 
 def deterministic_guid(key: Column) -> Column:
     """MD5 of ``key`` as a GUID whose first three groups are little-endian."""
-    h = F.md5(key)
-    part = lambda *at: F.concat(*[F.substring(h, a, 2) for a in at])
-    return F.concat_ws("-", part(7, 5, 3, 1), part(11, 9), part(15, 13), F.substring(h, 17, 4), F.substring(h, 21, 12))
+    return F.regexp_replace(F.md5(key), "^(..)(..)(..)(..)(..)(..)(..)(..)(.{4})(.{12})$", "$4$3$2$1-$6$5-$8$7-$9-$10")
 
 
 def blank(c: Column) -> Column:

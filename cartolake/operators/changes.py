@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cartolake.operators.corpus import drop_binary_content, drop_oversize
+from cartolake.operators.graph_write import NODE_KEY, check_tenant, remove_node, remove_orphans, skip_invalid, upsert_edges, upsert_nodes, validate_nodes
+from cartolake.operators.project import edge_rows, facts, node_rows, parse_extractions
 
 
 def detect_changed_repos(repos: DataFrame, heads: DataFrame) -> DataFrame:
@@ -59,6 +63,32 @@ def incremental_update(extractions: DataFrame, routed: DataFrame, fresh: DataFra
     return upsert_extractions(extractions.join(gone, ["repo_id", "file_path"], "left_anti"), fresh)
 
 
+def apply_changes(
+    state: dict[str, DataFrame], changes: DataFrame, files: DataFrame, extract: Callable[[DataFrame], DataFrame], now: Column, most: int = 500
+) -> dict[str, DataFrame]:
+    """The tables ``extractions``, ``nodes`` and ``edges`` after a batch of changed files.
+
+    A repository's first ``most`` changes are routed; files to extract pass the size and binary filters; ``extract`` gives
+    their extraction rows (with created_at). Pruned files lose their extraction and all their nodes, fresh ones are projected
+    and merged, and nodes that an earlier extraction of a fresh file left behind go. ``extract`` is the costly part:
+    its rows are read several times, so it should return a written table.
+    """
+    routed = route_changes(cap_diff(read_file_changes(changes), most))
+    fresh = extract(files_to_extract(routed, files))
+    pruned = routed.where("action = 'prune'").select("repo_id", F.col("path").alias("file_path")).distinct()
+    nodes, edges = state["nodes"], state["edges"]
+    left = nodes.join(pruned, ["repo_id", "file_path"], "left_semi").select(*NODE_KEY)
+    nodes, edges = remove_node(nodes, edges, left)
+    emitted = facts(parse_extractions(fresh))
+    specs = skip_invalid(validate_nodes(check_tenant(node_rows(emitted))))[0]
+    nodes = upsert_nodes(nodes, specs, now)
+    edges = upsert_edges(edges, edge_rows(emitted), nodes, now)
+    current = emitted.select("workspace_id", "repo_id", "file_path", F.col("extraction_id").alias("last_extraction_id")).distinct()
+    seen = fresh.select("workspace_id", "repo_id", "file_path").distinct()
+    nodes, edges, _ = remove_orphans(nodes, edges, seen, "current", current)
+    return {"extractions": incremental_update(state["extractions"], routed, fresh), "nodes": nodes, "edges": edges}
+
+
 def full_rescan(extractions: DataFrame, repo_id: str, fresh: DataFrame) -> DataFrame:
     """The extraction table with one repository replaced."""
     return extractions.where(F.col("repo_id") != repo_id).unionByName(fresh.where(F.col("repo_id") == repo_id))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cartolake.functions.exprs import distinct_ci, significant_tokens
+from cartolake.operators.matching import contains_pairs
 
 WORD_SEPARATORS = r"""[ \t\n\r.,;:!?()\[\]{}"'/\\\-_]+"""
 
@@ -20,15 +21,19 @@ def match_skills(skills: DataFrame, queries: DataFrame, top: int = 3) -> DataFra
 
     Three points for each trigger within the query, one for each word of the title, half for each of the description.
     ``skills``: workspace_id, name, title, description, triggers, enabled; ``queries``: workspace_id, query_id, query.
-    A query meets only its tenant's skills, by an equi-join.
+    Distinct words and triggers meet the distinct queries of their tenant that contain them (by their rarest gram), and only
+    such pairs are scored. Skills with the same name and tenant are one.
     """
-    s = skills.where("enabled").withColumns({"tw": _words(F.col("title")), "dw": _words(F.col("description")), "tr": F.filter(F.transform("triggers", lambda t: F.lower(F.trim(t))), lambda t: t != "")})
-    q = queries.withColumn("low", F.lower("query")).where(F.trim("query") != "")
-    both = q.join(s, "workspace_id")
-    found = lambda c: F.size(F.filter(c, lambda w: F.col("low").contains(w)))
-    score = (3 * found("tr") + found("tw") + 0.5 * found("dw")).cast("double")
+    weigh = lambda c, n: F.transform(F.coalesce(c, F.array().cast("array<string>")), lambda w: F.struct(w.alias("needle"), F.lit(n).alias("weight")))
+    triggers = F.filter(F.transform("triggers", lambda t: F.lower(F.trim(t))), lambda t: t != "")
+    parts = F.concat(weigh(triggers, 3.0), weigh(_words(F.col("title")), 1.0), weigh(_words(F.col("description")), 0.5))
+    s = skills.where("enabled").select("workspace_id", "name", F.explode(parts).alias("p")).select("workspace_id", "name", "p.*")
+    s = s.groupBy("workspace_id", "name", "needle").agg(F.sum("weight").alias("weight"))
+    q = queries.where(F.trim("query") != "").select("workspace_id", "query_id", F.lower("query").alias("text"))
+    found = contains_pairs(s, q)
+    both = s.join(found, ["workspace_id", "needle"]).groupBy("workspace_id", "name", "text").agg(F.sum("weight").alias("score"))
     w = Window.partitionBy("workspace_id", "query_id").orderBy(F.desc("score"), "name")
-    hits = both.withColumn("score", score).where("score > 0").withColumn("r", F.row_number().over(w))
+    hits = q.join(both, ["workspace_id", "text"]).withColumn("r", F.row_number().over(w))
     return hits.where(F.col("r") <= max(1, top)).select("workspace_id", "query_id", "name", "score", "r")
 
 

@@ -33,9 +33,9 @@ def render_prompt(requests: DataFrame, structure: Column | None = None, truth: C
 
 
 def cache_key(content: Column, prompt_id: Column, version: Column, model: Column, structure_hash: Column | None = None, truth_hash: Column | None = None) -> Column:
-    """SHA-256 over content, prompt, version (with hashes of added blocks) and model."""
+    """SHA-256 over content, prompt, version (with hashes of added blocks) and model. The blocks' tags are fixed values."""
     tag = lambda name, c: [] if c is None else [F.when(c.isNotNull() & (c != ""), F.concat(F.lit(f"+{name}:"), F.substring(c, 1, 12))).otherwise("")]
-    full = F.concat(version, *tag("structure", structure_hash), *tag("truth", truth_hash))
+    full = F.concat(version, *tag("gfy", structure_hash), *tag("clf", truth_hash))
     return F.sha2(F.concat_ws("|", content, prompt_id, full, model), 256)
 
 
@@ -108,14 +108,21 @@ _SPRING = r"@(Get|Post|Put|Delete|Patch)Mapping(?:\(\s*(?:value\s*=\s*)?\"([^\"]
 _PREFIX = r"(?:\[Route\(\s*\"([^\"]+)\"\s*\)\]|@RequestMapping\(\s*(?:value\s*=\s*)?\"([^\"]+)\")"
 
 
+#: What every form above has.
+_ANY_FORM = r"\[Http[GPD]|\.Map[GPD]|@\w+\.route\(|Mapping|\.(?:get|post|put|delete|patch|GET|POST|PUT|DELETE|PATCH)\("
+
+
 def extract_routes(files: DataFrame) -> DataFrame:
     """(path, method, route): endpoints that a file declares in the forms of common web frameworks.
 
-    Verbs are upper-case, one row per verb; a class-level route comes before its methods' routes.
+    Verbs are upper-case, one row per verb; a class-level route comes before its methods' routes. ``files`` has one row per
+    path. A quick test spares files without any form; each form is looked for once, and its parts are read from what it found.
     """
     text = F.col("text")
-    prefix = F.coalesce(first_group(text, _PREFIX, 1), first_group(text, _PREFIX, 2), F.lit(""))
-    pairs = lambda p, verb, route: F.arrays_zip(F.regexp_extract_all(text, F.lit(p), F.lit(verb)).alias("verb"), F.regexp_extract_all(text, F.lit(p), F.lit(route)).alias("route"))
+    files = files.where(text.rlike(_ANY_FORM))
+    declared = F.regexp_extract(text, _PREFIX, 0)
+    prefix = F.coalesce(first_group(declared, _PREFIX, 1), first_group(declared, _PREFIX, 2), F.lit(""))
+    pairs = lambda p, verb, route: F.transform(F.regexp_extract_all(text, F.lit(p), F.lit(0)), lambda m: F.struct(F.regexp_extract(m, p, verb).alias("verb"), F.regexp_extract(m, p, route).alias("route")))
     classed = F.concat(pairs(_ATTRIBUTE, 1, 2), pairs(_SPRING, 1, 2))
     plain = F.concat(pairs(_CALL, 1, 2), pairs(_MINIMAL, 1, 2))
     flask = F.transform(pairs(_DECORATOR, 2, 1), lambda x: F.struct(F.when(x["verb"] == "", "GET").otherwise(x["verb"]).alias("verb"), x["route"].alias("route")))
@@ -124,7 +131,7 @@ def extract_routes(files: DataFrame) -> DataFrame:
         F.transform(plain, lambda x: F.struct(x["verb"].alias("verb"), x["route"].alias("route"))),
         flask,
     )
-    rows = files.select("path", F.explode(joined).alias("x"))
+    rows = files.select("path", F.explode(F.array_distinct(joined)).alias("x"))
     verbs = F.explode(F.split(F.regexp_replace(F.upper("x.verb"), r"[\s\"']", ""), ","))
     route = F.regexp_replace(F.concat(F.lit("/"), F.regexp_replace("x.route", "/+$", "")), "/{2,}", "/")
     return rows.select("path", verbs.alias("method"), route.alias("route")).distinct()

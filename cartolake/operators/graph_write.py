@@ -11,11 +11,18 @@ NODE_KEY = ["workspace_id", "label", "id"]
 EDGE_KEY = ["workspace_id", "label", "source_id", "target_id"]
 
 
-def fold_props(specs: DataFrame, key: list[str], order: str) -> DataFrame:
-    """(key, props): property by property, the value of the last spec in ``order`` wins; a null value stays to remove."""
-    pairs = specs.select(*key, F.col(order).alias("__o"), F.explode_outer("props").alias("k", "v"))
-    last = pairs.groupBy(*key, "k").agg(F.max(F.struct("__o", "v")).alias("b"))
-    entries = F.collect_list(F.when(F.col("k").isNotNull(), F.struct("k", "b.v")))
+def _order(specs: DataFrame, order: Column) -> Column:
+    """Specs apply in the order of their time; without ``created_at``, of ``order``."""
+    return F.col("created_at") if "created_at" in specs.columns else order
+
+
+def fold_props(specs: DataFrame, key: list[str], order: Column) -> DataFrame:
+    """(key, props): property by property, the value of the last spec in ``order`` wins (of one time, the greatest); a null
+    value stays to remove. Equal specs are one before their properties are looked at."""
+    once = specs.groupBy(*key, F.map_entries("props").alias("props")).agg(F.max(order).alias("__o"))
+    pairs = once.select(*key, "__o", F.explode_outer("props").alias("p"))
+    last = pairs.groupBy(*key, F.col("p.key").alias("k")).agg(F.max(F.struct("__o", "p.value")).alias("b"))
+    entries = F.collect_list(F.when(F.col("k").isNotNull(), F.struct("k", "b.value")))  # as many as there are properties
     return last.groupBy(*key).agg(F.map_from_entries(entries).alias("props"))
 
 
@@ -28,14 +35,18 @@ def merge_props(old: Column, new: Column) -> Column:
 
 
 def upsert_nodes(nodes: DataFrame, specs: DataFrame, now: Column, order: str = "last_extraction_id") -> DataFrame:
-    """``nodes`` with ``specs`` merged by (workspace_id, label, id); specs of one id apply in ``order``.
+    """``nodes`` with ``specs`` merged by (workspace_id, label, id); specs of one id apply in the order of ``created_at``, or of
+    ``order`` where they have none.
 
-    One shuffle by key brings specs together, and one join meets the stored nodes.
+    Name and origin come from the last spec in one aggregation, properties from their own; both are dealt by key, as is the
+    join that meets the stored nodes. ``specs`` are read for each of the two: write them first if they are costly.
     """
-    scalar = [F.max_by(c, order).alias(c) for c in ("name", "repo_id", "file_path", "last_extraction_id")]
-    new = specs.groupBy(*NODE_KEY).agg(*scalar).join(fold_props(specs, NODE_KEY, order), NODE_KEY)
+    at = _order(specs, F.col(order))
+    own = ["name", "repo_id", "file_path", "last_extraction_id"]
+    last = specs.groupBy(*NODE_KEY).agg(F.max(F.struct(at.alias("at"), "last_extraction_id", "file_path", "repo_id", "name")).alias("b"))
+    new = last.select(*NODE_KEY, *[F.col(f"b.{c}").alias(c) for c in own]).join(fold_props(specs, NODE_KEY, at), NODE_KEY)
     o, n = nodes.alias("o"), new.alias("n")
-    pick = [F.coalesce(f"n.{c}", f"o.{c}").alias(c) for c in ("name", "repo_id", "file_path", "last_extraction_id")]
+    pick = [F.coalesce(f"n.{c}", f"o.{c}").alias(c) for c in own]
     changed = F.col("n.props").isNotNull()
     return o.join(n, NODE_KEY, "full_outer").select(
         *NODE_KEY, pick[0], merge_props(F.col("o.props"), F.col("n.props")).alias("props"), *pick[1:],
@@ -51,9 +62,10 @@ def with_both_ends(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def upsert_edges(edges: DataFrame, specs: DataFrame, nodes: DataFrame, now: Column) -> DataFrame:
-    """``edges`` with ``specs`` merged into one edge per (source, label, target); specs without both ends are dropped."""
-    rows = with_both_ends(specs, nodes).withColumn("__o", F.to_json("props"))
-    new = fold_props(rows, EDGE_KEY, "__o")
+    """``edges`` with ``specs`` merged into one edge per (source, label, target), in the order of ``created_at`` if they have it;
+    specs without both ends are dropped."""
+    rows = with_both_ends(specs, nodes)
+    new = fold_props(rows, EDGE_KEY, _order(rows, F.to_json("props")))
     o, n = edges.alias("o"), new.alias("n")
     return o.join(n, EDGE_KEY, "full_outer").select(
         *EDGE_KEY, merge_props(F.col("o.props"), F.col("n.props")).alias("props"),

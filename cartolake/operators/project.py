@@ -7,7 +7,6 @@ projector returns emitted facts ``x``: a node, and an edge from the file's servi
 from __future__ import annotations
 
 import re
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,13 +19,22 @@ _FACT = f"struct<label:string,id:string,name:string,props:{_PROPS},edge:string,e
 
 
 def parse_extractions(files: DataFrame) -> DataFrame:
-    """``extraction_payload`` as ``rec``; keys in camel or Pascal case; malformed payloads are skipped."""
+    """``extraction_payload`` as ``rec``; keys in camel or Pascal case; malformed payloads are skipped.
+
+    Each payload is parsed once, in the case of its section names; only one that mixes both is parsed in both. The result
+    goes through a generator, so that the check on malformed ones does not parse again.
+    """
     schema = f"struct<{RECORD}, _corrupt_record string>"
-    camel = F.from_json("extraction_payload", schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"})
-    pascal = F.from_json("extraction_payload", _pascal(schema), {"mode": "PERMISSIVE"}).cast(schema)
-    merged = F.struct(*[F.coalesce(F.col("c")[n], F.col("p")[n]).alias(n) for n in _sections()])
-    out = files.withColumns({"c": camel, "p": pascal}).where(F.col("c._corrupt_record").isNull() & F.col("extraction_payload").isNotNull())
-    return out.withColumn("rec", merged).drop("c", "p")
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}
+    text = F.col("extraction_payload")
+    camel, pascal = F.from_json(text, schema, options), F.from_json(text, _pascal(schema), options).cast(schema)
+    has = lambda names: text.rlike('"(?:' + "|".join(names) + r')"\s*:')
+    upper = has([n[0].upper() + n[1:] for n in _sections()])
+    c, p = F.col("r.c"), F.col("r.p")
+    both = F.struct(F.when(~upper | has(_sections()), camel).alias("c"), F.when(upper, pascal).alias("p"))
+    out = files.where(text.isNotNull()).select("*", F.explode(F.array(both)).alias("r"))
+    out = out.where(F.coalesce(c["_corrupt_record"], p["_corrupt_record"]).isNull())
+    return out.withColumn("rec", F.struct(*[F.coalesce(c[n], p[n]).alias(n) for n in _sections()])).drop("r")
 
 
 def _sections() -> list[str]:
@@ -44,14 +52,22 @@ def service_name() -> Column:
     return F.when(named, F.col("rec.service.serviceName"))
 
 
+def service_key(name: Column) -> Column:
+    return F.concat(F.lit("Service|"), F.col("workspace_id"), F.lit("|"), name)
+
+
 def service_id(name: Column) -> Column:
-    return deterministic_guid(F.concat(F.lit("Service|"), F.col("workspace_id"), F.lit("|"), name))
+    return deterministic_guid(service_key(name))
+
+
+def node_key(label: str, *parts: Column) -> Column:
+    """Label, tenant and key parts in one text; null parts count as empty."""
+    return F.concat_ws("|", F.lit(label), F.col("workspace_id"), *[F.coalesce(p, F.lit("")) for p in parts])
 
 
 def node_id(label: str, *parts: Column) -> Column:
-    """GUID of the label, tenant and key parts; null parts count as empty."""
-    key = [F.lit(label), F.col("workspace_id"), *[F.coalesce(p, F.lit("")) for p in parts]]
-    return deterministic_guid(F.concat_ws("|", *key))
+    """GUID of a node's key."""
+    return deterministic_guid(node_key(label, *parts))
 
 
 def _props(**values: Column) -> Column:
@@ -75,13 +91,13 @@ def _each(items: Column, keep, make) -> Column:
 def services() -> Column:
     name, s = service_name(), F.col("rec.service")
     props = _props(name=name, workspace_id=F.col("workspace_id"), purpose=s["servicePurpose"], root_path=s["rootPath"], tech_stack=F.array_join(s["techStack"], ","))
-    one = F.array(_fact("Service", service_id(name), name, props, F.lit(None)))
+    one = F.array(_fact("Service", service_key(name), name, props, F.lit(None)))
     return F.when(name.isNotNull(), one).otherwise(F.array().cast(f"array<{_FACT}>"))
 
 
 def _endpoint(method: Column, path: Column, edge: str, edge_props: Column | None = None) -> Column:
     props = _props(method=method, path=path, workspace_id=F.col("workspace_id"))
-    return _fact("Endpoint", node_id("Endpoint", method, path), F.concat_ws(" ", method, path), props, edge, edge_props)
+    return _fact("Endpoint", node_key("Endpoint", method, path), F.concat_ws(" ", method, path), props, edge, edge_props)
 
 
 def endpoints(normalise: bool = False) -> Column:
@@ -93,7 +109,7 @@ def endpoints(normalise: bool = False) -> Column:
 
 def _event(e: Column, edge: str) -> Column:
     props = _props(name=e["name"], workspace_id=F.col("workspace_id"), version=e["version"], payload_summary=e["schemaSummary"], topic=e["topic"])
-    return _fact("Event", node_id("Event", e["name"], e["version"]), e["name"], props, edge)
+    return _fact("Event", node_key("Event", e["name"], e["version"]), e["name"], props, edge)
 
 
 def events_published() -> Column:
@@ -107,7 +123,7 @@ def events_consumed() -> Column:
 def storage() -> Column:
     def one(s: Column) -> Column:
         props = _props(name=s["name"], workspace_id=F.col("workspace_id"), kind=s["type"], connection_hint=s["connectionHint"])
-        return _fact("Storage", node_id("Storage", s["name"]), s["name"], props, F.when(F.lower(s["access"]) == "owns", "WRITES_TO").otherwise("READS_FROM"))
+        return _fact("Storage", node_key("Storage", s["name"]), s["name"], props, F.when(F.lower(s["access"]) == "owns", "WRITES_TO").otherwise("READS_FROM"))
 
     return _each(F.col("rec.storage.storages"), lambda s: ~blank(s["name"]), one)
 
@@ -115,7 +131,7 @@ def storage() -> Column:
 def conventions() -> Column:
     def one(c: Column) -> Column:
         props = _props(name=c["name"], workspace_id=F.col("workspace_id"), category=c["category"], description=c["description"])
-        return _fact("Convention", node_id("Convention", c["category"], c["name"]), c["name"], props, "FOLLOWS")
+        return _fact("Convention", node_key("Convention", c["category"], c["name"]), c["name"], props, "FOLLOWS")
 
     return _each(F.col("rec.conventions.conventions"), lambda c: ~blank(c["name"]) & ~blank(c["category"]), one)
 
@@ -164,7 +180,7 @@ def _messages(field: str, edge: str) -> Column:
         node = resolve_messaging_node(m)
         key = F.concat(node["label"], F.lit("|"), F.col("workspace_id"), F.lit("|"), node["name"], F.lit("|"))
         props = _props(name=node["name"], workspace_id=F.col("workspace_id"), kind=m["kind"])
-        return _fact(node["label"], deterministic_guid(key), node["name"], props, edge, _props(transport=m["kind"], routing_key=m["routingKey"]))
+        return _fact(node["label"], key, node["name"], props, edge, _props(transport=m["kind"], routing_key=m["routingKey"]))
 
     return _each(F.col(f"rec.integrationContracts.{field}"), lambda m: resolve_messaging_node(m)["name"].isNotNull(), one)
 
@@ -187,26 +203,35 @@ PROJECTORS = {
 def facts(parsed: DataFrame, names: list[str] | None = None, owner: Column | None = None) -> DataFrame:
     """One row per emitted fact: a single pass over the extractions with one explode for all sections.
 
-    ``owner``: the service that edges start from; by default the one that the file itself names.
+    Projectors give a fact's key, which becomes its GUID after the explode. ``owner``: the service that edges start from;
+    by default the one that the file itself names. ``created_at`` of the extractions is carried on, if they have it.
     """
-    all_ = reduce(lambda a, b: F.concat(a, b), [PROJECTORS[n]() for n in names or PROJECTORS])
+    all_ = F.concat(*[PROJECTORS[n]() for n in names or PROJECTORS])
     extraction = deterministic_guid(F.concat_ws(":", "file_path", "content_hash"))
     source = owner if owner is not None else service_name()
-    rows = parsed.select("workspace_id", "repo_id", "file_path", extraction.alias("extraction_id"), source.alias("service_name"), F.explode(all_).alias("x"))
-    return rows.withColumn("service_id", F.when(F.col("service_name").isNotNull(), service_id(F.col("service_name"))))
+    from_ = F.when(source.isNotNull(), service_id(source))
+    # One step per file for what its facts share, and one per fact.
+    files = parsed.select("*", extraction.alias("__extraction"), F.explode(F.array(F.struct(source.alias("name"), from_.alias("id")))).alias("__s"))
+    rows = files.select("workspace_id", "repo_id", "file_path", *_time(parsed), F.col("__extraction").alias("extraction_id"), F.col("__s.name").alias("service_name"), F.col("__s.id").alias("service_id"), F.explode(all_).alias("x"))
+    return rows.withColumn("x", F.col("x").withField("id", deterministic_guid(F.col("x.id"))))
 
 
 def node_rows(emitted: DataFrame) -> DataFrame:
     """Node specs, one per emission (not yet merged)."""
     return emitted.select(
-        "workspace_id", "x.label", "x.id", "x.name", "x.props", "repo_id", "file_path", F.col("extraction_id").alias("last_extraction_id")
+        "workspace_id", "x.label", "x.id", "x.name", "x.props", "repo_id", "file_path", F.col("extraction_id").alias("last_extraction_id"), *_time(emitted)
     )
 
 
+def _time(df: DataFrame) -> list[str]:
+    """``created_at``, where the extractions have it."""
+    return [c for c in ["created_at"] if c in df.columns]
+
+
 def edge_rows(emitted: DataFrame) -> DataFrame:
     """Edge specs of facts whose file has a service."""
     rows = emitted.where(F.col("x.edge").isNotNull() & F.col("service_id").isNotNull())
-    return rows.select("workspace_id", F.col("x.edge").alias("label"), F.col("service_id").alias("source_id"), F.col("x.id").alias("target_id"), F.col("x.edge_props").alias("props"))
+    return rows.select("workspace_id", F.col("x.edge").alias("label"), F.col("service_id").alias("source_id"), F.col("x.id").alias("target_id"), F.col("x.edge_props").alias("props"), *_time(emitted))
 
 
 def project_all(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -9,10 +9,13 @@ from pyspark.sql import functions as F
 
 from cartolake.functions.exprs import blank, fingerprint, normalised_name
 from cartolake.operators.graph_read import prop
+from cartolake.operators.matching import contains_pairs
 
-STALE_ANSWER = "[dismissed] open for too long"
+#: Answers of questions that a sweep dismisses.
+STALE_ANSWER = "[auto-dismissed] stale > 90d"
+ORPHANED_ANSWER = "[auto-dismissed] referenced nodes no longer exist"
 #: Answers offered for an endpoint that nothing calls.
-ENDPOINT_CHOICES = ["It is called from outside", "It is dead code", "Its caller is not scanned yet"]
+ENDPOINT_CHOICES = ["Remove it", "Keep it", "Add a caller"]
 
 
 def with_fingerprint(candidates: DataFrame, empty_marker: str = "") -> DataFrame:
@@ -28,12 +31,13 @@ def normalise_severity(severity: Column) -> Column:
 def name_hits(names: DataFrame, nodes: DataFrame, key: list[str], column: str = "related_node_names") -> DataFrame:
     """(key, name, hits): how many nodes of the tenant have each related name within their own, ignoring case.
 
-    Names meet distinct node names, so both sides of the contains-join shrink to distinct texts per tenant first.
+    Distinct names meet distinct node names by their rarest gram, so no two are compared that do not share it.
     """
     wanted = names.select("workspace_id", F.explode(column).alias("name")).where(~blank(F.col("name"))).distinct()
     known = nodes.where("id is not null").groupBy("workspace_id", F.lower("name").alias("n")).agg(F.count(F.lit(1)).alias("c"))
-    hits = wanted.join(known, (wanted["workspace_id"] == known["workspace_id"]) & known["n"].contains(F.lower(wanted["name"])))
-    hits = hits.groupBy(wanted["workspace_id"], wanted["name"]).agg(F.sum("c").alias("hits"))
+    found = contains_pairs(wanted.select("workspace_id", F.lower("name").alias("needle")), known.select("workspace_id", F.col("n").alias("text")))
+    sums = found.withColumnRenamed("text", "n").join(known, ["workspace_id", "n"]).groupBy("workspace_id", "needle").agg(F.sum("c").alias("hits"))
+    hits = wanted.withColumn("needle", F.lower("name")).join(sums, ["workspace_id", "needle"]).drop("needle")
     return names.select("workspace_id", *key, F.explode(column).alias("name")).distinct().join(hits, ["workspace_id", "name"], "left").fillna(0, ["hits"])
 
 
@@ -74,13 +78,22 @@ def expire_stale(questions: DataFrame, now: Column, days: int = 90) -> DataFrame
     return questions.withColumns({"status": F.when(old, "Dismissed").otherwise(F.col("status")), "answer": F.when(old, STALE_ANSWER).otherwise(F.col("answer"))})
 
 
-def dismiss_orphaned(questions: DataFrame, nodes: DataFrame, most: int = 200) -> DataFrame:
-    """(workspace_id, id) among the oldest ``most`` open questions per tenant with names, none of which a node has."""
+def orphaned(questions: DataFrame, nodes: DataFrame, most: int = 200) -> DataFrame:
+    """(workspace_id, id) of those of the oldest ``most`` open questions per tenant that have names, none of which a node has."""
     w = Window.partitionBy("workspace_id").orderBy("created_at", "id")
-    opened = questions.where((F.col("status") == "Open") & (F.size("related_node_names") > 0)).withColumn("r", F.row_number().over(w)).where(F.col("r") <= most)
+    opened = questions.where("status = 'Open'").withColumn("r", F.row_number().over(w)).where(F.col("r") <= most).where(F.size("related_node_names") > 0)
     return name_hits(opened, nodes, ["id"]).groupBy("workspace_id", "id").agg(F.sum("hits").alias("h")).where("h = 0").select("workspace_id", "id")
 
 
+def dismiss_orphaned(questions: DataFrame, nodes: DataFrame, most: int = 200) -> DataFrame:
+    """``questions`` with the orphaned ones dismissed and answered so."""
+    gone = orphaned(questions, nodes, most).withColumn("__gone", F.lit(True))
+    out = questions.join(gone, ["workspace_id", "id"], "left")
+    take = F.coalesce("__gone", F.lit(False))
+    out = out.withColumns({"status": F.when(take, "Dismissed").otherwise(F.col("status")), "answer": F.when(take, ORPHANED_ANSWER).otherwise(F.col("answer"))})
+    return out.select(*questions.columns)
+
+
 def evidence_list(names: Column, files: Column | None = None) -> Column:
     """Markdown lines of names in backquotes; after each, its first three files."""
     tick = lambda v: F.concat(F.lit("`"), v, F.lit("`"))
@@ -117,7 +130,7 @@ def dangling_endpoints(nodes: DataFrame, edges: DataFrame, looked_at: int = 50,
     called = edges.where("label = 'CALLS'").select("workspace_id", F.col("target_id").alias("id"))
     owned = edges.join(services, ["workspace_id", "source_id"], "left_semi").select("workspace_id", F.col("target_id").alias("id"))
     e = e.join(called.union(owned).distinct(), ["workspace_id", "id"], "left_anti").withColumn("r", F.row_number().over(w)).where(F.col("r") <= emitted).drop("r")
-    text = F.concat(F.lit("**Method:** `"), "method", F.lit("`  \n**Path:** `"), "path", F.lit("`  \n\nNothing calls this endpoint, and no service exposes it."))
+    text = F.concat(F.lit("**Method:** `"), "method", F.lit("`  \n**Path:** `"), "path", F.lit("`  \n\nNo incoming CALLS edges were found in the graph, and no Service node EXPOSES this endpoint."))
     return e.withColumns({"evidence": text, "choices": F.array(*map(F.lit, ENDPOINT_CHOICES))})
 
 
@@ -215,8 +228,24 @@ def project_generated(raw: DataFrame) -> DataFrame:
 
 
 def sweep(questions: DataFrame, nodes: DataFrame, edges: DataFrame, now: Column) -> dict[str, DataFrame]:
-    """The periodic sweep's steps: expired questions, orphaned ones, duplicate services and dangling endpoints."""
-    return {"questions": expire_stale(questions, now), "orphaned": dismiss_orphaned(questions, nodes), "duplicates": duplicate_services(nodes), "dangling": dangling_endpoints(nodes, edges)}
+    """The periodic sweep's steps, one on the other: stale questions expire, orphaned ones are dismissed, and duplicate services
+    and dangling endpoints become new questions where the tenant does not have them yet.
+
+    ``questions``: the table after the sweep without the new ones; ``candidates``: rows to insert.
+    """
+    settled = dismiss_orphaned(expire_stale(questions, now), nodes)
+    none = F.array().cast("array<string>")
+    twins = duplicate_services(nodes).select(
+        "workspace_id", F.concat(F.lit("duplicate_service:"), "key").alias("topic"), F.lit("Are these the same service?").alias("question"),
+        F.col("names").alias("related_node_names"), F.col("files").alias("related_file_paths"), "evidence", F.col("names").alias("choices"), F.lit("medium").alias("severity"),
+    )
+    name = F.concat_ws(" ", "method", "path")
+    bare = dangling_endpoints(nodes, edges).select(
+        "workspace_id", F.concat(F.lit("dangling_endpoint:"), name).alias("topic"), F.concat(F.lit("Endpoint "), name, F.lit(" has no callers and no owner. Should it be removed?")).alias("question"),
+        F.array(name).alias("related_node_names"), none.alias("related_file_paths"), "evidence", "choices", F.lit("low").alias("severity"),
+    )
+    found = with_fingerprint(twins.unionByName(bare)).withColumns({"id": F.col("fingerprint"), "created_at": now})
+    return {"questions": settled, "candidates": insert_new(settled, found)}
 
 
 def union_all(frames: list[DataFrame]) -> DataFrame:

@@ -36,9 +36,13 @@ def skill_count(skills: DataFrame) -> DataFrame:
 
 
 def spend_by_purpose(calls: DataFrame) -> DataFrame:
-    """(workspace_id, purpose, calls, token sums, cost, hit_pct): a row per purpose and one with purpose 'total'."""
+    """(workspace_id, purpose, calls, four token sums, cost, hit_pct): a row per purpose and one with purpose 'total'. Calls
+    without columns for tokens read from and written to the model's cache have none."""
+    cached = ["cache_read_tokens", "cache_write_tokens"]
+    calls = calls.withColumns({c: F.lit(0) for c in cached if c not in calls.columns})
     r = calls.rollup("workspace_id", "purpose").agg(
         F.grouping_id().alias("g"), F.count(F.lit(1)).alias("calls"), F.sum("input_tokens").cast("long").alias("input_tokens"), F.sum("output_tokens").cast("long").alias("output_tokens"),
+        *[F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c) for c in cached],
         F.sum("cost_usd").cast("decimal(14,6)").alias("cost_usd"), percent(F.count_if("cache_hit"), F.count(F.lit(1))).alias("hit_pct"),
     )
     return r.where("g < 2").withColumn("purpose", F.when(F.col("g") == 1, "total").otherwise(F.col("purpose"))).drop("g")
@@ -54,10 +58,27 @@ def latency_stats(telemetry: DataFrame) -> DataFrame:
     )
 
 
-def summary(repos: DataFrame, scans: DataFrame, calls: DataFrame, questions: DataFrame, skills: DataFrame, telemetry: DataFrame) -> DataFrame:
-    """One row per tenant: all single-row reports joined."""
+def graph_counts(overview: DataFrame) -> DataFrame:
+    """(workspace_id, node_counts, edge_counts): maps from label to number, of an overview (workspace_id, kind, label, n)."""
+    own = lambda kind: F.map_from_entries(F.collect_list(F.when(F.col("kind") == kind, F.struct("label", "n"))))
+    return overview.groupBy("workspace_id").agg(own("node").alias("node_counts"), own("edge").alias("edge_counts"))  # as many as there are labels
+
+
+def summary(
+    repos: DataFrame, scans: DataFrame, calls: DataFrame, questions: DataFrame, skills: DataFrame, telemetry: DataFrame, overview: DataFrame | None = None, extractions: DataFrame | None = None
+) -> DataFrame:
+    """One row per tenant: all single-row reports joined; with an ``overview`` also the graph's counts per label, with
+    ``extractions`` the number of files, and spending over all purposes where calls have a cost."""
     out = repo_summary(repos)
-    for part in (last_scan_at(scans), cached_pct(calls), question_counts(questions), skill_count(skills), latency_stats(telemetry)):
+    parts = [last_scan_at(scans), cached_pct(calls), question_counts(questions), skill_count(skills), latency_stats(telemetry)]
+    if overview is not None:
+        parts.append(graph_counts(overview))
+    if extractions is not None:
+        parts.append(extractions.groupBy("workspace_id").agg(F.count(F.lit(1)).alias("files")))
+    if "cost_usd" in calls.columns:
+        total = spend_by_purpose(calls).where("purpose = 'total'")
+        parts.append(total.select("workspace_id", F.col("calls").alias("llm_calls"), F.col("cost_usd").alias("llm_cost_usd"), F.col("hit_pct").alias("llm_hit_pct")))
+    for part in parts:
         out = out.join(part, "workspace_id", "left")
     return out
 

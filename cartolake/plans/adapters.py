@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cartolake.operators.graph_write import upsert_edges, upsert_nodes
-from cartolake.operators.project import edge_rows, facts, node_rows, parse_extractions, project_all
+from cartolake.operators.project import edge_rows, facts, node_rows, parse_extractions
 from cartolake.schemas import EDGES, NODES
 
 TABLES = "region nation customer supplier part orders lineitem events documents pages benchmark labels conversations".split()
@@ -103,35 +103,47 @@ def parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parse_extractions(extractions(spark, sf_dir))
 
 
-def build_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """The graph of all extractions, merged into empty tables."""
-    nodes, edges = project_all(parsed(spark, sf_dir))
-    now = F.lit(0).cast("timestamp")
-    merged = upsert_nodes(spark.createDataFrame([], NODES), nodes, now)
-    return merged, upsert_edges(spark.createDataFrame([], EDGES), edges, merged, now)
-
-
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder; a temporary one only where no folder is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    """A new path in the folder that ``spark.checkpoint.dir`` names. Where that is unset, a local session (as in tests) sets
+    one of its own; on a cluster, whose machines share no temporary folder, it is an error."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/cartolake/{name}-{uuid.uuid4().hex}"
 
 
-_graphs: dict[tuple[str, str], str] = {}
+_written: dict[tuple[str, ...], str] = {}
+
+
+def emitted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All projected facts, written once per application: merging reads them several times."""
+    key = ("facts", spark.sparkContext.applicationId, sf_dir)
+    if key not in _written:
+        path = scratch(spark, "facts")
+        facts(parsed(spark, sf_dir)).write.parquet(path)
+        _written[key] = path
+    return spark.read.parquet(_written[key])
+
+
+def build_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The graph of all extractions, merged into empty tables."""
+    rows, now = emitted(spark, sf_dir), F.lit(0).cast("timestamp")
+    merged = upsert_nodes(spark.createDataFrame([], NODES), node_rows(rows), now)
+    return merged, upsert_edges(spark.createDataFrame([], EDGES), edge_rows(rows), merged, now)
 
 
 def graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """The graph's tables, written once per application and partitioned by tenant and label, as reads expect them."""
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _graphs:
-        path = scratch(spark, "graph")
-        now = F.lit(0).cast("timestamp")
-        facts(parsed(spark, sf_dir)).write.parquet(f"{path}/facts")
-        emitted = spark.read.parquet(f"{path}/facts")
-        nodes, edges = node_rows(emitted), edge_rows(emitted)
-        upsert_nodes(spark.createDataFrame([], NODES), nodes, now).write.partitionBy("workspace_id", "label").parquet(f"{path}/nodes")
+    key = ("graph", spark.sparkContext.applicationId, sf_dir)
+    if key not in _written:
+        path, now = scratch(spark, "graph"), F.lit(0).cast("timestamp")
+        rows = emitted(spark, sf_dir)
+        upsert_nodes(spark.createDataFrame([], NODES), node_rows(rows), now).write.partitionBy("workspace_id", "label").parquet(f"{path}/nodes")
         merged = spark.read.schema(NODES).parquet(f"{path}/nodes")
-        upsert_edges(spark.createDataFrame([], EDGES), edges, merged, now).write.partitionBy("workspace_id", "label").parquet(f"{path}/edges")
-        _graphs[key] = path
-    path = _graphs[key]
+        upsert_edges(spark.createDataFrame([], EDGES), edge_rows(rows), merged, now).write.partitionBy("workspace_id", "label").parquet(f"{path}/edges")
+        _written[key] = path
+    path = _written[key]
     return spark.read.schema(NODES).parquet(f"{path}/nodes"), spark.read.schema(EDGES).parquet(f"{path}/edges")

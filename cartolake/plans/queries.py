@@ -134,7 +134,7 @@ def g16_project_all(spark, sf_dir):
 @query(W_GRAPH + "SELECT workspace_id, label, id, name, coalesce(method, '') AS method, coalesce(path, '') AS path FROM n")
 def w1_upsert_nodes(spark, sf_dir):
     """Merging the graph into itself changes nothing."""
-    specs, _ = project.project_all(A.parsed(spark, sf_dir))
+    specs = project.node_rows(A.emitted(spark, sf_dir))
     now = F.lit(0).cast("timestamp")
     once = graph_write.upsert_nodes(spark.createDataFrame([], NODES), specs, now)
     get = lambda k: F.coalesce(F.element_at("props", F.lit(k)), F.lit("")).alias(k)
@@ -180,7 +180,8 @@ def w5_remove_orphans(spark, sf_dir):
 
 @query(W_GRAPH + "SELECT (SELECT count(*) FROM f) * 6 + (SELECT count(*) FROM f WHERE direction <> 'none') AS specs, (SELECT count(*) FROM n) AS nodes, (SELECT count(*) FROM (SELECT DISTINCT workspace_id, label, source_id, target_id FROM e)) AS edges")
 def w6_apply_batch(spark, sf_dir):
-    specs, edge_specs = project.project_all(A.parsed(spark, sf_dir))
+    rows = A.emitted(spark, sf_dir)
+    specs, edge_specs = project.node_rows(rows), project.edge_rows(rows)
     nodes, edges, _ = graph_write.apply_batch(spark.createDataFrame([], NODES), spark.createDataFrame([], EDGES), specs, edge_specs, F.lit(0).cast("timestamp"))
     one = lambda df, name: df.agg(F.count(F.lit(1)).alias(name))
     return one(specs, "specs").crossJoin(one(nodes, "nodes")).crossJoin(one(edges, "edges"))

@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from cartolake.operators.changes import route_changes
+from cartolake.operators.changes import apply_changes, route_changes
+from cartolake.operators.questions import sweep
 
 
 def stream_daily_activity(telemetry: DataFrame, late: str = "1 day") -> DataFrame:
@@ -55,17 +56,60 @@ def stream_file_changes(changes: DataFrame, path: str, checkpoint: str) -> DataS
     return changes.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
 
 
+def stream_incremental_update(
+    changes: DataFrame, files: DataFrame, extract: Callable[[DataFrame], DataFrame], start: dict[str, DataFrame], path: str, checkpoint: str, now: Column, most: int = 500
+) -> DataStreamWriter:
+    """A writer that applies each micro-batch of changes to the tables extractions, nodes and edges.
+
+    Batch n reads the tables of batch n - 1 (the first one ``start``) and writes its own below ``path``/n, so a batch that
+    runs again gives the same tables.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        before = start if number == 0 else {name: spark.read.schema(df.schema).parquet(f"{path}/{number - 1}/{name}") for name, df in start.items()}
+
+        def once(todo: DataFrame) -> DataFrame:
+            rows = extract(todo)
+            rows.write.mode("overwrite").parquet(f"{path}/{number}/fresh")
+            return spark.read.schema(rows.schema).parquet(f"{path}/{number}/fresh")
+
+        for name, df in apply_changes(before, batch, files, once, now, most).items():
+            df.write.mode("overwrite").parquet(f"{path}/{number}/{name}")
+
+    return changes.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+
+
+def stream_sweep(ticks: DataFrame, load: Callable[[], tuple[DataFrame, DataFrame, DataFrame]], path: str, checkpoint: str, every: str = "6 hours") -> DataStreamWriter:
+    """A writer that sweeps the questions once per micro-batch of ``ticks`` (rows with ``ts``), which come ``every`` so often.
+
+    ``load`` gives the current questions, nodes and edges. What each sweep returns is written below ``path`` under its batch
+    number, at the time of its latest tick.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        at = batch.agg(F.max("ts")).first()[0]
+        if at is None:
+            return
+        for name, df in sweep(*load(), F.lit(at)).items():
+            df.write.mode("overwrite").parquet(f"{path}/{number}/{name}")
+
+    return ticks.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(processingTime=every)
+
+
 def track_heads(heads: DataFrame) -> DataFrame:
     """(repo_id, action, from_sha, to_sha): the last processed head of each repository is kept as state."""
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         last = state.get[0] if state.exists else None
         for frame in frames:
-            for sha in frame.sort_values("ts")["head_sha"]:
-                action = "initial" if last is None else "none" if last.lower() == sha.lower() else "diff"
-                if action != "none":
-                    yield pd.DataFrame({"repo_id": [key[0]], "action": [action], "from_sha": [last], "to_sha": [sha]})
-                last = sha
+            to = frame.sort_values("ts", kind="stable")["head_sha"].reset_index(drop=True)
+            from_ = to.shift(1)
+            from_[0] = last
+            out = pd.DataFrame({"repo_id": key[0], "action": "diff", "from_sha": from_, "to_sha": to})
+            out.loc[out["from_sha"].isna(), "action"] = "initial"
+            last = to.iloc[-1]
+            yield out[out["from_sha"].str.lower() != to.str.lower()]
         if last is not None:
             state.update((last,))
 

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from cartolake.operators import changes, context, correlate, graph_read, graph_write, questions, reports, structural
+from cartolake.operators import changes, context, correlate, graph_read, graph_write, matching, questions, reports, structural
 from cartolake.operators.project import parse_extractions, project_all
 from cartolake.schemas import EDGES, NODES
 
@@ -37,6 +37,28 @@ def test_upsert_folds_properties(spark):
     assert len(out) == 1 and out[0].props == {"k": "two"} and out[0].last_extraction_id == "e2"
 
 
+def test_later_extraction_wins(spark):
+    """Specs apply by time, whatever their extraction's id; of one spec's properties each has its own last value."""
+    import datetime as dt
+
+    at = lambda s: dt.datetime(2024, 1, 1, 0, 0, s)
+    specs = spark.createDataFrame(
+        [("w", "Service", "1", "late", {"k": "late", "gone": None}, "r", "g", "a", at(2)), ("w", "Service", "1", "early", {"k": "early", "gone": "x", "own": "o"}, "r", "f", "z", at(1))],
+        "workspace_id string, label string, id string, name string, props map<string,string>, repo_id string, file_path string, last_extraction_id string, created_at timestamp",
+    )
+    row = graph_write.upsert_nodes(spark.createDataFrame([], NODES), specs, F.lit(None).cast("timestamp")).first()
+    assert (row["name"], row.props, row.file_path, row.last_extraction_id) == ("late", {"k": "late", "own": "o"}, "g", "a")
+    edges = spark.createDataFrame([("w", "CALLS", "1", "1", {"e": "b"}, at(1)), ("w", "CALLS", "1", "1", {"e": "a"}, at(2))], "workspace_id string, label string, source_id string, target_id string, props map<string,string>, created_at timestamp")
+    out = graph_write.upsert_edges(spark.createDataFrame([], EDGES), edges, nodes(spark, [("w", "Service", "1", "s", {}, "f", "e")]), F.lit(None).cast("timestamp"))
+    assert out.first().props == {"e": "a"}
+
+
+def test_mixed_case_payload(spark):
+    df = spark.createDataFrame([("w", "r", "a", "h", '{"service":{"isPartOfService":true,"serviceName":"S"},"Endpoints":{"Endpoints":[{"Method":"GET","Path":"/x"}]}}')], "workspace_id string, repo_id string, file_path string, content_hash string, extraction_payload string")
+    rec = parse_extractions(df).first().rec
+    assert rec.service.serviceName == "S" and rec.endpoints.endpoints[0].path == "/x"
+
+
 def test_edges_need_both_ends(spark):
     n = nodes(spark, [("w", "Service", "1", "a", {}, "f", "e"), ("w", "Event", "2", "b", {}, "f", "e")])
     specs = spark.createDataFrame([("w", "PUBLISHES", "1", "2", {"a": "b"}), ("w", "PUBLISHES", "1", "2", {"c": "d"}), ("w", "PUBLISHES", "1", "9", {})], "workspace_id string, label string, source_id string, target_id string, props map<string,string>")
@@ -76,6 +98,45 @@ def test_owner_tiers(spark):
     assert {r.file_path: r.tier for r in single.collect()}["other.txt"] == 4
 
 
+def test_one_owner_per_file(spark):
+    """Two services name the same path: the file has one owner, and its facts come once."""
+    known = spark.createDataFrame([("w", "r", "a.cs", "B"), ("w", "r", "a.cs", "A")], "workspace_id string, repo_id string, file_path string, service string")
+    assert [(r.service, r.tier) for r in correlate.resolve_owner(known, known).collect()] == [("A", 1)]
+    df = spark.createDataFrame([("w", "r", "a.cs", "h", '{"endpoints":{"endpoints":[{"method":"GET","path":"/x"}]}}')], "workspace_id string, repo_id string, file_path string, content_hash string, extraction_payload string")
+    out = correlate.stitch_edges(parse_extractions(df), known).collect()
+    assert [(r.service_name, r.x.edge) for r in out] == [("A", "EXPOSES")]
+
+
+def test_raw_suffixes(spark):
+    files = spark.createDataFrame([("w", "r", "lib/mycode.cs")], "workspace_id string, repo_id string, file_path string")
+    known = files.limit(0).withColumn("service", F.lit("A")).union(spark.createDataFrame([("w", "r", "code.cs", "A"), ("w", "r", "z/y.cs", "B")], "workspace_id string, repo_id string, file_path string, service string"))
+    assert correlate.resolve_owner(files, known).first().service is None and correlate.resolve_owner(files, known, raw=True).first().service == "A"
+
+
+def test_contained_needles(spark):
+    texts = spark.createDataFrame([("w", x) for x in ("abcdef", "xabcx", "a", "ab", "bc")] + [("v", "abc")], "workspace_id string, text string")
+    needles = spark.createDataFrame([("w", x) for x in ("abc", "b", "ab", "zzz", "", "def")], "workspace_id string, needle string")
+    got = {(r.needle, r.text) for r in matching.contains_pairs(needles, texts).collect()}
+    rows = ["abcdef", "xabcx", "a", "ab", "bc"]
+    assert got == {(n, t) for n in ("abc", "b", "ab", "zzz", "def") for t in rows if n in t}
+
+
+def test_changes_update_the_graph(spark):
+    """A removed file loses its node, a changed one its old node and gets the new one; the rest stays."""
+    payload = lambda s: '{"service":{"isPartOfService":true,"serviceName":"%s"}}' % s
+    rows = "workspace_id string, repo_id string, file_path string, content_hash string, extraction_payload string, created_at timestamp"
+    now = F.lit("2024-01-01").cast("timestamp")
+    first = spark.createDataFrame([("w", "r", f, "1", payload(s)) for f, s in (("a", "A"), ("b", "B"), ("c", "C"))], rows.rsplit(",", 1)[0]).withColumn("created_at", now)
+    n, e = project_all(parse_extractions(first))
+    state = {"extractions": first, "nodes": graph_write.upsert_nodes(spark.createDataFrame([], NODES), n, now), "edges": graph_write.upsert_edges(spark.createDataFrame([], EDGES), e, n, now)}
+    changed = spark.createDataFrame([("r", "a", "removed", None, None, None), ("r", "b", "modified", None, 1, 1), ("r", "big", "added", None, 1, 1)], "repo_id string, filename string, status string, previous_filename string, additions int, deletions int")
+    files = spark.createDataFrame([("r", "b", 10, bytearray(b"x")), ("r", "big", 2 << 20, bytearray(b"x")), ("r", "c", 10, bytearray(b"x"))], "repo_id string, path string, length int, content binary")
+    extract = lambda todo: todo.select(F.lit("w").alias("workspace_id"), "repo_id", F.col("path").alias("file_path"), F.lit("2").alias("content_hash"), F.lit(payload("NEW")).alias("extraction_payload"), F.lit("2024-01-02").cast("timestamp").alias("created_at"))
+    out = changes.apply_changes(state, changed, files, extract, now)
+    assert {(r.file_path, r.content_hash) for r in out["extractions"].collect()} == {("b", "2"), ("c", "1")}
+    assert {(r["name"], r.file_path) for r in out["nodes"].collect()} == {("NEW", "b"), ("C", "c")}
+
+
 def test_shared_packages(spark):
     p = spark.createDataFrame([("w", "r1", "Acme.A", True), ("w", "r2", "acme.a", True), ("w", "r1", "Zed", False), ("w", "r3", "zed", False)], "workspace_id string, repo_id string, package string, internal boolean")
     s = spark.createDataFrame([("w", f"r{i}", f"s{i}") for i in (1, 2, 3)], "workspace_id string, repo_id string, service string")
