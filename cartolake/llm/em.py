@@ -10,8 +10,9 @@ def fit_votes(votes: np.ndarray, counts: np.ndarray, prior: float = 0.8, passes_
 
     Given the class, rules are taken as independent; abstentions say nothing. A rule has two accuracies: how often it
     votes good on good texts, and how often it votes bad on bad ones. The second starts low and may stay low, as a rule
-    catches one kind of bad text and lets the others pass. Pseudo-counts hold both near their starting values, and bounds
-    keep every rule better than chance. Returns posterior (of good, per pattern), accuracy (rules x 2), prior. No patterns
+    catches one kind of bad text and lets the others pass. Bad texts are few, so the fit is kept near what is assumed: votes on
+    good texts are right in 90 to 99.9 of 100 cases, those on bad ones in 20 to 95, and pseudo-counts of a hundredth of the
+    rows pull both towards their starting values. Within these bounds the data decide. Returns posterior (of good, per pattern), accuracy (rules x 2), prior. No patterns
     give an empty posterior and the starting values.
     """
     rules = votes.shape[1] if votes.ndim == 2 else 0

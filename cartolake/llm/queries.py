@@ -71,7 +71,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     third = F.crc32(F.col("doc_id").cast("string")) % 3
     out = identify(docs, fit(docs.where(third != 1)))
-    return out.select("doc_id", (third == 1).alias("held_out"), "lang_pred", "score")
+    return out.select("doc_id", F.coalesce(third == 1, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
