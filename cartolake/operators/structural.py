@@ -83,10 +83,21 @@ def keyword_search(nodes: DataFrame, degrees: DataFrame, keywords: list[str], li
     return hits.join(degrees, "id", "left").fillna(0, ["degree"]).orderBy(F.desc("score"), F.desc("degree"), "id").limit(limit).select("id", "name", "score", "degree")
 
 
-def repo_colour(nodes: DataFrame, colours: int = 10) -> DataFrame:
-    """(repo_id, colour): rank of the repository modulo the number of colours; one row per repository is ranked."""
-    repos = nodes.select("repo_id").distinct()
-    return repos.withColumn("colour", F.pmod(F.row_number().over(Window.orderBy("repo_id")) - 1, F.lit(colours)))
+def repo_colour(nodes: DataFrame, colours: int = 10, buckets: int = 256) -> DataFrame:
+    """(repo_id, colour): rank of the repository modulo the number of colours.
+
+    Repositories are ranked within buckets between about ``buckets`` of them (chosen by hash, so the same ones each time), and
+    each bucket begins where the counts of those before it end; only these counts meet in one task.
+    """
+    repos = nodes.select("repo_id").where("repo_id is not null").distinct()
+    share = max(1, repos.count() // buckets)
+    bounds = repos.where(F.pmod(F.xxhash64("repo_id"), F.lit(share)) == 0).agg(F.array_sort(F.collect_list("repo_id")).alias("bounds"))
+    placed = repos.crossJoin(F.broadcast(bounds))  # one row of about ``buckets`` names
+    placed = placed.select("repo_id", F.size(F.filter("bounds", lambda b: b <= F.col("repo_id"))).alias("bucket"))
+    sizes = placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
+    before = sizes.select("bucket", F.coalesce(F.sum("n").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    rank = F.col("before") + F.row_number().over(Window.partitionBy("bucket").orderBy("repo_id")) - 1
+    return placed.join(F.broadcast(before), "bucket").select("repo_id", F.pmod(rank, F.lit(colours)).cast("int").alias("colour"))
 
 
 def communities(nodes: DataFrame) -> DataFrame:

@@ -196,10 +196,10 @@ def x10_assemble_record(spark, sf_dir):
     return extract.assemble_record(rows).select(F.col("path").alias("doc_id"), "service", "storage")
 
 
-@query(_R + " SELECT doc_id, prompt_id, CAST(length(prompt) AS VARCHAR) AS result FROM r WHERE prompt_id = 'service'")
+@query(_R + " SELECT doc_id, prompt_id, CAST(length(prompt) AS VARCHAR) AS result FROM r")
 def x11_extract_with(spark, sf_dir):
     """The caller's function here gives each prompt's length."""
-    r = _requests(spark, sf_dir).where("prompt_id = 'service'").select("doc_id", "prompt_id", "prompt")
+    r = _requests(spark, sf_dir).select("doc_id", "prompt_id", "prompt")
     return extract.extract_with(r, lambda prompts: prompts.str.len().astype(str)).select("doc_id", "prompt_id", "result")
 
 
@@ -607,9 +607,11 @@ _B = """WITH i AS (SELECT p_brand AS q, p_partkey AS pos, p_name || p_partkey AS
     k AS (SELECT r.* FROM r JOIN g USING (q) WHERE b = 'skill' OR (b = 'graph' AND NOT dg) OR (b = 'extraction' AND NOT dx) OR (b = 'file' AND (NOT tr OR ceil((sk + run) / 4.0) <= 400)))"""
 
 
-@query(_B + " SELECT g.q AS query_id, coalesce(CAST(ceil(sum(chars) / 4.0) AS BIGINT), 0) AS estimate, any_value(dg) AS truncated FROM g LEFT JOIN k ON k.q = g.q GROUP BY ALL")
+@query(_B + " SELECT g.q AS query_id, coalesce(CAST(ceil(sum(chars) / 4.0) AS BIGINT), 0) AS estimate, any_value(dg) AS truncated, coalesce(string_agg(b || ':' || item, ',' ORDER BY b || ':' || item), '') AS kept FROM g LEFT JOIN k ON k.q = g.q GROUP BY ALL")
 def k4_fit_budget(spark, sf_dir):
-    return context.fit_budget(_items(spark, sf_dir), 400)[1]
+    kept, verdict = context.fit_budget(_items(spark, sf_dir), 400)
+    lists = kept.groupBy("query_id").agg(csv(F.array_sort(F.collect_list(F.concat_ws(":", "bucket", "item")))).alias("kept"))
+    return verdict.join(lists, "query_id", "left").withColumn("kept", F.coalesce("kept", F.lit("")))
 
 
 @query(f"SELECT id, 2 * length(name) + length(title) AS chars FROM ({A.SKILLS})")
@@ -693,9 +695,10 @@ def micro(df: DataFrame) -> DataFrame:
     return df.withColumn("cost_micro", (F.col("cost_usd") * 1000000).cast("long")).drop("cost_usd")
 
 
-@query(f"SELECT workspace_id, count(*) AS total, count(*) FILTER (WHERE enabled) AS active FROM ({A.SKILLS}) GROUP BY ALL")
+@query(f"WITH r AS (SELECT workspace_id, repo_id, bool_or(status = 'running') AS busy FROM ({A.SCANS}) GROUP BY ALL) SELECT workspace_id, count(*) AS total, count(*) FILTER (WHERE busy) AS active FROM r GROUP BY ALL")
 def p1_repo_summary(spark, sf_dir):
-    return reports.repo_summary(A.load(spark, sf_dir, A.SKILLS).withColumn("status", F.when(F.col("enabled"), "active").otherwise("off")))
+    repos = A.load(spark, sf_dir, A.SCANS).groupBy("workspace_id", "repo_id").agg(F.bool_or(F.col("status") == "running").alias("busy"))
+    return reports.repo_summary(repos.withColumn("status", F.when(F.col("busy"), "active").otherwise("off")))
 
 
 @query(_S + "SELECT workspace_id, max(started_at) AS last_scan_at FROM s GROUP BY ALL")

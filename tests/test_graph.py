@@ -176,3 +176,10 @@ def test_changes(spark):
     c = spark.createDataFrame([("r", "a", "removed", None), ("r", "b", "renamed", "old"), ("r", "c", "added", None), ("r", "d", "odd", None)], "repo_id string, filename string, status string, previous_filename string")
     got = {(r.action, r.path) for r in changes.route_changes(changes.read_file_changes(c.withColumn("additions", F.lit(None).cast("int")).withColumn("deletions", F.lit(1)))).collect()}
     assert got == {("prune", "a"), ("prune", "old"), ("extract", "b"), ("extract", "c")}
+
+
+def test_ranks_over_buckets(spark):
+    repos = spark.range(300).select(F.concat(F.lit("r"), (F.col("id") * 7919 % 1000).cast("string")).alias("repo_id"))
+    got = {r.repo_id: r.colour for r in structural.repo_colour(repos, 7, buckets=16).collect()}
+    assert got == {x: i % 7 for i, x in enumerate(sorted({r.repo_id for r in repos.collect()}))}
+    assert structural.repo_colour(repos.limit(0)).count() == 0
