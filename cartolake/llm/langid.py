@@ -111,17 +111,19 @@ def training_rows(docs: DataFrame, rows: int = TRAINING_ROWS) -> DataFrame:
     """(lang, text): at most ``rows`` texts with a language in all, about an equal share per language, chosen by hash.
 
     Each language has a threshold on hashes of doc_id, from its count; so rows are picked where they are, and no language is
-    gathered. More than ``rows`` languages are an error.
+    gathered. Rows that repeat a doc_id count once. More than ``rows`` languages are an error.
     """
-    usable = docs.where("lang is not null and text is not null")
+    usable = docs.where("lang is not null and text is not null").select("doc_id", "lang", "text")
     counts = usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
     langs = counts.limit(rows + 1).count()
     if langs > rows:
         raise ValueError("more languages than training rows")
     counts = F.broadcast(counts)  # at most ``rows`` of them
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) / float(1 << 40)
-    picked = usable.select("lang", "text", place.alias("__at")).join(counts, "lang").where(F.col("__at") * F.col("n") < rows / max(1, langs))
-    return picked.orderBy("__at", "lang").limit(rows).select("lang", "text")
+    placed = usable.join(counts, "lang").withColumn("__at", place * F.col("n") * langs / rows).where("__at < 1")
+    # Only places are sorted, to find the last one; texts stay where they are.
+    last = placed.select("__at").distinct().orderBy("__at").limit(rows).agg(F.max("__at")).first()[0]
+    return placed.where(F.col("__at") <= F.lit(last).cast("double")).select("lang", "text")
 
 
 def fit(docs: DataFrame, families: dict[str, list[str]] | None = None, rows: int = TRAINING_ROWS) -> dict | None:
