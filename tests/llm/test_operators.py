@@ -197,6 +197,48 @@ def test_clashing_columns(spark):
     assert (row.n_entities, row.value, row.t, row.kind, row["__n"]) == ("a", "b", "c", "d", 1)
 
 
+def test_random_texts_against_a_plain_version(spark):
+    """Texts put together from filler and known entities: filler stays to the character, each entity is replaced by one of its
+    form, equal ones by equal ones and different ones by different ones, wherever they stand."""
+    import ipaddress
+
+    r = random.Random(8)
+    digits = lambda n: "".join(r.choice("0123456789") for _ in range(n))
+
+    def card():
+        body = r.choice(["4", "51", "37"])
+        body += digits({"4": 15, "51": 15, "37": 14}[body] - len(body))
+        return next(body + c for c in "0123456789" if luhn(body + c))
+
+    make = {
+        r"[^@\s]+@[^@\s]+\.example": lambda: f"{r.choice('abc')}{digits(2)}@mail{digits(1)}.org",
+        r"\+\d \(\d{3}\) \d{3}-\d{4}": lambda: f"+1 ({digits(3)}) {digits(3)}-{digits(4)}",
+        r"\d{1,3}(\.\d{1,3}){3}": lambda: str(ipaddress.ip_address(r.getrandbits(32))),
+        r"\d{15,16}": card,
+        r"[0-9a-f]{40}": lambda: hashlib.sha1(digits(3).encode()).hexdigest(),
+        r"Konto \d{8}": lambda: f"Konto {digits(8)}",
+        r"Mr\. \w+": lambda: f"Mr. {r.choice('BCDFG')}{''.join(r.choice('aeiou') for _ in range(3))}ck",
+    }
+    filler = ["on 2024-01-15", "at 10:22:33,", "4111111111111112", "sold 123456789 units", "Grüße", "ein Text.\n", "12 of 34", "$1 \\1", "«да»", "v1.2.3", "—"]
+    texts, planted = [], []
+    for _ in range(250):
+        parts = [(None, r.choice(filler)) if r.random() < 0.6 else (p := r.choice(list(make)), make[p]()) for _ in range(r.randint(0, 12))]
+        texts.append(" | ".join(x for _, x in parts))
+        planted.append(parts)
+    rows = pii.replace_entities(corpus(spark, list(enumerate(texts))), KEY).orderBy("doc_id").collect()
+    seen, back = {}, {}
+    for row, parts in zip(rows, planted, strict=True):
+        new = row.text.split(" | ") if parts else []
+        assert len(new) == len(parts) and row.n_entities == sum(form is not None for form, _ in parts)
+        for (form, old), now in zip(parts, new, strict=True):
+            if form is None:
+                assert now == old
+                continue
+            assert re.fullmatch(form, now) and seen.setdefault(old, now) == now and back.setdefault(now, old) == old
+            assert luhn(now) if form == r"\d{15,16}" else True
+    assert len(seen) > 300 and not set(seen) & set(back)
+
+
 def iban_remainder(iban):
     plain = iban.replace(" ", "")
     return int("".join(str(int(c, 36)) for c in plain[4:] + plain[:4])) % 97
