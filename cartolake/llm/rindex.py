@@ -168,7 +168,7 @@ def anchors(docs: DataFrame, length: int) -> DataFrame:
     is the number of anchors of the same gram that a slice passes on."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "text", 4 << 20):
+        for part in slices(batches, "text", 2 << 20):
             order = np.argsort(part.column("doc_id").to_numpy(zero_copy_only=False), kind="stable")
             part = part.take(pa.array(order))
             a = _anchors(part.column("text"), length)
