@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 
 from cartolake.llm.shared import forget, stored
 
+#: Nodes of a run, and levels of a superblock.
 WIDTH, DEPTH = 8, 4
-BLOCK = WIDTH**DEPTH
 COLUMNS = ["doc_id", "source", "lang", "n_chars", "text"]
 _PATH = "array<struct<at: int, others: array<string>>>"
 _NODES = "tree string, idx long, n long, digest string"
@@ -45,11 +45,11 @@ def fold(leaf: str, path: list) -> str:
     return leaf
 
 
-def reduction(digests: list[str], n: int) -> list[list[str]]:
-    """The levels of a superblock's reduction in a tree that has ``n`` nodes at its level: DEPTH levels, fewer if one node
+def reduction(digests: list[str], n: int, depth: int) -> list[list[str]]:
+    """The levels of a superblock's reduction in a tree that has ``n`` nodes at its level: ``depth`` levels, fewer if one node
     remains before."""
     levels = [digests]
-    while n > 1 and len(levels) <= DEPTH:
+    while n > 1 and len(levels) <= depth:
         last = levels[-1]
         levels.append([node(last[i : i + WIDTH]) for i in range(0, len(last), WIDTH)])
         n = -(-n // WIDTH)
@@ -87,29 +87,33 @@ def ranked(rows: DataFrame, tree: str, order: list[str]) -> DataFrame:
     return found
 
 
-def _raised(nodes: DataFrame) -> DataFrame:
+def _block(depth: int) -> Column:
+    return F.expr(f"idx div {WIDTH**depth}").alias("block")
+
+
+def _raised(nodes: DataFrame, depth: int) -> DataFrame:
     """One node for each superblock."""
 
     def top(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("idx")
         n = int(part["n"].iloc[0])
-        return pd.DataFrame({"tree": [key[0]], "idx": [key[1]], "n": [-(-n // BLOCK)], "digest": [reduction(part["digest"].tolist(), n)[-1][0]]})
+        return pd.DataFrame({"tree": [key[0]], "idx": [key[1]], "n": [-(-n // WIDTH**depth)], "digest": [reduction(part["digest"].tolist(), n, depth)[-1][0]]})
 
-    return nodes.select("tree", "idx", "n", "digest").groupBy("tree", F.expr(f"idx div {BLOCK}").alias("block")).applyInPandas(top, _NODES)
+    return nodes.select("tree", "idx", "n", "digest").groupBy("tree", _block(depth)).applyInPandas(top, _NODES)
 
 
-def rise(nodes: DataFrame, least: int = 0) -> list[DataFrame]:
+def rise(nodes: DataFrame, depth: int, least: int = 0) -> list[DataFrame]:
     """``nodes`` (tree, idx, n, digest and others) and the nodes of every round above (``least`` rounds at least), the last with
     one node per tree."""
     rounds = [nodes]
     most = nodes.agg(F.max("n")).first()[0] or 0
     while most > 1 or len(rounds) <= least:
-        rounds.append(stored(_raised(rounds[-1]), "merkle"))
-        most = -(-most // BLOCK)
+        rounds.append(stored(_raised(rounds[-1], depth), "merkle"))
+        most = -(-most // WIDTH**depth)
     return rounds
 
 
-def descend(nodes: DataFrame, above: DataFrame, extra: list[str] | None = None) -> DataFrame:
+def descend(nodes: DataFrame, above: DataFrame, depth: int, extra: list[str] | None = None) -> DataFrame:
     """``nodes`` with the proofs of the superblocks ``above`` them (tree, idx, subroot, root, path) joined to their own.
 
     With ``extra`` columns, which hold a claimed digest among them, nodes are leaves: they come with the root that the claim
@@ -125,41 +129,40 @@ def descend(nodes: DataFrame, above: DataFrame, extra: list[str] | None = None)
         part = part.sort_values("idx")
         at = outer.iloc[0]
         rest = [{"at": int(s["at"]), "others": list(s["others"])} for s in at["path"]]
-        paths = [p + rest for p in local_paths(reduction(part["digest"].tolist(), int(part["n"].iloc[0])))]
+        paths = [p + rest for p in local_paths(reduction(part["digest"].tolist(), int(part["n"].iloc[0]), depth))]
         out = part[["tree", "idx", "digest", *(extra or [])]].assign(subroot=at["subroot"], root=at["root"])
         out["path"] = paths
         if leaves:
             out["folded_root"] = [fold(c, p) for c, p in zip(part["claim"], paths, strict=True)]
         return out
 
-    block = F.expr(f"idx div {BLOCK}").alias("block")
     over = above.select("tree", "idx", "subroot", "root", "path")
     # Superblocks of ``nodes`` are nodes above.
-    return own.groupBy("tree", block).cogroup(over.groupBy("tree", F.col("idx").alias("block"))).applyInPandas(join, schema)
+    return own.groupBy("tree", _block(depth)).cogroup(over.groupBy("tree", F.col("idx").alias("block"))).applyInPandas(join, schema)
 
 
-def manifest(leaves: DataFrame) -> DataFrame:
+def manifest(leaves: DataFrame, depth: int = DEPTH) -> DataFrame:
     """Per row of ``leaves`` (doc_id, lang, leaf, claim): doc_id, lang, leaf, subroot, root, path, folded_root, verified.
 
     Each lang (null is one too) has a tree over its leaves by doc_id, nulls first, then by leaf; a tree over their roots by lang,
     null first, gives the root. ``path`` is the proof: at each level the place of the node in its run, and the run's other nodes.
-    ``folded_root`` is what ``claim`` leads to along it, ``verified`` whether that is the root. No rows give none.
+    ``folded_root`` is what ``claim`` leads to along it, ``verified`` whether that is the root. ``depth`` levels of a tree are one superblock's. No rows give none.
     """
     rows = leaves.select(field(F.col("lang")).alias("tree"), "lang", "doc_id", F.col("leaf").alias("digest"), "claim")
     own = ranked(rows, "tree", ["doc_id", "digest"])  # trees need only be apart here, so the order of their names serves
-    rounds = rise(own, least=1)
+    rounds = rise(own, depth, least=1)
     langs = own.groupBy("tree").agg(F.first("lang").alias("lang"))
     roots = rounds[-1].select("tree", "digest").join(langs, "tree").select(F.lit("").alias("all"), "lang", F.col("tree").alias("of"), "digest")
     tops = ranked(roots, "all", ["lang"]).withColumnRenamed("all", "tree")
-    over = rise(tops)
+    over = rise(tops, depth)
     down = over[-1].select("tree", "idx", F.col("digest").alias("subroot"), F.col("digest").alias("root"), F.array().cast(_PATH).alias("path"))
     for nodes in reversed(over[:-1]):
-        down = descend(nodes, down)
+        down = descend(nodes, down, depth)
     down = down.select("tree", "idx", "root", "path").join(tops.select("tree", "idx", "of", "digest"), ["tree", "idx"])
     down = stored(down.select(F.col("of").alias("tree"), F.lit(0).cast("long").alias("idx"), F.col("digest").alias("subroot"), "root", "path"), "outer")
     for nodes in reversed(rounds[1:-1]):
-        down = stored(descend(nodes, down), "outer")
-    out = descend(own, down, ["claim", "doc_id", "lang"])
+        down = stored(descend(nodes, down, depth), "outer")
+    out = descend(own, down, depth, ["claim", "doc_id", "lang"])
     return out.select("doc_id", "lang", F.col("digest").alias("leaf"), "subroot", "root", "path", "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
 
 
