@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cartolake.functions.exprs import blank, file_stem, normalise_path, normalised_name
+from cartolake.operators import manifests
 from cartolake.operators.project import facts, node_id, service_name
 
 #: Endings that mark a use case, in their order of trial, with kinds.
@@ -18,8 +19,6 @@ PUBLIC_ROOTS = """
 Microsoft System Newtonsoft Serilog AutoMapper Hangfire MediatR FluentValidation Polly OpenTelemetry Azure Google Amazon
 AWSSDK Stripe Twilio Npgsql EntityFramework xunit Moq NUnit Castle MongoDB Confluent RabbitMQ MassTransit StackExchange Dapper
 """.split()
-#: Parts of package names that mean a frontend.
-FRONTEND_HINTS = ["react", "next", "vue", "angular", "svelte"]
 STRUCTURAL_RELATIONS = ["imports", "import", "calls", "depends_on", "uses"]
 
 
@@ -159,49 +158,15 @@ def service_depends_on(gnodes: DataFrame, gedges: DataFrame, mapped: DataFrame)
     return e.where("source <> target").select("workspace_id", "source", "target").distinct()
 
 
-def _project_file(base: Column) -> Column:
-    """A .csproj file or Directory.Packages.props, by name in lower case."""
-    return base.endswith(".csproj") | (base == "directory.packages.props")
+def manifest_packages(files: DataFrame, most: int = 500) -> DataFrame:
+    """(workspace_id, repo_id, path, package): names that package.json, project files and pyproject files depend on, once
+    per repository ignoring case, the first ``most``."""
+    return manifests.manifest_packages(manifests.manifest_facts(files), most)
 
 
-def manifest_packages(manifests: DataFrame) -> DataFrame:
-    """(workspace_id, repo_id, path, package): names that package.json, project files and pyproject files depend on, once
-    per repository ignoring case."""
-    base = F.lower(F.regexp_extract("path", r"([^/]*)$", 1))
-    deps = [F.map_keys(F.from_json(F.get_json_object("text", f"$.{k}"), "map<string,string>")) for k in ("dependencies", "devDependencies", "peerDependencies")]
-    none = F.array().cast("array<string>")
-    npm = F.concat(*[F.coalesce(d, none) for d in deps])
-    csproj = F.regexp_extract_all("text", F.lit(r"<PackageReference\s+(?:Include|Update)\s*=\s*\"([^\"]+)\""), F.lit(1))
-    python = F.regexp_extract_all("text", F.lit(r"(?m)^[ \t]*([A-Za-z0-9_\-.\[\]]+)\s*[~=<>!]"), F.lit(1))
-    names = F.when(base == "package.json", npm).when(_project_file(base), csproj).when(base == "pyproject.toml", python)
-    rows = manifests.select("workspace_id", "repo_id", "path", F.explode(names).alias("package")).where(~blank(F.col("package")))
-    return rows.groupBy("workspace_id", "repo_id", F.lower("package").alias("k")).agg(F.min_by("package", "path").alias("package"), F.min("path").alias("path")).drop("k")
-
-
-def classify_repo_kind(manifests: DataFrame) -> DataFrame:
-    """(workspace_id, repo_id, kind): mobile, frontend, backend, worker or library by ordered hints; a pyproject file
-    makes a library of what has none, else unknown."""
-    base = F.lower(F.regexp_extract("path", r"([^/]*)$", 1))
-    deps = F.lower(F.coalesce(F.get_json_object("text", "$.dependencies"), F.lit("")))
-    sdk = F.lower(F.regexp_extract("text", r"<Project[^>]*\bSdk\s*=\s*\"([^\"]*)\"", 1))
-    node, cs = base == "package.json", _project_file(base)
-    refers = lambda names: F.col("text").rlike(rf'(?i)<PackageReference\s[^>]*\b(?:Include|Update)\s*=\s*"(?:{names})')
-    hint = F.lit(False)
-    for h in FRONTEND_HINTS:
-        hint = hint | deps.contains(h)
-    flags = {
-        "mobile": node & deps.contains('"react-native"'), "frontend": node & hint, "web": cs & sdk.contains("web"), "work": cs & sdk.contains("worker"),
-        "aspnet": cs & refers(r"Microsoft\.AspNetCore"), "sdk": cs & (sdk != ""),
-        "host": cs & refers(r"Microsoft\.Extensions\.Hosting|Hangfire"),
-        "start": node & F.lower(F.coalesce(F.get_json_object("text", "$.scripts.start"), F.lit(""))).contains("node "),
-        "python": base == "pyproject.toml",
-    }
-    seen = manifests.groupBy("workspace_id", "repo_id").agg(*[F.coalesce(F.bool_or(v), F.lit(False)).alias(k) for k, v in flags.items()])
-    kind = (
-        F.when(F.col("mobile"), "mobile").when(F.col("web"), "backend").when(F.col("work"), "worker").when(F.col("frontend"), "frontend")
-        .when(F.col("aspnet"), "backend").when(F.col("sdk"), "library").when(F.col("host"), "worker").when(F.col("start"), "backend").when(F.col("python"), "library").otherwise("unknown")
-    )
-    return seen.select("workspace_id", "repo_id", kind.alias("kind"))
+def classify_repo_kind(files: DataFrame, most: int = 500) -> DataFrame:
+    """(workspace_id, repo_id, kind): mobile, frontend, backend, worker, library or unknown, by a fold over the manifests."""
+    return manifests.manifest_summary(manifests.manifest_facts(files), most).select("workspace_id", "repo_id", "kind")
 
 
 def classify_internal(packages: DataFrame, names: DataFrame | None = None) -> DataFrame:
@@ -219,16 +184,9 @@ def classify_internal(packages: DataFrame, names: DataFrame | None = None) -> Da
     return out.select(*key, "package", F.coalesce("internal", F.lit(False)).alias("internal"))
 
 
-def repo_name_language(manifests: DataFrame) -> DataFrame:
-    """(workspace_id, repo_id, name, language) by the first manifest: package.json and .csproj in path order, then
-    Directory.Packages.props, then pyproject files; the repository's id if none has a name."""
-    base = F.lower(F.regexp_extract("path", r"([^/]*)$", 1))
-    name = F.when(base == "package.json", F.get_json_object("text", "$.name")).when(_project_file(base), file_stem(F.col("path"))).when(base == "pyproject.toml", F.nullif(F.regexp_extract("text", r"(?mi)^\s*name\s*=\s*[\"']?([^\"'\n]+)", 1), F.lit("")))
-    language = F.when(base == "package.json", "javascript").when(_project_file(base), "csharp").when(base == "pyproject.toml", "python")
-    late = F.when(base == "directory.packages.props", 1).when(base == "pyproject.toml", 2).otherwise(0)
-    first = lambda c: F.min(F.when(c.isNotNull(), F.struct(late.alias("late"), "path", c.alias("v"))))["v"]
-    out = manifests.groupBy("workspace_id", "repo_id").agg(first(name).alias("name"), first(language).alias("language"))
-    return out.withColumns({"name": F.coalesce("name", "repo_id"), "language": F.coalesce("language", F.lit("unknown"))})
+def repo_name_language(files: DataFrame, most: int = 500) -> DataFrame:
+    """(workspace_id, repo_id, name, language) by the first manifest that gives one; the repository's id if none has a name."""
+    return manifests.manifest_summary(manifests.manifest_facts(files), most).select("workspace_id", "repo_id", "name", "language")
 
 
 def shared_packages(packages: DataFrame, services: DataFrame, most: int = 20) -> DataFrame:

@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cartolake.functions import exprs as X
-from cartolake.operators import changes, context, corpus, correlate, extract, graph_read, project, questions, reports
+from cartolake.operators import changes, context, corpus, correlate, extract, graph_read, manifests, project, questions, reports
 from cartolake.plans import adapters as A
+from cartolake.plans import manifest_queries  # noqa: F401
 from cartolake.plans.queries import C_ID, GRAPH, ORACLE_SQL, Q_ID, QUERIES, S_ID, V_ID, W_FACTS, W_GRAPH, csv, guid_sql, query
 from cartolake.schemas import EDGES, NODES
 from cartolake.sources import readers, writers
@@ -342,7 +343,7 @@ _PK = "SELECT DISTINCT 'ws0' AS workspace_id, 'r' || CAST(p_size % 7 AS VARCHAR)
 
 @query(_PK)
 def c14_manifest_packages(spark, sf_dir):
-    return correlate.manifest_packages(readers.read_manifests(_manifests(spark, sf_dir), 1_000_000)).select("workspace_id", "repo_id", "package")
+    return correlate.manifest_packages(manifests.read_manifests(_manifests(spark, sf_dir), 1_000_000)).select("workspace_id", "repo_id", "package")
 
 
 @query("SELECT 'ws0' AS workspace_id, 'r' || CAST(p_size % 7 AS VARCHAR) AS repo_id, CASE WHEN bool_or(p_partkey % 2 = 0) THEN 'backend' ELSE 'unknown' END AS kind FROM part GROUP BY ALL")
@@ -355,8 +356,8 @@ def c16_classify_internal(spark, sf_dir):
     return correlate.classify_internal(correlate.manifest_packages(_manifests(spark, sf_dir)))
 
 
-@query("""WITH m AS (SELECT 'r' || CAST(p_size % 7 AS VARCHAR) AS repo_id, p_partkey % 2 AS odd, 'm' || p_partkey || CASE p_partkey % 2 WHEN 1 THEN '/package.json' ELSE '/A.csproj' END AS path FROM part)
-    SELECT 'ws0' AS workspace_id, repo_id, CASE arg_min(odd, path) WHEN 1 THEN 'n' || repo_id ELSE 'A' END AS name, CASE arg_min(odd, path) WHEN 1 THEN 'javascript' ELSE 'csharp' END AS language FROM m GROUP BY repo_id""")
+@query("""SELECT 'ws0' AS workspace_id, 'r' || CAST(p_size % 7 AS VARCHAR) AS repo_id, CASE max(p_partkey % 2) WHEN 1 THEN 'nr' || CAST(p_size % 7 AS VARCHAR) ELSE 'A' END AS name,
+    CASE max(p_partkey % 2) WHEN 1 THEN 'javascript' ELSE 'csharp' END AS language FROM part GROUP BY p_size % 7""")
 def c17_repo_name_language(spark, sf_dir):
     return correlate.repo_name_language(_manifests(spark, sf_dir))
 
@@ -899,7 +900,7 @@ def s6_parse_extractions(spark, sf_dir):
 
 @query(f"WITH m AS (SELECT 'r' || CAST(p_size % 7 AS VARCHAR) AS repo_id, row_number() OVER (PARTITION BY p_size % 7 ORDER BY 'm' || p_partkey || CASE p_partkey % 2 WHEN 1 THEN '/package.json' ELSE '/A.csproj' END) AS r FROM part) SELECT repo_id, count(*) AS n FROM m WHERE r <= 10 GROUP BY ALL")
 def s7_read_manifests(spark, sf_dir):
-    return readers.read_manifests(_manifests(spark, sf_dir), 10).groupBy("repo_id").agg(F.count(F.lit(1)).alias("n"))
+    return manifests.read_manifests(_manifests(spark, sf_dir), 10).groupBy("repo_id").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(_CH + "SELECT filename, coalesce(previous_filename, '') AS previous_filename, 0 AS additions FROM c")
