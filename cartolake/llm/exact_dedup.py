@@ -8,13 +8,12 @@ twice or more are checked on the full bytes; texts that share a digest but diffe
 from __future__ import annotations
 
 import hashlib
-import uuid
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cartolake.llm.shared import as_bytes, mapped, scratch, stored
+from cartolake.llm.shared import as_bytes, bit_marked, mapped, scratch, stored
 
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _DIGESTS = "doc_id long, text_sha256 string, row string, batch string"
@@ -54,14 +53,14 @@ def stream_state(spark: SparkSession, folder: str, bytes_per_batch: int = 8 << 3
     try:
         for key, value in _STATE.items():
             spark.conf.set(key, value)
-        feed = spark.readStream.schema(_DIGESTS).option("maxBytesPerTrigger", str(bytes_per_batch)).parquet(f"{folder}/digests")
+        feed = spark.readStream.schema(_DIGESTS).option("maxBytesPerTrigger", str(bytes_per_batch)).parquet(f"{folder}/digests/*")
         held = feed.groupBy("text_sha256").agg(F.max(F.struct("doc_id", "row")).alias("stays"), F.count(F.lit(1)).alias("group_size"))
         run = held.writeStream.outputMode("update").format("noop").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
         run.awaitTermination()
     finally:
         for key, value in before.items():
             spark.conf.unset(key) if value is None else spark.conf.set(key, value)
-    if not spark.read.schema(_DIGESTS).parquet(f"{folder}/digests").limit(1).count():
+    if not spark.read.schema(_DIGESTS).parquet(f"{folder}/digests/*").limit(1).count():
         return spark.createDataFrame([], "text_sha256 string, keep_id long, keep_row string, group_size long")
     state = spark.read.format("statestore").load(f"{folder}/state")
     stays, size = (F.col("value").getField(f.name) for f in state.schema["value"].dataType.fields)
@@ -70,25 +69,42 @@ def stream_state(spark: SparkSession, folder: str, bytes_per_batch: int = 8 << 3
     )
 
 
-def clashing(docs: DataFrame, hits: DataFrame) -> DataFrame:
+def written(rows: DataFrame, path: str) -> None:
+    """Write ``rows`` unless a finished write is there; what a failed one left is replaced."""
+    jvm = rows.sparkSession._jvm
+    done = jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    if not done.getFileSystem(rows.sparkSession._jsc.hadoopConfiguration()).exists(done):
+        rows.write.mode("overwrite").parquet(path)
+
+
+def rows_name(docs: DataFrame) -> str:
+    """A name for exactly these rows of these versions of their files; no text is read for it."""
+    own = F.xxhash64("_metadata.file_path", "_metadata.file_modification_time", "_metadata.row_index")
+    n, h = docs.select(own.alias("h")).agg(F.count(F.lit(1)), F.bit_xor("h")).first()
+    return f"{n}-{(h or 0) & (1 << 64) - 1:016x}"
+
+
+def located(docs: DataFrame) -> DataFrame:
+    return docs.select(locator().alias("row"), "text")
+
+
+def clashing(texts: DataFrame, hits: DataFrame) -> DataFrame:
     """(text_sha256) of repeated digests whose texts are not all the same bytes.
 
-    ``hits``: doc_id and text_sha256 of all rows of repeated digests. Least and greatest bytes of each digest are compared, so a
-    task passes on two texts of a group at most.
+    ``texts``: row and text; ``hits``: row and text_sha256 of all rows of repeated digests. Only texts that a bitmap of fixed
+    size cannot clear are shuffled. Least and greatest bytes of each digest are compared, so a task passes on two texts of a
+    group at most.
     """
 
     def make(part: pa.RecordBatch) -> list:
-        out = [normal_bytes(t) for t in as_bytes(part.column("text")).to_pylist()]
-        own = [hashlib.sha256(t).hexdigest() for t in out]
-        keep = pa.array([a == b for a, b in zip(own, part.column("text_sha256").to_pylist(), strict=True)])
-        return [part.column("text_sha256").filter(keep), pa.array(out, pa.binary()).filter(keep)]
+        return [part.column("text_sha256"), pa.array([normal_bytes(t) for t in as_bytes(part.column("text")).to_pylist()], pa.binary())]
 
-    texts = docs.select("doc_id", "text").join(hits.select("doc_id", "text_sha256").distinct(), "doc_id")
-    full = mapped(texts, "text", "text_sha256 string, body binary", ["text_sha256", "body"], make)
+    hit = bit_marked(texts, "row", hits, "row", "__maybe").where("__maybe").select("row", "text").join(hits.select("row", "text_sha256"), "row")
+    full = mapped(hit.select("text_sha256", "text"), "text", "text_sha256 string, body binary", ["text_sha256", "body"], make)
     return full.groupBy("text_sha256").agg(F.min("body").alias("lo"), F.max("body").alias("hi")).where("lo <> hi").select("text_sha256")
 
 
-def exact_dedup(docs: DataFrame, with_row: bool = False, folder: str | None = None, earlier: DataFrame | None = None) -> DataFrame:
+def exact_dedup(docs: DataFrame, with_row: bool = False, folder: str | None = None, earlier: DataFrame | None = None, batch: str | None = None) -> DataFrame:
     """Per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256, and its locator ``with_row``.
 
     ``docs`` must be read from files (the locator is file and row). Texts are equal if identical after lower-casing A-Z;
@@ -96,18 +112,19 @@ def exact_dedup(docs: DataFrame, with_row: bool = False, folder: str | None = No
     Null text counts as empty; a null doc_id loses to any other. No rows in, no rows out. Other columns are ignored.
 
     With a ``folder`` the state outlives the call: the next call with it goes on from there, and its rows are held against all
-    that came before. ``earlier`` are those documents, whose bytes are checked on hits.
+    that came before. ``earlier`` are those documents, read from files as well, whose bytes are checked on hits. A call that is
+    repeated, as after a failure, counts its rows once: it is known by ``batch``, or else by its rows' places in their files.
     """
     spark = docs.sparkSession
+    batch = batch or (rows_name(docs) if folder else "all")
     folder = folder or scratch(spark, "dedup")
-    batch = uuid.uuid4().hex
-    digests(docs).withColumn("batch", F.lit(batch)).write.mode("append").parquet(f"{folder}/digests")
-    every = spark.read.schema(_DIGESTS).parquet(f"{folder}/digests")
+    written(digests(docs).withColumn("batch", F.lit(batch)), f"{folder}/digests/{batch}")
+    every = spark.read.schema(_DIGESTS).parquet(f"{folder}/digests/*")
     seen = every.where(F.col("batch") == batch).drop("batch")
     state = stored(stream_state(spark, folder), "dedup-held")
     hits = every.join(state.where("group_size > 1").select("text_sha256"), "text_sha256", "left_semi")
-    own = docs.select("doc_id", "text")
-    clashes = stored(clashing(own if earlier is None else own.unionByName(earlier.select("doc_id", "text")), hits), "dedup-clashes")
+    own = located(docs)
+    clashes = stored(clashing(own if earlier is None else own.unionByName(located(earlier)), hits), "dedup-clashes")
     out = seen.join(state, "text_sha256", "left")
     if clashes.limit(1).count():
         out = _split(docs, seen, out, clashes)

@@ -110,20 +110,21 @@ def predict(model: dict, x: np.ndarray) -> tuple[list[str], np.ndarray]:
 def training_rows(docs: DataFrame, rows: int = TRAINING_ROWS) -> DataFrame:
     """(lang, text): at most ``rows`` texts with a language in all, about an equal share per language, chosen by hash.
 
-    Each language has a threshold on hashes of doc_id, from its count; so rows are picked where they are, and no language is
-    gathered. Rows that repeat a doc_id count once. More than ``rows`` languages are an error.
+    Each language has a threshold on hashes of doc_id, from its count; so ids are picked where they are, and no language is
+    gathered. A doc_id counts once, with its least language and text of that; rows without one are left out. More than
+    ``rows`` languages are an error.
     """
-    usable = docs.where("lang is not null and text is not null").select("doc_id", "lang", "text")
-    counts = usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    usable = docs.where("doc_id is not null and lang is not null and text is not null").select("doc_id", "lang", "text", F.xxhash64("text").alias("__h"))
+    ids = usable.groupBy("doc_id").agg(F.min(F.struct("lang", "__h")).alias("one")).select("doc_id", "one.*")  # no texts
+    counts = ids.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
     langs = counts.limit(rows + 1).count()
     if langs > rows:
         raise ValueError("more languages than training rows")
-    counts = F.broadcast(counts)  # at most ``rows`` of them
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) / float(1 << 40)
-    placed = usable.join(counts, "lang").withColumn("__at", place * F.col("n") * langs / rows).where("__at < 1")
-    # Only places are sorted, to find the last one; texts stay where they are.
-    last = placed.select("__at").distinct().orderBy("__at").limit(rows).agg(F.max("__at")).first()[0]
-    return placed.where(F.col("__at") <= F.lit(last).cast("double")).select("lang", "text")
+    placed = ids.join(F.broadcast(counts), "lang").withColumn("__at", place * F.col("n") * langs / rows).where("__at < 1")  # at most ``rows`` counts
+    picked = placed.orderBy("__at", "doc_id").limit(rows).select("doc_id", "lang", "__h")
+    texts = usable.join(F.broadcast(picked), ["doc_id", "lang", "__h"])
+    return texts.groupBy("doc_id", "lang").agg(F.min("text").alias("text")).select("lang", "text")  # repeated rows are one
 
 
 def fit(docs: DataFrame, families: dict[str, list[str]] | None = None, rows: int = TRAINING_ROWS) -> dict | None:

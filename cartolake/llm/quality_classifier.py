@@ -63,15 +63,19 @@ def _features(texts: pa.Array) -> np.ndarray:
 
 def fit_scorer(docs: DataFrame, labelled: DataFrame, rows: int = TRAINING_ROWS) -> dict:
     """A scorer from at most ``rows`` texts: of those that are rather good and those that are rather bad, the ones with the
-    least hashes of doc_id, half of ``rows`` each."""
-    least = lambda side: labelled.where(side).select("doc_id", "weak_label").orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows // 2)
+    least hashes of doc_id, half of ``rows`` each. A doc_id counts once, with its least text; rows without one, and ids whose
+    rows have different labels, are not trained on."""
+    ids = labelled.where("doc_id is not null").groupBy("doc_id").agg(F.min("weak_label").alias("weak_label"), F.max("weak_label").alias("__most"))
+    ids = ids.where("weak_label = __most").select("doc_id", "weak_label")
+    least = lambda side: ids.where(side).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows // 2)
     picked = least(F.col("weak_label") < 0.5).union(least(F.col("weak_label") >= 0.5))  # bounded by rows
 
     def make(part: pa.RecordBatch) -> list:
         raw = [r.astype(np.float16).tobytes() for piece in in_rows(part) for r in _features(piece.column("text"))]
         return [part.column("weak_label"), pa.array(raw, pa.binary())]
 
-    texts = docs.select("doc_id", text_or_empty().alias("text")).join(F.broadcast(picked), "doc_id").select("weak_label", "text")
+    texts = docs.select("doc_id", text_or_empty().alias("text")).join(F.broadcast(picked), "doc_id")
+    texts = texts.groupBy("doc_id", "weak_label").agg(F.min("text").alias("text")).select("weak_label", "text")  # repeated rows are one
     found = mapped(texts, "text", "weak_label double, x binary", ["weak_label", "x"], make).collect()
     if not found:
         return {"scale": np.ones(SIZE, np.float32), "weights": np.zeros(SIZE + 1, np.float32)}

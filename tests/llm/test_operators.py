@@ -4,6 +4,7 @@ import collections
 import hashlib
 import random
 import re
+import shutil
 import zlib
 
 import numpy as np
@@ -15,12 +16,13 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from cartolake.llm import exact_dedup as exact
+from cartolake.llm import quality_classifier as quality_classifier_module
 from cartolake.llm import minhash, packing, pii, rindex
 from cartolake.llm import token_counts as token_counts_module
 from cartolake.llm.bpe import ByteBpe, bpe_digests, bpe_round_trip
 from cartolake.llm.em import fit_votes
-from cartolake.llm.langid import fit, identify
-from cartolake.llm.quality_classifier import classify_quality
+from cartolake.llm.langid import fit, identify, training_rows
+from cartolake.llm.quality_classifier import classify_quality, fit_scorer
 from cartolake.llm.quality_rules import accepted, measure, quality_rules
 from cartolake.llm.token_counts import token_counts
 
@@ -317,6 +319,19 @@ def test_exact_state_goes_on(spark, tmp_path):
     assert all(r.kept for r in exact.exact_dedup(one, folder=folder).collect())
     got = sorted((r.doc_id, r.keep_id, r.group_size, r.kept) for r in exact.exact_dedup(two, folder=folder, earlier=one).collect())
     assert got == [(3, 3, 2, True), (4, 4, 1, True), (5, 9, 2, False)] and spark.conf.get(key) == before
+    again = sorted((r.doc_id, r.keep_id, r.group_size, r.kept) for r in exact.exact_dedup(two, folder=folder, earlier=one).collect())
+    assert again == got  # a call that is repeated counts its rows once
+    part = sorted((r.doc_id, r.group_size) for r in exact.exact_dedup(one.where("doc_id < 9"), folder=folder, earlier=two).collect())
+    assert part == [(1, 3), (2, 2)]  # other rows of the same file are a batch of their own
+    shutil.rmtree(f"{folder}/digests/{exact.rows_name(two)}")  # as if the write had failed
+    assert len(exact.exact_dedup(two, folder=folder, earlier=one).collect()) == 3
+
+
+def test_exact_checks_bytes_of_rows_without_id(spark, tmp_path, monkeypatch):
+    """Bytes are met by the row's place, so rows without doc_id and rows that repeat one are checked too."""
+    docs = corpus(spark, [(None, "a"), (None, "b"), (1, "c"), (1, "d")], tmp_path)
+    monkeypatch.setattr(exact, "digests", lambda d: d.select("doc_id", F.when(F.col("doc_id").isNull(), "x").otherwise("y").alias("text_sha256"), exact.locator().alias("row")))
+    assert sorted((str(r.doc_id), r.group_size, r.kept) for r in exact.exact_dedup(docs).collect()) == [("1", 1, True), ("1", 1, True), ("None", 1, True), ("None", 1, True)]
 
 
 def test_exact_digest_clash(spark, tmp_path, monkeypatch):
@@ -326,8 +341,10 @@ def test_exact_digest_clash(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(exact, "clashing", lambda d, hits: hits.select("text_sha256").distinct())
     assert sorted((r.doc_id, r.keep_id, r.group_size) for r in exact.exact_dedup(docs).collect()) == [(1, 2, 2), (2, 2, 2), (3, 3, 1)]
     monkeypatch.undo()
-    hits = spark.createDataFrame([(1, hashlib.sha256(b"a").hexdigest()), (2, hashlib.sha256(b"a").hexdigest())], "doc_id long, text_sha256 string")
-    assert exact.clashing(docs, hits).count() == 0
+    hits = docs.where("doc_id < 3").select(exact.locator().alias("row"), F.lit("h").alias("text_sha256"))
+    assert exact.clashing(exact.located(docs), hits).count() == 0
+    every = docs.select(exact.locator().alias("row"), F.lit("h").alias("text_sha256"))
+    assert [r.text_sha256 for r in exact.clashing(exact.located(docs), every).collect()] == ["h"]
 
 
 def test_exact_empty(spark, tmp_path):
@@ -576,6 +593,28 @@ def test_language_id(spark):
     assert {x.lang_pred for x in identify(docs, fit(docs.limit(0))).collect()} == {"und"}
 
 
+def test_training_rows_are_bounded(spark):
+    """A doc_id that thousands of rows repeat, and rows without one, take one place or none."""
+    rows = [(7, f"same id {i % 3}", "en", "s", 0) for i in range(5000)] + [(None, f"no id {i}", "en", "s", 0) for i in range(5000)] + [(8, "same row", "de", "s", 0)] * 5000
+    rows += [(100 + i, f"text {i}", ["en", "de"][i % 2], "s", 0) for i in range(60)]
+    docs = spark.createDataFrame(rows, DOC).repartition(4)
+    picked = training_rows(docs, 20).collect()
+    assert 10 <= len(picked) <= 20 and {r.lang for r in picked} == {"en", "de"}
+    assert training_rows(docs).count() == 62 and len({r.text for r in training_rows(docs).collect()}) == 62
+    with pytest.raises(ValueError):
+        training_rows(docs, 1)
+    labelled = docs.select("doc_id", F.when(F.col("doc_id") == 7, F.length("text") % 2 * 1.0).when(F.col("doc_id") % 2 == 0, 0.9).otherwise(0.1).alias("weak_label"))
+    sent = []
+    held = quality_classifier_module.mapped
+    quality_classifier_module.mapped = lambda texts, *a: sent.append(texts.count()) or held(texts, *a)
+    try:
+        fit_scorer(docs, labelled, 20)
+        fit_scorer(docs, labelled.withColumn("weak_label", F.lit(0.9)), 2000)
+    finally:
+        quality_classifier_module.mapped = held
+    assert sent == [20, 62]
+
+
 def test_em_follows_the_data():
     """A rule that errs on good texts loses accuracy against one that does not; bounds hold."""
     r = np.random.default_rng(3)
