@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cartolake.functions.exprs import distinct_ci, significant_tokens
-from cartolake.operators.matching import contains_pairs
+from cartolake.operators.matching import containing, text_id
 
 WORD_SEPARATORS = r"""[ \t\n\r.,;:!?()\[\]{}"'/\\\-_]+"""
 
@@ -21,8 +21,8 @@ def match_skills(skills: DataFrame, queries: DataFrame, top: int = 3) -> DataFra
 
     Three points for each trigger within the query, one for each word of the title, half for each of the description.
     ``skills``: workspace_id, name, title, description, triggers, enabled; ``queries``: workspace_id, query_id, query.
-    Distinct words and triggers meet the distinct queries of their tenant that contain them (by their rarest gram), and only
-    such pairs are scored. Skills with the same name and tenant are one.
+    Distinct words and triggers meet the distinct queries of their tenant that contain them (by places of their rarest
+    grams), and only such pairs are scored, by the query's id. Skills with the same name and tenant are one.
     """
     weigh = lambda c, n: F.transform(F.coalesce(c, F.array().cast("array<string>")), lambda w: F.struct(w.alias("needle"), F.lit(n).alias("weight")))
     triggers = F.filter(F.transform("triggers", lambda t: F.lower(F.trim(t))), lambda t: t != "")
@@ -30,10 +30,10 @@ def match_skills(skills: DataFrame, queries: DataFrame, top: int = 3) -> DataFra
     s = skills.where("enabled").select("workspace_id", "name", F.explode(parts).alias("p")).select("workspace_id", "name", "p.*")
     s = s.groupBy("workspace_id", "name", "needle").agg(F.sum("weight").alias("weight"))
     q = queries.where(F.trim("query") != "").select("workspace_id", "query_id", F.lower("query").alias("text"))
-    found = contains_pairs(s, q)
-    both = s.join(found, ["workspace_id", "needle"]).groupBy("workspace_id", "name", "text").agg(F.sum("weight").alias("score"))
+    found = containing(s, q)
+    both = s.join(found, ["workspace_id", "needle"]).groupBy("workspace_id", "name", "text_id").agg(F.sum("weight").alias("score"))
     w = Window.partitionBy("workspace_id", "query_id").orderBy(F.desc("score"), "name")
-    hits = q.join(both, ["workspace_id", "text"]).withColumn("r", F.row_number().over(w))
+    hits = q.select("workspace_id", "query_id", text_id(F.col("text")).alias("text_id")).join(both, ["workspace_id", "text_id"]).withColumn("r", F.row_number().over(w))
     return hits.where(F.col("r") <= max(1, top)).select("workspace_id", "query_id", "name", "score", "r")
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from cartolake.functions.exprs import blank, fingerprint, normalised_name
 from cartolake.operators.graph_read import prop
-from cartolake.operators.matching import contains_pairs
+from cartolake.operators.matching import containing, text_id
 
 #: Answers of questions that a sweep dismisses.
 STALE_ANSWER = "[auto-dismissed] stale > 90d"
@@ -31,12 +31,12 @@ def normalise_severity(severity: Column) -> Column:
 def name_hits(names: DataFrame, nodes: DataFrame, key: list[str], column: str = "related_node_names") -> DataFrame:
     """(key, name, hits): how many nodes of the tenant have each related name within their own, ignoring case.
 
-    Distinct names meet distinct node names by their rarest gram, so no two are compared that do not share it.
+    Distinct names meet distinct node names by places of their rarest grams, so no two are compared that do not share them.
     """
     wanted = names.select("workspace_id", F.explode(column).alias("name")).where(~blank(F.col("name"))).distinct()
     known = nodes.where("id is not null").groupBy("workspace_id", F.lower("name").alias("n")).agg(F.count(F.lit(1)).alias("c"))
-    found = contains_pairs(wanted.select("workspace_id", F.lower("name").alias("needle")), known.select("workspace_id", F.col("n").alias("text")))
-    sums = found.withColumnRenamed("text", "n").join(known, ["workspace_id", "n"]).groupBy("workspace_id", "needle").agg(F.sum("c").alias("hits"))
+    found = containing(wanted.select("workspace_id", F.lower("name").alias("needle")), known.select("workspace_id", F.col("n").alias("text")))
+    sums = found.join(known.withColumn("text_id", text_id(F.col("n"))), ["workspace_id", "text_id"]).groupBy("workspace_id", "needle").agg(F.sum("c").alias("hits"))
     hits = wanted.withColumn("needle", F.lower("name")).join(sums, ["workspace_id", "needle"]).drop("needle")
     return names.select("workspace_id", *key, F.explode(column).alias("name")).distinct().join(hits, ["workspace_id", "name"], "left").fillna(0, ["hits"])
 

@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cartolake.operators.graph_write import upsert_edges, upsert_nodes
 from cartolake.operators.project import edge_rows, facts, node_rows, parse_extractions
 from cartolake.schemas import EDGES, NODES
+from cartolake.sources.scratch import scratch
 
 TABLES = "region nation customer supplier part orders lineitem events documents pages benchmark labels conversations".split()
 
@@ -103,18 +101,6 @@ def parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parse_extractions(extractions(spark, sf_dir))
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that ``spark.checkpoint.dir`` names. Where that is unset, a local session (as in tests) sets
-    one of its own; on a cluster, whose machines share no temporary folder, it is an error."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        base = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/cartolake/{name}-{uuid.uuid4().hex}"
-
-
 _written: dict[tuple[str, ...], str] = {}
 
 

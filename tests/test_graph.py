@@ -1,5 +1,7 @@
 """Graph writes, reads and correlation on literal rows."""
 
+import random
+
 from pyspark.sql import functions as F
 
 from cartolake.operators import changes, context, correlate, graph_read, graph_write, matching, questions, reports, structural
@@ -121,6 +123,29 @@ def test_contained_needles(spark):
     assert got == {(n, t) for n in ("abc", "b", "ab", "zzz", "def") for t in rows if n in t}
 
 
+def test_contained_needles_of_long_texts(spark):
+    """Texts of 10 KB with characters outside the basic plane, copies and overlapping places; only their places are posted."""
+    r = random.Random(4)
+    made = ["".join(r.choice("abcdefgh é𝄞中") for _ in range(10_000)) for _ in range(40)]
+    texts = spark.createDataFrame([(w, t) for w in "wv" for t in [*made, made[0], "", "aaaa"]] + [("w", None)], "workspace_id string, text string")
+    wanted = [t[k : k + n] for t in made[:8] for k, n in ((0, 12), (5000, 9), (9990, 10), (77, 5))] + ["aa", "𝄞中", "q", "aaaaa", "aaaa", "h", None, ""]
+    needles = spark.createDataFrame([("w", n) for n in wanted], "workspace_id string, needle string")
+    got = {(x.workspace_id, x.needle, x.text) for x in matching.contains_pairs(needles, texts).collect()}
+    assert got == {("w", n, t) for n in wanted if n for t in {*made, "aaaa"} if n in t}
+    # What is posted is bounded by the places of the needles' rarest grams, not by the texts.
+    plan = matching.containing(needles, texts)
+    rare = spark.createDataFrame([("w", made[0][100:130])], "workspace_id string, needle string")
+    sizes = []
+    held = matching.stored
+    matching.stored = lambda df, name: sizes.append((name, df.columns, (out := held(df, name)).count())) or out
+    try:
+        assert matching.containing(rare, texts).count() == 1
+    finally:
+        matching.stored = held
+    assert [(n, c) for n, c, _ in sizes if n == "places"] == [("places", ["workspace_id", "needle", "text_id", "start"])] and dict((n, k) for n, _, k in sizes)["places"] < 400
+    assert plan.columns == ["workspace_id", "needle", "text_id"] and matching.containing(needles, texts.limit(0)).count() == matching.containing(needles.limit(0), texts).count() == 0
+
+
 def test_changes_update_the_graph(spark):
     """A removed file loses its node, a changed one its old node and gets the new one; the rest stays."""
     payload = lambda s: '{"service":{"isPartOfService":true,"serviceName":"%s"}}' % s
