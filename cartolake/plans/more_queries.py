@@ -1016,9 +1016,9 @@ def st2_stream_file_changes(spark, sf_dir):
     writer = streams.stream_incremental_update(feed, files, extract_files, start, f"{path}/tables", f"{path}/checkpoint", now())
     run = writer.trigger(availableNow=True).start()
     run.awaitTermination()
-    last = f"{path}/tables/{run.lastProgress['batchId']}"
-    found = spark.read.parquet(f"{last}/extractions").select("repo_id", "file_path", F.lit(True).alias("extracted"))
-    nodes = spark.read.parquet(f"{last}/nodes").where("label = 'Service'").select("repo_id", "file_path", F.col("id").alias("service_id"))
+    tables = streams.read_incremental(spark, f"{path}/tables", {name: df.schema for name, df in start.items()})
+    found = tables["extractions"].select("repo_id", "file_path", F.lit(True).alias("extracted"))
+    nodes = tables["nodes"].where("label = 'Service'").select("repo_id", "file_path", F.col("id").alias("service_id"))
     return nodes.join(found, ["repo_id", "file_path"], "full_outer").select("repo_id", "file_path", "service_id", F.coalesce("extracted", F.lit(False)).alias("extracted"))
 
 

@@ -5,12 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import StructType
 
-from cartolake.operators.changes import apply_changes, route_changes
+from cartolake.operators import changelog
+from cartolake.operators.changes import KEYS, log_changes, route_changes
 from cartolake.operators.questions import sweep
 
 
@@ -57,27 +59,26 @@ def stream_file_changes(changes: DataFrame, path: str, checkpoint: str) -> DataS
 
 
 def stream_incremental_update(
-    changes: DataFrame, files: DataFrame, extract: Callable[[DataFrame], DataFrame], start: dict[str, DataFrame], path: str, checkpoint: str, now: Column, most: int = 500
+    changes: DataFrame, files: DataFrame, extract: Callable[[DataFrame], DataFrame], start: dict[str, DataFrame], path: str, checkpoint: str, now: Column, most: int = 500, fold_every: int = 20
 ) -> DataStreamWriter:
-    """A writer that applies each micro-batch of changes to the tables extractions, nodes and edges.
+    """A writer that applies each micro-batch of changes to the tables extractions, nodes and edges, kept below ``path`` as a base
+    (at first ``start``) and a log of changed keys; ``read_incremental`` reads them.
 
-    Batch n reads the tables of batch n - 1 (the first one ``start``) and writes its own below ``path``/n, so a batch that
-    runs again gives the same tables.
+    A micro-batch writes what it changed, not the tables; one that runs again gives the same tables.
     """
+    schemas = {name: df.schema for name, df in start.items()}
 
     def write(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        before = start if number == 0 else {name: spark.read.schema(df.schema).parquet(f"{path}/{number - 1}/{name}") for name, df in start.items()}
+        if not changelog.bases(batch.sparkSession, path):
+            changelog.write_base(start, path, -1)
+        log_changes(path, number, schemas, batch, files, extract, now, most, fold_every)
 
-        def once(todo: DataFrame) -> DataFrame:
-            rows = extract(todo)
-            rows.write.mode("overwrite").parquet(f"{path}/{number}/fresh")
-            return spark.read.schema(rows.schema).parquet(f"{path}/{number}/fresh")
+    return changes.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
 
-        for name, df in apply_changes(before, batch, files, once, now, most).items():
-            df.write.mode("overwrite").parquet(f"{path}/{number}/{name}")
 
-    return changes.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+def read_incremental(spark: SparkSession, path: str, schemas: dict[str, StructType]) -> dict[str, DataFrame]:
+    """The tables that ``stream_incremental_update`` keeps."""
+    return {name: changelog.read(spark, path, name, schema, KEYS[name]) for name, schema in schemas.items()}
 
 
 def stream_sweep(ticks: DataFrame, load: Callable[[], tuple[DataFrame, DataFrame, DataFrame]], path: str, checkpoint: str, every: str = "6 hours") -> DataStreamWriter:
