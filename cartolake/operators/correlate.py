@@ -189,19 +189,35 @@ def repo_name_language(files: DataFrame, most: int = 500) -> DataFrame:
     return manifests.manifest_summary(manifests.manifest_facts(files), most).select("workspace_id", "repo_id", "name", "language")
 
 
-def shared_packages(packages: DataFrame, services: DataFrame, most: int = 20) -> DataFrame:
+def package_classes(packages: DataFrame) -> DataFrame:
+    """(workspace_id, package, repo_id, internal, members): the repositories that share a package, ignoring case, one row for each.
+
+    This is the whole relation in as many rows as there are members; pairs are expanded from it for what is asked.
+    """
+    p = packages.select("workspace_id", F.lower("package").alias("package"), "repo_id", "internal").groupBy("workspace_id", "package", "repo_id").agg(F.bool_or("internal").alias("internal"))
+    sizes = p.groupBy("workspace_id", "package").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
+    return p.join(sizes, ["workspace_id", "package"])
+
+
+def shared_packages(packages: DataFrame, services: DataFrame, most: int = 20, asked: DataFrame | None = None) -> DataFrame:
     """(workspace_id, source, target, signal, shared): services of two repositories with packages in common, ignoring case.
 
     Internal packages come first (signal 'internal'); pairs without any share all packages, of which ``most`` are listed
-    ('transitive'). ``packages`` has ``internal``. Internal packages meet by themselves first, and what they link is left out
-    before the lists of all packages are gathered; every other pair that is formed is a pair of the result.
+    ('transitive'). ``packages`` has ``internal``. With ``asked`` (workspace_id, repo_id) only pairs that have one of these
+    repositories are expanded. Internal packages meet by themselves first, and what they link is left out before the lists of
+    all packages are gathered; every other pair that is formed is a pair of the result.
     """
-    p = packages.select("workspace_id", "repo_id", F.lower("package").alias("k"), "internal").groupBy("workspace_id", "repo_id", "k").agg(F.bool_or("internal").alias("internal"))
-    a, b = p.toDF("workspace_id", "ra", "k", "ia"), p.toDF("workspace_id", "rb", "k", "ib")
+    p = package_classes(packages).select("workspace_id", "repo_id", F.col("package").alias("k"), "internal")
+    own = p if asked is None else p.join(asked.select("workspace_id", "repo_id").distinct(), ["workspace_id", "repo_id"], "left_semi")
+    a, b = own.toDF("workspace_id", "ra", "k", "ia"), p.toDF("workspace_id", "rb", "k", "ib")
     pair = ["workspace_id", "ra", "rb"]
+    # An asked repository meets those on both sides of it; pairs of two asked ones come twice, and are one.
+    other = F.col("ra") < F.col("rb") if asked is None else F.col("ra") != F.col("rb")
+    ordered = lambda rows: rows.where(other).select("workspace_id", F.least("ra", "rb").alias("ra"), F.greatest("ra", "rb").alias("rb"), "k")
+    once = (lambda rows: rows) if asked is None else (lambda rows: rows.distinct())
     gather = lambda rows: rows.groupBy(*pair).agg(F.array_sort(F.collect_list("k")).alias("shared"))
-    inner = gather(a.where("ia").join(b.where("ib"), ["workspace_id", "k"]).where("ra < rb"))
-    rest = gather(a.join(b, ["workspace_id", "k"]).where("ra < rb").join(inner.select(pair), pair, "left_anti"))
+    inner = gather(once(ordered(a.where("ia").join(b.where("ib"), ["workspace_id", "k"]))))
+    rest = gather(once(ordered(a.join(b, ["workspace_id", "k"]))).join(inner.select(pair), pair, "left_anti"))
     pairs = inner.select(*pair, F.lit("internal").alias("signal"), "shared").union(rest.select(*pair, F.lit("transitive"), F.slice("shared", 1, most)))
     s = services.select("workspace_id", "repo_id", "service").distinct()
     out = pairs.join(s.toDF("workspace_id", "ra", "source"), ["workspace_id", "ra"]).join(s.toDF("workspace_id", "rb", "target"), ["workspace_id", "rb"])
@@ -211,12 +227,15 @@ def shared_packages(packages: DataFrame, services: DataFrame, most: int = 20) ->
 def workspace_summary(parsed: DataFrame, most: int = 20) -> DataFrame:
     """(workspace_id, repo_id, service, endpoints, published, consumed): at most ``most`` endpoints by text order."""
     rows = parsed.withColumn("service", service_name()).where("service is not null")
-    tagged = lambda items, kind: F.transform(F.coalesce(items, F.array().cast("array<string>")), lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("v")))
+    key, none = ["workspace_id", "repo_id", "service"], F.array().cast("array<string>")
+    tagged = lambda items, kind: F.transform(F.coalesce(items, none), lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("v")))
     routes = F.transform("rec.endpoints.endpoints", lambda e: F.concat_ws(" ", e["method"], e["path"]))
     all_ = F.concat(tagged(routes, "e"), tagged(F.col("rec.eventsPublished.publishes.name"), "p"), tagged(F.col("rec.eventsConsumed.consumes.name"), "c"))
-    x = rows.select("workspace_id", "repo_id", "service", F.explode_outer(all_).alias("x"))
-    part = lambda kind: F.array_sort(F.collect_set(F.when(F.col("x.kind") == kind, F.col("x.v"))))
-    return x.groupBy("workspace_id", "repo_id", "service").agg(F.slice(part("e"), 1, most).alias("endpoints"), part("p").alias("published"), part("c").alias("consumed"))
+    x = rows.select(*key, F.explode_outer(all_).alias("x")).select(*key, "x.*")
+    listed = first_of(x.where("kind = 'e' and v is not null"), key, "v", most, "endpoints")
+    part = lambda kind: F.array_sort(F.collect_set(F.when(F.col("kind") == kind, F.col("v"))))
+    named = x.groupBy(*key).agg(part("p").alias("published"), part("c").alias("consumed"))  # the names themselves are the result
+    return named.join(listed, key, "left").select(*key, F.coalesce("endpoints", none).alias("endpoints"), "published", "consumed")
 
 
 def eligible_for_cross_repo(parsed: DataFrame) -> DataFrame:
@@ -266,12 +285,14 @@ def majority_conventions(parsed: DataFrame, ratio: float = 0.5) -> DataFrame:
 def one_sided_events(parsed: DataFrame) -> DataFrame:
     """(workspace_id, repo_id, event, missing_side): events that no other repository consumes, or publishes."""
     m = event_mentions(parsed).select("workspace_id", "repo_id", "event", "direction").distinct()
-    per = m.groupBy("workspace_id", "event").pivot("direction", ["publish", "consume"]).agg(F.collect_set("repo_id"))
-    none = F.array().cast("array<string>")
+    # The least and the greatest repository of either side tell whether another one is there.
+    side = lambda d: F.when(F.col("direction") == d, F.col("repo_id"))
+    per = m.groupBy("workspace_id", "event").agg(*[f(side(d)).alias(f"{n}_{d}") for d in ("publish", "consume") for n, f in (("lo", F.min), ("hi", F.max))])
     out = m.join(per, ["workspace_id", "event"])
-    other = F.when(F.col("direction") == "publish", F.coalesce("consume", none)).otherwise(F.coalesce("publish", none))
-    alone = F.size(F.array_except(other, F.array("repo_id"))) == 0
-    return out.where(alone).select("workspace_id", "repo_id", "event", F.when(F.col("direction") == "publish", "consumer").otherwise("publisher").alias("missing_side"))
+    publishes = F.col("direction") == "publish"
+    other = lambda end: F.when(publishes, F.col(f"{end}_consume")).otherwise(F.col(f"{end}_publish")) == F.col("repo_id")
+    alone = F.coalesce(other("lo") & other("hi"), F.lit(True))  # nobody, or only the repository itself
+    return out.where(alone).select("workspace_id", "repo_id", "event", F.when(publishes, "consumer").otherwise("publisher").alias("missing_side"))
 
 
 def direction_conflicts(parsed: DataFrame) -> DataFrame:

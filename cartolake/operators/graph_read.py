@@ -131,6 +131,33 @@ def list_endpoints(nodes: DataFrame, edges: DataFrame, ws: str | None = None, se
     return out.distinct().orderBy("path", "method")
 
 
+def aliases(services: DataFrame, asked: DataFrame) -> DataFrame:
+    """(workspace_id, asked, name): for each of the ``asked`` names (workspace_id, name) the ``services`` (the same columns) that it
+    means: its own name, a dotted child of it, or any name that it begins with.
+
+    Both ways are equi-joins: an asked name is cut at the lengths that service names of its tenant have (as many as the longest
+    name has characters, at most), and a service name at its dots.
+    """
+    known = services.select("workspace_id", "name").where("name is not null").distinct()
+    want = asked.select("workspace_id", F.col("name").alias("asked")).where("asked is not null").distinct()
+    lengths = known.groupBy("workspace_id").agg(F.array_sort(F.collect_set(F.length("name"))).alias("lengths"))
+    cut = want.join(lengths, "workspace_id").select("workspace_id", "asked", F.explode(F.filter("lengths", lambda n: n <= F.length("asked"))).alias("n"))
+    begun = cut.withColumn("name", F.substring("asked", F.lit(1), F.col("n"))).join(known, ["workspace_id", "name"]).select("workspace_id", "asked", "name")
+    parts = F.split("name", r"\.")
+    above = F.transform(F.sequence(F.lit(1), F.greatest(F.size(parts) - 1, F.lit(1))), lambda i: F.array_join(F.slice(parts, 1, i), "."))
+    below = known.where(F.col("name").contains(".")).select("workspace_id", "name", F.explode(above).alias("asked")).join(want, ["workspace_id", "asked"]).select("workspace_id", "asked", "name")
+    return begun.union(below).distinct()
+
+
+def endpoints_of(nodes: DataFrame, edges: DataFrame, asked: DataFrame, ws: str | None = None, method: str | None = None) -> DataFrame:
+    """(workspace_id, asked, method, path): the distinct endpoints of every asked service name (workspace_id, name), by ``aliases``.
+    The method's case does not matter."""
+    s = _nodes(nodes, "Service", ws)
+    rows = hop(s, edges, _nodes(nodes, "Endpoint", ws), ["EXPOSES"]).select("workspace_id", F.col("s.name").alias("name"), prop("method", "t.props").alias("method"), prop("path", "t.props").alias("path"))
+    rows = rows if method is None else rows.where(F.lower("method") == method.lower())
+    return rows.distinct().join(aliases(s, asked), ["workspace_id", "name"]).select("workspace_id", "asked", "method", "path").distinct()
+
+
 def callers_by_id(nodes: DataFrame, edges: DataFrame, ws: str | None, endpoint_id: str) -> DataFrame:
     return _callers(nodes, edges, ws, _nodes(nodes, "Endpoint", ws).where(F.col("id") == endpoint_id))
 

@@ -370,6 +370,21 @@ def c18_shared_packages(spark, sf_dir):
     return correlate.shared_packages(p, s).withColumn("shared", csv("shared"))
 
 
+@query(f"SELECT workspace_id, lower(package) AS package, repo_id, p_internal AS internal, n AS members FROM (SELECT *, count(*) OVER (PARTITION BY workspace_id, package) AS n, starts_with(package, 'Brand1') AS p_internal FROM ({A.PACKAGES})) WHERE n > 1")
+def c18_package_classes(spark, sf_dir):
+    """The repositories of each shared package, a row for each member."""
+    return correlate.package_classes(A.load(spark, sf_dir, A.PACKAGES).withColumn("internal", F.col("package").startswith("Brand1")))
+
+
+@query(f"""WITH p AS ({A.PACKAGES}), q AS (SELECT workspace_id, a.repo_id AS ra, b.repo_id AS rb, list_sort(list(lower(a.package))) AS l FROM p a JOIN p b USING (workspace_id, package) WHERE a.repo_id < b.repo_id AND (a.repo_id IN ('repo3', 'repo5') OR b.repo_id IN ('repo3', 'repo5')) GROUP BY ALL)
+    SELECT workspace_id, 's' || ra AS source, 's' || rb AS target, array_to_string(l[1:20], ',') AS shared FROM q""")
+def c18_pairs_asked_for(spark, sf_dir):
+    """Pairs that have one of two repositories."""
+    p = A.load(spark, sf_dir, A.PACKAGES).withColumn("internal", F.lit(False))
+    s = p.select("workspace_id", "repo_id", F.concat(F.lit("s"), "repo_id").alias("service")).distinct()
+    return correlate.shared_packages(p, s, asked=p.where("repo_id in ('repo3', 'repo5')")).select("workspace_id", "source", "target", csv("shared").alias("shared"))
+
+
 @query(W_FACTS + """SELECT workspace_id, repo_id, service_name AS service, array_to_string(list_sort(list(DISTINCT method || ' ' || path))[1:20], ',') AS endpoints,
     coalesce(string_agg(DISTINCT CASE direction WHEN 'publish' THEN event_name END, ',' ORDER BY CASE direction WHEN 'publish' THEN event_name END), '') AS published FROM f GROUP BY ALL""")
 def c19_workspace_summary(spark, sf_dir):
@@ -402,6 +417,14 @@ def c23_one_sided_events(spark, sf_dir):
     return correlate.one_sided_events(A.parsed(spark, sf_dir))
 
 
+@query(W_FACTS + """, m AS (SELECT DISTINCT workspace_id, repo_id, event_name AS event, direction FROM f WHERE file_path LIKE 'src/o1__/l%' AND direction <> 'none')
+    SELECT workspace_id, repo_id, event, CASE direction WHEN 'publish' THEN 'consumer' ELSE 'publisher' END AS missing_side FROM m
+    WHERE NOT EXISTS (SELECT 1 FROM m o WHERE o.workspace_id = m.workspace_id AND o.event = m.event AND o.direction <> m.direction AND o.repo_id <> m.repo_id)""")
+def c23_one_sided_among_few(spark, sf_dir):
+    """The same over the files of a hundred orders, where many events lack a side."""
+    return correlate.one_sided_events(A.parsed(spark, sf_dir).where("file_path LIKE 'src/o1__/l%'"))
+
+
 @query(W_FACTS + _EV + ", p AS (SELECT workspace_id, event, repo_id, string_agg(direction, '+' ORDER BY direction) AS p FROM m GROUP BY ALL) SELECT workspace_id, event, string_agg(DISTINCT p, ',' ORDER BY p) AS patterns FROM p GROUP BY ALL HAVING count(DISTINCT p) > 1")
 def c24_direction_conflicts(spark, sf_dir):
     return correlate.direction_conflicts(A.parsed(spark, sf_dir)).withColumn("patterns", csv("patterns"))
@@ -1042,7 +1065,15 @@ def st4_stream_dedupe_questions(spark, sf_dir):
 def st5_track_heads(spark, sf_dir):
     """A repository's head is the month of its latest order."""
     feed = _stream(spark, sf_dir, "orders", "SELECT 'r' || CAST(o_custkey AS STRING) AS repo_id, date_format(o_orderdate, 'yyyy-MM') AS head_sha, CAST(o_orderdate AS TIMESTAMP) AS ts FROM feed")
-    return _drain(streams.track_heads(feed), "st5", "append").withColumn("from_sha", F.coalesce("from_sha", F.lit("-")))
+    held = {k: spark.conf.get(k, None) for k in streams.ROCKSDB}
+    try:
+        for k, v in streams.ROCKSDB.items():
+            spark.conf.set(k, v)
+        out = _drain(streams.track_heads(feed), "st5", "append")
+    finally:
+        for k, v in held.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    return out.withColumn("from_sha", F.coalesce("from_sha", F.lit("-")))
 
 
 @query(_Q + f"SELECT 'question' AS kind, CASE WHEN {_OLD} THEN 'Dismissed' ELSE status END AS state, count(*) AS n FROM q GROUP BY ALL UNION ALL SELECT 'candidate', 'duplicate_service', (SELECT count(DISTINCT (workspace_id, service_name)) FROM ({A.FACTS}))")

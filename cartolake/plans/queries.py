@@ -350,6 +350,20 @@ def r15_list_endpoints(spark, sf_dir):
     return graph_read.list_endpoints(*A.graph(spark, sf_dir), service=f"{SERVICE}.api", method="get")
 
 
+_ASKED = "(SELECT DISTINCT workspace_id, CASE length(service_name) % 2 WHEN 0 THEN service_name || '.api' ELSE service_name END AS asked FROM f UNION SELECT DISTINCT workspace_id, service_name || '0' FROM f UNION SELECT DISTINCT workspace_id, 'Supplier' FROM f)"
+
+
+@query(W_FACTS + f"""SELECT DISTINCT f.workspace_id, asked, method, path FROM f JOIN {_ASKED} a ON a.workspace_id = f.workspace_id
+    AND (service_name = asked OR starts_with(service_name, asked || '.') OR starts_with(asked, service_name))""")
+def r15_endpoints_of_many(spark, sf_dir):
+    """Endpoints of all services at once, asked for by names that they have, begin or go on from."""
+    f = A.load(spark, sf_dir, A.FACTS).select("workspace_id", "service_name").distinct()
+    name = F.col("service_name")
+    own = f.select("workspace_id", F.when(F.length(name) % 2 == 0, F.concat(name, F.lit(".api"))).otherwise(name).alias("name"))
+    asked = own.union(f.select("workspace_id", F.concat(name, F.lit("0")))).union(f.select("workspace_id", F.lit("Supplier")))
+    return graph_read.endpoints_of(*A.graph(spark, sf_dir), asked)
+
+
 @query(W_FACTS + "SELECT DISTINCT workspace_id, 'Service' AS caller_label, service_name AS caller, method, path FROM f WHERE workspace_id = 'ws1' AND method = 'GET' AND path = (SELECT min(path) FROM f WHERE workspace_id = 'ws1' AND method = 'GET')")
 def r16_callers_by_id(spark, sf_dir):
     nodes, edges = A.graph(spark, sf_dir)

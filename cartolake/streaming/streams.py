@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from typing import Any
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import StructType
 
 from cartolake.operators import changelog
@@ -98,20 +98,39 @@ def stream_sweep(ticks: DataFrame, load: Callable[[], tuple[DataFrame, DataFrame
     return ticks.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(processingTime=every)
 
 
+HEADS = "repo_id string, action string, from_sha string, to_sha string"
+#: Where the typed state of ``track_heads`` lives.
+ROCKSDB = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
+
+
+class HeadTracker(StatefulProcessor):
+    """The last processed head of a repository and when it was seen, as typed value state without expiry."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.head = handle.getValueState("head", "sha string, at bigint")
+
+    def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
+        sha, at = self.head.get() if self.head.exists() else (None, None)
+        before = sha, at
+        # A micro-batch's polls of one repository, in order; ties by head, so that the result is the same every time.
+        for ts, new in sorted((r["at"], r["head_sha"]) for r in rows if r["at"] is not None and r["head_sha"]):
+            if at is not None and ts < at:
+                continue  # older than what was processed
+            if sha is None or sha.lower() != new.lower():
+                yield Row(repo_id=key[0], action="initial" if sha is None else "diff", from_sha=sha, to_sha=new)
+            sha, at = new, ts
+        if (sha, at) != before:
+            self.head.update((sha, at))
+
+    def close(self) -> None:
+        pass
+
+
 def track_heads(heads: DataFrame) -> DataFrame:
-    """(repo_id, action, from_sha, to_sha): the last processed head of each repository is kept as state."""
-
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = state.get[0] if state.exists else None
-        for frame in frames:
-            to = frame.sort_values("ts", kind="stable")["head_sha"].reset_index(drop=True)
-            from_ = to.shift(1)
-            from_[0] = last
-            out = pd.DataFrame({"repo_id": key[0], "action": "diff", "from_sha": from_, "to_sha": to})
-            out.loc[out["from_sha"].isna(), "action"] = "initial"
-            last = to.iloc[-1]
-            yield out[out["from_sha"].str.lower() != to.str.lower()]
-        if last is not None:
-            state.update((last,))
-
-    return heads.groupBy("repo_id").applyInPandasWithState(step, "repo_id string, action string, from_sha string, to_sha string", "sha string", "append", GroupStateTimeout.NoTimeout)
+    """(repo_id, action, from_sha, to_sha): what each poll (repo_id, head_sha, ts) of a repository asks for.
+
+    The first head is an initial scan, a later one that differs (in any case of letters) a diff. A poll that comes late, with a
+    time before the one that was processed last, asks for nothing; nor does one without head or time. State is typed, so it
+    outlives a restart; it needs the state store of ``ROCKSDB`` in the session when the stream starts."""
+    polls = heads.select("repo_id", "head_sha", F.unix_micros("ts").alias("at"))
+    return polls.groupBy("repo_id").transformWithState(HeadTracker(), HEADS, "append", "None")

@@ -1,5 +1,6 @@
 """Graph writes, reads and correlation on literal rows."""
 
+import json
 import random
 
 from pyspark.sql import functions as F
@@ -169,6 +170,41 @@ def test_shared_packages(spark):
     assert got == {("s1", "s2"): ("internal", ["acme.a"]), ("s1", "s3"): ("transitive", ["zed"])}
 
 
+def test_package_classes(spark):
+    """A package of 10,000 repositories is 10,000 rows; pairs are expanded for what is asked."""
+    n = 10_000
+    p = spark.range(n).select(F.lit("w").alias("workspace_id"), F.concat(F.lit("r"), "id").alias("repo_id"), F.lit("Common").alias("package"), F.lit(False).alias("internal"))
+    p = p.union(spark.createDataFrame([("w", "r5", "Own", True), ("w", "r7", "own", False), ("w", "r7", "OWN", True), ("w", "r9", "single", True)], p.schema))
+    classes = correlate.package_classes(p)
+    assert classes.count() == n + 2 and {(r.package, r.members) for r in classes.select("package", "members").distinct().collect()} == {("common", n), ("own", 2)}
+    s = spark.range(n).select(F.lit("w").alias("workspace_id"), F.concat(F.lit("r"), "id").alias("repo_id"), F.concat(F.lit("s"), "id").alias("service"))
+    asked = spark.createDataFrame([("w", "r7"), ("w", "r5"), ("w", "none")], "workspace_id string, repo_id string")
+    out = correlate.shared_packages(p, s, asked=asked).cache()
+    assert out.count() == 2 * (n - 1) - 1
+    assert [(r.source, r.target, r.signal, r.shared) for r in out.where("signal = 'internal'").collect()] == [("s5", "s7", "internal", ["own"])]
+
+
+def test_aliases(spark):
+    known = spark.createDataFrame([("w", x) for x in ("Acme", "Acme.Api", "Acme.Api.V1", "Acm", "Other", "acme", None)] + [("v", "Acme")], "workspace_id string, name string")
+    names = ["Acme", "Acme.Api", "AcmeX", "Oth", "Acme.Api.", "", "Zed.Y", None]
+    got = {(r.asked, r.name) for r in graph_read.aliases(known, spark.createDataFrame([("w", x) for x in names], known.schema)).where("workspace_id = 'w'").collect()}
+    rows = [r.name for r in known.where("workspace_id = 'w' and name is not null").collect()]
+    assert got == {(a, k) for a in names if a is not None for k in rows if k == a or k.startswith(a + ".") or a.startswith(k)}
+
+
+def test_one_sided_events(spark):
+    def record(repo, published, consumed):
+        body = {"service": {"isPartOfService": True, "serviceName": "S"}, "eventsPublished": {"publishes": [{"name": e} for e in published]}, "eventsConsumed": {"consumes": [{"name": e} for e in consumed]}}
+        return ("w", repo, "f", "h", json.dumps(body))
+
+    rows = [record("a", ["both", "self", "out"], ["self", "many"]), record("b", ["many"], ["both"]), record("c", ["many"], [])]
+    df = spark.createDataFrame(rows, "workspace_id string, repo_id string, file_path string, content_hash string, extraction_payload string")
+    got = {(r.repo_id, r.event, r.missing_side) for r in correlate.one_sided_events(parse_extractions(df)).collect()}
+    assert got == {("a", "self", "consumer"), ("a", "self", "publisher"), ("a", "out", "consumer")}
+    out = {r.repo_id: (r.endpoints, r.published, r.consumed) for r in correlate.workspace_summary(parse_extractions(df)).collect()}
+    assert out == {"a": ([], ["both", "out", "self"], ["many", "self"]), "b": ([], ["many"], ["both"]), "c": ([], ["many"], [])}
+
+
 def test_combined_graph_is_simple(spark):
     n = spark.createDataFrame([("repo1", i, x, x, "code", None) for i, x in enumerate("ab")], "repo_id string, pos int, id string, label string, file_type string, source_file string")
     e = spark.createDataFrame([("repo1", "a", "b", "one", None, 0), ("repo1", "1", "0", "two", None, 1), ("repo1", "a", "zz", "bad", None, 2)], "repo_id string, source string, target string, relation string, label string, ord int")

@@ -2,6 +2,7 @@
 
 import datetime as dt
 
+import pytest
 from pyspark.sql import functions as F
 
 from cartolake.streaming import streams
@@ -34,11 +35,32 @@ def test_dedupe_equals_batch(spark, tmp_path):
     assert {r.fingerprint for r in out.collect()} == {"f0", "f1", "f2"} and out.count() == 3
 
 
-def test_heads(spark, tmp_path):
+@pytest.fixture
+def rocksdb(spark):
+    held = {k: spark.conf.get(k, None) for k in streams.ROCKSDB}
+    for k, v in streams.ROCKSDB.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in held.items():
+        spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def polls(spark, rows):
     t0 = dt.datetime(2024, 1, 1)
-    rows = [("r", s, t0 + dt.timedelta(seconds=i)) for i, s in enumerate(["a", "A", "b"])]
-    out = drain(streams.track_heads(replay(spark, spark.createDataFrame(rows, "repo_id string, head_sha string, ts timestamp"), tmp_path / "in")), tmp_path)
-    assert sorted((r.action, r.from_sha or "", r.to_sha) for r in out.collect()) == [("diff", "A", "b"), ("initial", "", "a")]
+    return spark.createDataFrame([(r, s, None if at is None else t0 + dt.timedelta(seconds=at)) for r, s, at in rows], "repo_id string, head_sha string, ts timestamp")
+
+
+def test_heads(spark, tmp_path, rocksdb):
+    """Late, repeated and null polls ask for nothing; a restart from the checkpoint keeps every head."""
+    seen = lambda n: sorted((r.repo_id, r.action, r.from_sha or "", r.to_sha) for r in spark.read.schema(streams.HEADS).parquet(f"{tmp_path}/out/{n}").collect())
+    path = tmp_path / "in"
+    polls(spark, [("r", "a", 0), ("r", "A", 1), ("r", "b", 2), ("q", "x", 9), ("q", None, 10), ("q", "y", None)]).coalesce(1).write.parquet(str(path))
+    stream = lambda: streams.track_heads(spark.readStream.schema(polls(spark, []).schema).parquet(str(path)))
+    drain(stream(), tmp_path)
+    assert seen(0) == [("q", "initial", "", "x"), ("r", "diff", "A", "b"), ("r", "initial", "", "a")]
+    polls(spark, [("r", "old", 1), ("r", "B", 3), ("r", "c", 4), ("r", "c", 4), ("q", "x", 9), ("new", "n", 0)]).coalesce(1).write.mode("append").parquet(str(path))
+    drain(stream(), tmp_path)
+    assert seen(1) == [("new", "initial", "", "n"), ("r", "diff", "B", "c")]
 
 
 def test_changes_are_routed(spark, tmp_path):
