@@ -54,6 +54,25 @@ def upsert_nodes(nodes: DataFrame, specs: DataFrame, now: Column, order: str = "
     )
 
 
+def store_bucketed(df: DataFrame, table: str, path: str, key: list[str], buckets: int) -> DataFrame:
+    """``df`` as the catalog's ``table`` below ``path``, dealt into ``buckets`` by ``key`` and sorted by it within them. What is joined
+    or grouped by that key meets it where it lies."""
+    df.repartition(buckets, *key).write.mode("overwrite").option("path", path).bucketBy(buckets, *key).sortBy(*key).saveAsTable(table)
+    return df.sparkSession.table(table)
+
+
+def store_graph(nodes: DataFrame, edges: DataFrame, name: str, path: str, buckets: int = 200) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(nodes, edges, ids) as bucketed tables: nodes and edges by their keys, and the nodes' ids, by which ends of edges are sought.
+
+    ``upsert_nodes`` on the first, and ``upsert_edges`` on the second with ``ids`` as its nodes, shuffle the new specs only. Of 200
+    buckets each is to fit into a task: take more for larger graphs."""
+    return (
+        store_bucketed(nodes, f"{name}_nodes", f"{path}/nodes", NODE_KEY, buckets),
+        store_bucketed(edges, f"{name}_edges", f"{path}/edges", EDGE_KEY, buckets),
+        store_bucketed(nodes.select("workspace_id", "id").distinct(), f"{name}_ids", f"{path}/ids", ["workspace_id", "id"], buckets),
+    )
+
+
 def with_both_ends(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Edges whose two ends exist in the tenant."""
     ids = nodes.select("workspace_id", "id").distinct()

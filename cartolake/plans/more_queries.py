@@ -901,6 +901,17 @@ def s3_read_structural_graph(spark, sf_dir):
     return count(n, "nodes").join(count(e, "edges"), "repo_id").join(count(bad, "bad"), "repo_id")
 
 
+@query(ORACLE_SQL["s3_read_structural_graph"])
+def s3_read_graph_files(spark, sf_dir):
+    """The same graphs from files, a file for each repository, read in pieces."""
+    path = A.scratch(spark, "graphs")
+    texts = _graph_texts(spark, sf_dir).select("repo_id", "text")
+    texts.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "repo_id").write.partitionBy("repo_id").text(path)
+    n, e, bad = readers.read_structural_graph(spark, path)
+    count = lambda df, c: df.groupBy(F.substring_index("repo_id", "=", -1).alias("repo_id")).agg(F.count(F.lit(1)).alias(c))
+    return count(n, "nodes").join(count(e, "edges"), "repo_id").join(count(bad, "bad"), "repo_id")
+
+
 @query(_SP + "SELECT 'r' || l_suppkey AS repo_id, '3' AS schema_version, count(*) + 1 AS total_nodes, count(*) + 1 AS total_edges FROM e GROUP BY l_suppkey")
 def s4_structural_metadata(spark, sf_dir):
     return readers.structural_metadata(_graph_texts(spark, sf_dir), now()).select("repo_id", "schema_version", "total_nodes", "total_edges")

@@ -146,6 +146,26 @@ def w2_upsert_edges(spark, sf_dir):
     return A.build_graph(spark, sf_dir)[1].select("workspace_id", "label", "source_id", "target_id")
 
 
+def _bucketed(spark, sf_dir):
+    """The stored graph as bucketed tables, and the facts that are merged into it again."""
+    nodes, edges, ids = graph_write.store_graph(*A.graph(spark, sf_dir), "stored", A.scratch(spark, "bucketed"), 16)
+    return nodes, edges, ids, A.emitted(spark, sf_dir)
+
+
+@query(W_GRAPH + "SELECT workspace_id, label, id, name, coalesce(method, '') AS method, coalesce(path, '') AS path FROM n")
+def w1_upsert_stored_nodes(spark, sf_dir):
+    """Facts merged into a bucketed table: the stored side is not shuffled."""
+    nodes, _, _, emitted = _bucketed(spark, sf_dir)
+    get = lambda k: F.coalesce(F.element_at("props", F.lit(k)), F.lit("")).alias(k)
+    return graph_write.upsert_nodes(nodes, project.node_rows(emitted), F.lit(0).cast("timestamp")).select("workspace_id", "label", "id", "name", get("method"), get("path"))
+
+
+@query(W_GRAPH + "SELECT DISTINCT workspace_id, label, source_id, target_id FROM e")
+def w2_upsert_stored_edges(spark, sf_dir):
+    _, edges, ids, emitted = _bucketed(spark, sf_dir)
+    return graph_write.upsert_edges(edges, project.edge_rows(emitted), ids, F.lit(0).cast("timestamp")).select("workspace_id", "label", "source_id", "target_id")
+
+
 _GONE = "(SELECT id FROM n WHERE label = 'Service' AND name LIKE '%1')"
 
 

@@ -170,6 +170,44 @@ def test_shared_packages(spark):
     assert got == {("s1", "s2"): ("internal", ["acme.a"]), ("s1", "s3"): ("transitive", ["zed"])}
 
 
+def stored_scans(df):
+    """For each scan of a stored table in the plan, the operators between it and the join that it goes into."""
+    held, found = {}, []
+    for line in df._jdf.queryExecution().executedPlan().toString().splitlines():
+        name = line.lstrip(" :+-*(0123456789)")
+        depth = len(line) - len(line.lstrip(" :+-"))
+        held = {k: v for k, v in held.items() if k < depth} | {depth: name}
+        if name.startswith("FileScan") and "spark_catalog" in name:
+            above = [held[k] for k in sorted(held, reverse=True)]
+            found.append(above[: next(i for i, x in enumerate(above) if "Join" in x)])
+    return found
+
+
+def test_merging_into_bucketed_tables(spark, tmp_path):
+    """Stored tables are neither shuffled nor broadcast, and the result is that of plain tables."""
+    specs = nodes(spark, [("w", "Service", f"s{i}", f"S{i}", {"a": str(i)}, "f", "1") for i in range(40)])
+    now = F.lit("2024-01-01").cast("timestamp")
+    plain = graph_write.upsert_nodes(spark.createDataFrame([], NODES), specs, now)
+    links = spark.createDataFrame([("w", "CALLS", f"s{i}", f"s{i + 1}", {"n": "1"}) for i in range(30)], "workspace_id string, label string, source_id string, target_id string, props map<string,string>")
+    joined = graph_write.upsert_edges(spark.createDataFrame([], EDGES), links, plain, now)
+    n, e, ids = graph_write.store_graph(plain, joined, "bucket_test", str(tmp_path / "graph"), 4)
+    more = nodes(spark, [("w", "Service", f"s{i}", f"S{i}", {"b": "new"}, "f", "2") for i in range(35, 45)])
+    ends = links.limit(3).withColumn("props", F.create_map(F.lit("m"), F.lit("2"))).union(spark.createDataFrame([("w", "CALLS", "s1", "nowhere", {})], links.schema))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        both = [(graph_write.upsert_nodes(n, more, now), graph_write.upsert_nodes(plain, more, now), 1), (graph_write.upsert_edges(e, ends, ids, now), graph_write.upsert_edges(joined, ends, plain, now), 3)]
+        for got, want, scans in both:
+            between = stored_scans(got)
+            assert len(between) >= scans and not any("Exchange" in x for path in between for x in path)
+            view = lambda df: sorted(str(r) for r in df.select(*[F.array_sort(F.map_entries(c)).alias(c) if k.startswith("map") else c for c, k in sorted(df.dtypes)]).collect())
+            assert view(got) == view(want)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+        for name in ("nodes", "edges", "ids"):
+            spark.sql(f"DROP TABLE bucket_test_{name}")
+
+
 def test_package_classes(spark):
     """A package of 10,000 repositories is 10,000 rows; pairs are expanded for what is asked."""
     n = 10_000
