@@ -1,7 +1,8 @@
 """A training-corpus pipeline: quality rules, exact and near deduplication, surrogates for personal data, packing.
 
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; its output is written as Parquet and read
-again. All but the last return the columns of ``documents``.
+again. All but the last return the columns of ``documents``. Extra columns go along, whatever their names; nulls in lang, source
+and n_chars do not matter; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -20,7 +21,8 @@ from cartolake.llm.shared import bit_marked, stored
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules accept."""
+    """Documents that the quality rules accept. Null and empty texts have no words, so they go; each of several equal rows is judged
+    alike."""
     return accepted(docs)
 
 
@@ -34,27 +36,30 @@ def _without(rows: DataFrame, column: str, dropped: DataFrame, key: str) -> Data
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts."""
+    """One document of each group of texts that are equal but for the case of A-Z: the one with the largest doc_id, of rows that share
+    it the last by place. Null counts as empty; a row without doc_id stays only where the whole group has none."""
     dropped = stored(exact_dedup(docs, with_row=True).where("not kept").select("row"), "dropped")
     rows = docs.select(F.struct(*docs.columns).alias("__doc"), locator().alias("__row"))
     return _without(rows, "__row", dropped, "row").select("__doc.*")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near duplicates; those without doc_id stay."""
+    """One document of each component of near duplicates, the one with the smallest doc_id. Those without doc_id, without words
+    or with a null text stay, and so do all rows that share a doc_id that stays."""
     dropped = stored(near_duplicates(docs).where("not kept").select("doc_id").distinct(), "dropped")
     rows = docs.select(F.struct(*docs.columns).alias("__doc"), F.col("doc_id").alias("__id"))
     return _without(rows, "__id", dropped, "doc_id").select("__doc.*")
 
 
 def mask_entities(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Surrogates in place of personal data; n_chars follows the new text."""
+    """Surrogates in place of personal data; n_chars follows the new text, and both stay null where the text is null. Equal texts
+    get equal surrogates."""
     made = replace_entities(docs, surrogate_key(spark), count="__entities").drop("__entities")
     return made.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of packed token sequences."""
+    """Pieces of packed token sequences. A null or empty text is the end mark alone; each of several equal rows is packed."""
     return pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 

@@ -15,7 +15,7 @@ from cartolake.llm.quality_rules import quality_rules
 from tests.llm.test_operators import LOWER, near_plain, plain_measures
 
 SF = "/root/testdata/sf0.001"
-CLASHING = ["row", "kept", "v", "n_entities", "own", "__x", "value", "bits", "doc", "quality", "pattern", "batch"]
+CLASHING = ["__doc", "__row", "__id", "__maybe", "row", "kept", "v", "n_entities", "own", "__x", "value", "bits", "doc", "quality", "pattern", "batch"]
 
 
 def run_stage(spark, number, docs, path):
