@@ -26,6 +26,8 @@ from cartolake.llm.kernel import BASES, U64, Joined, in_group, later, mix
 from cartolake.llm.shared import as_bytes, mapped, slices, stored
 
 GRAM = 32
+#: Windows whose anchors are chosen at a time.
+BLOCK = 1 << 18
 #: Contexts of an index.
 PER_INDEX = 2600
 #: A gram that this many contexts of one slice share is crowded; of all crowded grams the MOST_CROWDED are dealt out by
@@ -128,35 +130,50 @@ class RunLengthIndex:
         return out
 
 
-def _anchors(texts: pa.Array, length: int) -> dict[str, np.ndarray]:
-    """Per anchor: text number, place in it, hash, hash of its context, and first and last window that chose it."""
-    joined = Joined(texts)
-    n, at = len(joined.data), joined.at
-    grams = joined.grams(GRAM)
-    wide = length - GRAM + 1
-    none = {c: np.zeros(0, np.int64) for c in ("text", "place", "hash", "context", "first", "last")}
-    if len(grams) < wide:
-        return none
+def _chosen(data: np.ndarray, at: np.ndarray, begin: int, end: int, length: int) -> tuple[np.ndarray, ...]:
+    """Of the windows that start from ``begin`` to before ``end``: per choice of an anchor its text, place in ``data``, hash,
+    hash of its context, and first and last window. Hashes do not depend on where the piece of ``data`` is cut."""
+    low = max(begin - length, 0)
+    piece = pa.array([data[low : end + 2 * length].tobytes()], pa.large_binary())  # what contexts can reach
+    grams = Joined(piece).grams(GRAM)[begin - low : end - low + length - GRAM]
     least = (grams & ~U64(0xFFFFFFFF)) | np.arange(len(grams), dtype=U64)
-    step, reach = 1, least
+    wide, step = length - GRAM + 1, 1
     while 2 * step <= wide:
-        reach = np.minimum(reach[:-step], reach[step:])
+        least = np.minimum(least[:-step], least[step:])
         step *= 2
     if step < wide:
-        reach = np.minimum(reach[: len(reach) - (wide - step)], reach[wide - step :])
-    window = np.arange(len(reach))
+        least = np.minimum(least[: len(least) - (wide - step)], least[wide - step :])
+    window = np.arange(begin, end)
     text = np.searchsorted(at, window, side="right") - 1
     inside = window + length <= at[text + 1]
-    window, text, chosen = window[inside], text[inside], (reach[inside] & U64(0xFFFFFFFF)).astype(np.int64)
-    if not len(window):
-        return none
-    new = np.flatnonzero(np.append(True, (chosen[1:] != chosen[:-1]) | (text[1:] != text[:-1])))
-    chosen, text = chosen[new], text[new]
-    first, last = window[new], window[np.append(new[1:], len(window)) - 1]
-    low, high = np.maximum(at[text], chosen + GRAM - length), np.minimum(at[text + 1], chosen + length)
-    context = Joined(texts, base=BASES[1]).hashes(low, high) ^ mix((chosen - low).astype(U64) * U64(1009) + (high - chosen).astype(U64))
-    base = at[text]
-    return {"text": text, "place": chosen - base, "hash": grams[chosen].view(np.int64), "context": context.view(np.int64), "first": first - base, "last": last - base}
+    window, text, chosen = window[inside], text[inside], (least[inside] & U64(0xFFFFFFFF)).astype(np.int64)
+    new = np.flatnonzero(np.append(True, (chosen[1:] != chosen[:-1]) | (text[1:] != text[:-1]))[: len(window)])
+    last = window[np.append(new[1:], len(window))[: len(new)] - 1]
+    found, text = grams[chosen[new]].view(np.int64), text[new]
+    chosen = chosen[new] + begin
+    left, right = np.maximum(at[text], chosen + GRAM - length), np.minimum(at[text + 1], chosen + length)
+    context = Joined(piece, base=BASES[1]).hashes(left - low, right - low) ^ mix((chosen - left).astype(U64) * U64(1009) + (right - chosen).astype(U64))
+    return text, chosen, found, context.view(np.int64), window[new], last
+
+
+def _anchors(texts: pa.Array, length: int, block: int = BLOCK) -> dict[str, np.ndarray]:
+    """Per anchor: text number, place in it, hash, hash of its context, and first and last window that chose it.
+
+    Windows are taken ``block`` at a time, as hashes and choices take many times the bytes of the texts, and anchors do not.
+    """
+    joined = Joined(texts)
+    at, names = joined.at, ("text", "place", "hash", "context", "first", "last")
+    windows = len(joined.data) - length + 1
+    parts = [_chosen(joined.data, at, begin, min(begin + block, windows), length) for begin in range(0, windows, block)]
+    if not parts:
+        return {c: np.zeros(0, np.int64) for c in names}
+    out = dict(zip(names, map(np.concatenate, zip(*parts, strict=True)), strict=True))
+    # An anchor that windows of two blocks chose is one.
+    new = np.flatnonzero(np.append(True, out["place"][1:] != out["place"][:-1])[: len(out["place"])])
+    last = out["last"][np.append(new[1:], len(out["place"]))[: len(new)] - 1]
+    out = {c: v[new] for c, v in out.items()} | {"last": last}
+    base = at[out["text"]]
+    return out | {c: out[c] - base for c in ("place", "first", "last")}
 
 
 _FOUND = "kind int, hash long, context long, doc_id long, place long, first long, last long, crowd int"

@@ -5,6 +5,7 @@ import hashlib
 import random
 import re
 import shutil
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -555,6 +556,30 @@ def test_one_gram_in_many_contexts(spark, monkeypatch):
     assert out == repeats_plain(texts)
 
 
+def test_anchors_of_a_slice_take_little_memory():
+    text = random.Random(3).randbytes(1 << 21).hex()  # a slice of 4 MB
+    rindex._anchors(pa.array([text[:1000]]), 100)  # powers are kept
+    tracemalloc.start()
+    try:
+        rindex._anchors(pa.array([text]), 100)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 64 << 20  # several arrays of eight bytes for each byte of the slice took 340 MB
+
+
+@pytest.mark.parametrize("block", [1, 37, 100, 1000])
+def test_anchors_do_not_depend_on_blocks(block):
+    r = random.Random(8)
+    texts = [t for _, t in EDGES if t is None or len(t) < 100] + ["é" * 49, "é" * 50, "xy" * 300, "z" * 400]
+    texts += ["".join(r.choice("abcdé ") for _ in range(r.choice((60, 99, 100, 101, 700)))) for _ in range(8)]
+    texts += texts[-3:] + ["a"]
+    whole, parts = (rindex._anchors(pa.array(texts), 100, b) for b in (1 << 20, block))
+    assert len(whole["text"]) and all(np.array_equal(whole[c], parts[c]) for c in whole)
+    covered = collections.Counter((int(t), w) for t, a, b in zip(parts["text"], parts["first"], parts["last"], strict=True) for w in range(a, b + 1))
+    assert covered == {(t, w): 1 for t, x in enumerate(texts) for w in range(len((x or "").encode()) - 99)}
+
+
 def test_run_length_index():
     texts = [b"abcabcabcabc", b"abcabc", b"", b"xyz"]
     index = rindex.RunLengthIndex(texts)
