@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cartolake.llm.kernel import BASES, U64, Joined, in_group, later, mix
-from cartolake.llm.shared import as_bytes, mapped, slices, stored
+from cartolake.llm.shared import as_bytes, forget, mapped, slices, stored
 
 GRAM = 32
 #: Windows whose anchors are chosen at a time.
@@ -116,13 +116,13 @@ class RunLengthIndex:
 
     def first_of(self, order: np.ndarray, length: int) -> np.ndarray:
         """For every position, the least ``order`` among positions with the same ``length`` bytes; -1 near a text's end."""
-        shared = self.matching_statistics()
-        new = np.zeros(self.n, np.int32)
-        for at, row in self.walk():
-            new[row] = shared[at] < length
-        group, of = np.cumsum(new, dtype=np.int32), np.empty(self.n, np.int32)
+        rows = np.empty(self.n, np.int32)
         for at, row in self.walk():
-            of[at] = group[row]
+            rows[at] = row
+        new = np.zeros(self.n, np.int32)
+        new[rows] = self.matching_statistics() < length
+        group = np.cumsum(new, dtype=np.int32)
+        of = group[rows]
         least = np.full(int(group[-1]) + 1 if self.n else 0, np.iinfo(np.int64).max)
         np.minimum.at(least, of, order)
         out = least[of]
@@ -335,12 +335,14 @@ def meet(ahead: DataFrame) -> DataFrame:
 
 def repeat_marks(docs: DataFrame, length: int = 100) -> DataFrame:
     """(doc_id, first, last): ranges of places where a window of ``length`` bytes starts that also starts earlier."""
+    ranges = ["doc_id", "first", "last"]
     found = stored(anchors(docs, length), "anchors")
     settled = stored(settle(found.where("kind = 0")), "settled")
+    copied = stored(found.where("kind = 1").select(ranges), "copied")
+    forget(found)  # nearly all of it are anchors, which are settled
     around = contexts(docs, settled.where("kind = 2"), length)
     indexed = stored(index_marks(around, length), "indexed")
-    ranges = ["doc_id", "first", "last"]
-    marks = [found.where("kind = 1"), settled.where("kind = 1"), indexed.where("digest is null"), meet(indexed.where("digest is not null"))]
+    marks = [copied, settled.where("kind = 1"), indexed.where("digest is null"), meet(indexed.where("digest is not null"))]
     return reduce(DataFrame.union, [m.select(ranges) for m in marks])
 
 

@@ -18,7 +18,7 @@ from tokenizers import Tokenizer
 
 from cartolake.llm import exact_dedup as exact
 from cartolake.llm import quality_classifier as quality_classifier_module
-from cartolake.llm import minhash, packing, pii, rindex
+from cartolake.llm import minhash, packing, pii, rindex, shared
 from cartolake.llm import token_counts as token_counts_module
 from cartolake.llm.bpe import ByteBpe, bpe_digests, bpe_round_trip
 from cartolake.llm.em import fit_votes
@@ -556,6 +556,14 @@ def test_one_gram_in_many_contexts(spark, monkeypatch):
     assert out == repeats_plain(texts)
 
 
+def test_repeats_keep_no_settled_anchors(spark, monkeypatch, tmp_path):
+    for name, texts, marked in (("some", [(1, "ab " * 100), (2, None), (3, "ab " * 90)], {1, 3}), ("none", [(1, None)], set())):
+        monkeypatch.setattr(shared, "scratch", lambda _, table, name=name: str(tmp_path / name / table))
+        marks = rindex.repeat_marks(corpus(spark, texts, extra=False))
+        assert {p.name for p in (tmp_path / name).iterdir()} == {"settled", "copied", "indexed"}
+        assert {r.doc_id for r in marks.collect()} == marked
+
+
 def test_anchors_of_a_slice_take_little_memory():
     text = random.Random(3).randbytes(1 << 21).hex()  # a slice of 4 MB
     rindex._anchors(pa.array([text[:1000]]), 100)  # powers are kept
