@@ -31,7 +31,7 @@ def rows(frame):
 def test_query_writes_no_facts_and_only_its_edges(spark, name):
     A._written.clear()
     got = entry.queries()[name](spark, SF).toPandas()
-    assert {k[0] for k in A._written} <= {"node specs", "nodes", "edges"}
+    assert {k[0] for k in A._written} <= {"items", "nodes", "edges"}
     assert sorted(k[3] for k in A._written if k[0] == "edges") == READS[name]
     con = duckdb.connect()
     for f in os.listdir(SF):
@@ -44,18 +44,22 @@ def _parsed(spark, seed):
     r = random.Random(seed)
     some = lambda make: [make() for _ in range(r.randint(0, 3))]
     text = lambda *of: r.choice([*of, None, " "])
+    call = lambda: {"service": text("a", "b"), "method": text("m", "n"), "evidence": text("l1")}
     out = []
     for i in range(60):
         payload = {
-            "service": {"isPartOfService": r.random() < 0.8, "serviceName": text("a", "b"), "servicePurpose": text("p", "q")},
+            "service": {"isPartOfService": r.random() < 0.8, "serviceName": text("a", "b"), "servicePurpose": text("p", "q"), "techStack": r.choice([None, [], ["x"], ["x", "y"]])},
             "endpoints": {"endpoints": some(lambda: {"method": text("GET", "PUT"), "path": text("/x", "/y")})},
             "eventsPublished": {"publishes": some(lambda: {"name": text("e", "f"), "topic": text("t", "u")})},
             "eventsConsumed": {"consumes": some(lambda: {"name": text("e", "f"), "version": text("1")})},
             "storage": {"storages": some(lambda: {"name": text("s", "t"), "access": text("owns", "reads")})},
             "integrationContracts": {
                 "httpClientCalls": some(lambda: {"method": "get", "path": text("/x", "/y"), "evidence": text("l1", "l2")}),
+                "grpcClientCalls": some(call), "grpcServerImpls": some(call), "signalRHubMethods": some(call), "signalRClientInvokes": some(call),
+                "messagingConsumes": some(lambda: {"kind": "sqs", "queue": text("e", "f")}),
                 "messagingPublishes": some(lambda: {"kind": text("rabbitmq", "kafka"), "exchange": text("e", "f"), "routingKey": text("k", "l")}),
             },
+            "conventions": {"conventions": some(lambda: {"category": text("c", "d"), "name": text("n"), "description": text("1", "2")})},
         }
         out.append((r.choice("vw"), r.choice("rs"), f"f{i % 40}", r.choice("hi"), json.dumps(payload), r.randint(0, 3)))
     df = spark.createDataFrame(out, "workspace_id string, repo_id string, file_path string, content_hash string, extraction_payload string, t int")
@@ -71,7 +75,7 @@ def test_distinct_facts_merge_to_the_same_graph(spark, seed):
     parsed, now = _parsed(spark, seed), F.lit(0).cast("timestamp")
     emitted = project.facts(parsed).localCheckpoint()
     want = graph_write.upsert_nodes(spark.createDataFrame([], NODES), project.node_rows(emitted), now)
-    specs = project.distinct_node_rows(parsed).localCheckpoint()
+    specs = project.distinct_node_rows(project.distinct_items(parsed)).localCheckpoint()
     assert _sorted(graph_write.upsert_nodes(spark.createDataFrame([], NODES), specs, now)) == _sorted(want)
     assert specs.agg(F.sum("specs")).first()[0] == emitted.count() > specs.count()
     edges = graph_write.upsert_edges(spark.createDataFrame([], EDGES), project.edge_rows(emitted), want, now)
