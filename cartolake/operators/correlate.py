@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from cartolake.functions.exprs import blank, file_stem, normalise_path, normalised_name
 from cartolake.operators import manifests
 from cartolake.operators.project import facts, node_id, service_name
+from cartolake.sources.scratch import stored
 
 #: Endings that mark a use case, in their order of trial, with kinds.
 CAPABILITY_SUFFIXES = {
@@ -22,11 +23,15 @@ AWSSDK Stripe Twilio Npgsql EntityFramework xunit Moq NUnit Castle MongoDB Confl
 STRUCTURAL_RELATIONS = ["imports", "import", "calls", "depends_on", "uses"]
 
 
-def first_of(rows: DataFrame, key: list[str], column: str, n: int, name: str) -> DataFrame:
+def first_of(rows: DataFrame, key: list[str], column: str, n: int, name: str, repeats: bool = True) -> DataFrame:
     """(key, name): the first ``n`` distinct values of each key. Ranks are cut before values are brought together, so no
-    group is larger than ``n`` of each task."""
-    r = F.row_number().over(Window.partitionBy(*key).orderBy(column))
-    first = rows.select(*key, column).distinct().withColumn("__r", r).where(F.col("__r") <= n)
+    group is larger than ``n`` of each task. Without ``repeats`` values hardly occur twice, as paths of files: ranks are then cut
+    before rows are dealt out, and copies go afterwards."""
+    w = Window.partitionBy(*key).orderBy(column)
+    if repeats:
+        first = rows.select(*key, column).distinct().withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= n)
+    else:
+        first = rows.select(*key, column).withColumn("__r", F.dense_rank().over(w)).where(F.col("__r") <= n).select(*key, column).distinct()
     return first.groupBy(*key).agg(F.array_sort(F.collect_list(column)).alias(name))
 
 
@@ -36,9 +41,11 @@ def summarize_services(parsed: DataFrame) -> DataFrame:
     digest = F.sha2(F.concat_ws("|", F.coalesce(c["category"], F.lit("")), F.coalesce(c["name"], F.lit("")), F.coalesce(c["description"], F.lit(""))), 256)
     rows = parsed.withColumn("service", service_name()).where(F.col("service").isNotNull())
     key = ["workspace_id", "repo_id", "service"]
-    counts = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("file_count")).join(first_of(rows, key, "file_path", 5, "files"), key)
-    hashes = rows.select(*key, F.explode("rec.conventions.conventions").alias("c")).select(*key, digest.alias("h"))
-    hashes = first_of(hashes, key, "h", 10, "convention_hashes")
+    # One pass gives files and digests: a file counts at its first convention, or without any.
+    listed = rows.select(*key, F.posexplode_outer("rec.conventions.conventions").alias("at", "c")).groupBy(*key, "c").agg(F.count_if(F.coalesce("at", F.lit(0)) == 0).alias("files"), F.count("at").alias("listed"))
+    listed = stored(listed.select(*key, "files", F.when(F.col("listed") > 0, digest).alias("h")), "services")
+    counts = listed.groupBy(*key).agg(F.sum("files").alias("file_count")).join(first_of(rows, key, "file_path", 5, "files", repeats=False), key)
+    hashes = first_of(listed.where("h is not null"), key, "h", 10, "convention_hashes")
     return counts.join(hashes, key, "left").withColumn("convention_hashes", F.coalesce("convention_hashes", F.array().cast("array<string>")))
 
 
@@ -53,7 +60,7 @@ def event_mentions(parsed: DataFrame) -> DataFrame:
 def summarize_events(parsed: DataFrame) -> DataFrame:
     """(workspace_id, repo_id, event, directions, files): directions as publish before consume."""
     key, m = ["workspace_id", "repo_id", "event"], event_mentions(parsed)
-    return m.groupBy(*key).agg(F.sort_array(F.collect_set("direction"), asc=False).alias("directions")).join(first_of(m, key, "file_path", 5, "files"), key)
+    return m.groupBy(*key).agg(F.sort_array(F.collect_set("direction"), asc=False).alias("directions")).join(first_of(m, key, "file_path", 5, "files", repeats=False), key)
 
 
 def summarize_storages(parsed: DataFrame) -> DataFrame:
@@ -61,7 +68,7 @@ def summarize_storages(parsed: DataFrame) -> DataFrame:
     none = lambda c: F.coalesce(c, F.lit(""))
     rows = parsed.select("workspace_id", "repo_id", "file_path", F.explode("rec.storage.storages").alias("s")).select("workspace_id", "repo_id", "file_path", none("s.name").alias("name"), none("s.type").alias("type"), none("s.access").alias("access"))
     key = ["workspace_id", "repo_id", "name", "type", "access"]
-    return rows.groupBy(*key).agg(F.count(F.lit(1)).alias("file_count")).join(first_of(rows, key, "file_path", 5, "files"), key)
+    return rows.groupBy(*key).agg(F.count(F.lit(1)).alias("file_count")).join(first_of(rows, key, "file_path", 5, "files", repeats=False), key)
 
 
 def summary_hash(summary: DataFrame) -> DataFrame:
@@ -308,7 +315,7 @@ def merge_services(parsed: DataFrame, files: int = 50) -> DataFrame:
     key = ["workspace_id", "key"]
     rows = parsed.withColumn("service", service_name()).where("service is not null").select("workspace_id", normalised_name(F.col("service")).alias("key"), "service", "file_path")
     out = rows.groupBy(*key).agg(F.min("service").alias("canonical"), F.array_sort(F.collect_set("service")).alias("aliases"), F.count(F.lit(1)).alias("file_count"))
-    return out.join(first_of(rows, key, "file_path", files, "source_files"), key)
+    return out.join(first_of(rows, key, "file_path", files, "source_files", repeats=False), key)
 
 
 def record_conflicts(conflicts: DataFrame) -> DataFrame:

@@ -16,3 +16,25 @@ def test_linked_services_are_formed_once(spark):
     got = [tuple(x) for x in graph_read.linked_services(df(p, "a"), df(c, "b")).collect()]
     want = {("w", a, i, b, j) for _, e, a, i in p for _, f, b, j in c if e == f and a != b}
     assert len(got) == len(set(got)) and set(got) == want
+
+
+FILES = "workspace_id string, repo_id string, service string, file_path string"
+
+
+def test_first_files_are_cut_before_rows_are_dealt_out(spark):
+    rows = [("w", "r", "s", f"f{i % 90:02}") for i in range(200)]
+    out = correlate.first_of(spark.createDataFrame(rows, FILES).repartition(3), ["workspace_id", "service"], "file_path", 5, "files", repeats=False)
+    assert [x.files for x in out.collect()] == [["f00", "f01", "f02", "f03", "f04"]]
+    plan = out._jdf.queryExecution().sparkPlan().toString()
+    assert plan.index("HashAggregate") < plan.index("WindowGroupLimit")  # copies go after the cut
+
+
+def test_services_are_summarized_in_two_passes(spark):
+    convention = "array<struct<category string, name string, description string>>"
+    parsed = spark.createDataFrame(
+        [("w", "r", "a", ((True, "s"), ([("c", "n", None), ("c", "n", None), ("c", "m", "d")],))), ("w", "r", "b", ((True, "s"), ([],))), ("w", "r", "c", ((True, "s"), None)), ("w", "r", "d", ((True, "t"), None)), ("w", "r", "e", ((False, "t"), None))],
+        f"workspace_id string, repo_id string, file_path string, rec struct<service struct<isPartOfService boolean, serviceName string>, conventions struct<conventions {convention}>>",
+    )
+    out = correlate.summarize_services(parsed)
+    assert {(x.service, x.file_count, tuple(x.files), len(x.convention_hashes)) for x in out.collect()} == {("s", 3, ("a", "b", "c"), 2), ("t", 1, ("d",), 0)}
+    assert out._jdf.queryExecution().sparkPlan().toString().count("ExistingRDD") == 1  # the other pass is written
