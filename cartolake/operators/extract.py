@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 #: Prompts that every file gets, and US dollars per million tokens in and out.
 PROMPTS = ["service", "endpoints", "events_published", "events_consumed", "storage", "conventions", "integration_contracts"]
+BATCH_BYTES = 8 << 20  # of prompts on their way to a worker
 PRICES = {"small": (Decimal("0.80"), Decimal("4.00")), "large": (Decimal("3.00"), Decimal("15.00"))}
 
 
@@ -86,18 +87,18 @@ def assemble_record(results: DataFrame) -> DataFrame:
     return results.groupBy("workspace_id", "repo_id", "path").pivot("prompt_id", PROMPTS).agg(F.max("result"))
 
 
-def extract_with(requests: DataFrame, answer: Callable[[pd.Series], pd.Series]) -> DataFrame:
-    """Answers requests with the caller's function over batches of prompts."""
+def extract_with(requests: DataFrame, answer: Callable[[pd.Series], pd.Series], most: int = 256) -> DataFrame:
+    """Answers requests with the caller's function over up to ``most`` prompts at once. Only prompts go to the workers, and only answers
+    come back; the other columns, and prompts that nobody reads on, stay where they are."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            yield frame.assign(result=answer(frame["prompt"]))
+    @F.pandas_udf("string")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for prompts in batches:
+            parts = [answer(prompts.iloc[i : i + most].reset_index(drop=True)) for i in range(0, len(prompts), most)]
+            yield pd.concat(parts, ignore_index=True) if parts else prompts
 
-    return requests.mapInPandas(run, _with_result(requests))
-
-
-def _with_result(df: DataFrame) -> str:
-    return ", ".join(f"`{n}` {t}" for n, t in df.dtypes) + ", result string"
+    requests.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return requests.withColumn("result", run.asNondeterministic()(F.col("prompt")))  # nobody is asked twice
 
 
 _ATTRIBUTE = r"\[Http(Get|Post|Put|Delete|Patch)(?:\(\s*\"([^\"]*)\"[^)]*\))?\]"

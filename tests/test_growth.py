@@ -38,3 +38,11 @@ def test_services_are_summarized_in_two_passes(spark):
     out = correlate.summarize_services(parsed)
     assert {(x.service, x.file_count, tuple(x.files), len(x.convention_hashes)) for x in out.collect()} == {("s", 3, ("a", "b", "c"), 2), ("t", 1, ("d",), 0)}
     assert out._jdf.queryExecution().sparkPlan().toString().count("ExistingRDD") == 1  # the other pass is written
+
+
+def test_prompts_alone_go_to_workers(spark):
+    rows = spark.range(1000).select("id", F.concat(F.lit("p"), F.col("id").cast("string")).alias("prompt")).coalesce(1)
+    out = extract.extract_with(rows, lambda prompts: pd.Series([f"{len(prompts)}:{p}" for p in prompts]))
+    got = {x.id: x.result for x in out.collect()}
+    assert len(got) == 1000 and all(v.split(":")[1] == f"p{k}" and int(v.split(":")[0]) <= 256 for k, v in got.items())
+    assert "MapInPandas" not in out._jdf.queryExecution().executedPlan().toString()
