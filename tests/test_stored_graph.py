@@ -19,6 +19,9 @@ ALL = sorted(project.EDGE_SECTIONS)
 READS = {
     "r1_get_service": [],
 }
+#: The same for queries whose plans alone are looked at.
+PLANS = {
+}
 
 
 def rows(frame):
@@ -39,6 +42,38 @@ def test_query_writes_no_facts_and_only_its_edges(spark, name):
     assert rows(got) == rows(con.sql(entry.oracle_sql()[name]).df())
 
 
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+@pytest.mark.parametrize("name", PLANS)
+def test_query_asks_for_its_edges_only(spark, monkeypatch, name):
+    asked = []
+
+    def edges(spark, sf_dir, labels=None):
+        asked.extend(ALL if labels is None else labels)
+        return spark.createDataFrame([], EDGES)
+
+    def emitted(*_):
+        raise AssertionError("all facts are written")
+
+    monkeypatch.setattr(A, "emitted", emitted)
+    monkeypatch.setattr(A, "nodes", lambda spark, sf_dir: spark.createDataFrame([], NODES), raising=False)
+    monkeypatch.setattr(A, "edges", edges, raising=False)
+    A._written.clear()
+    entry.queries()[name](spark, SF)
+    assert sorted(set(asked)) == PLANS[name]
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+@pytest.mark.parametrize("name", ["g16_project_all", "w1_upsert_nodes", "w2_upsert_edges", "w6_apply_batch"])
+def test_merges_take_distinct_specs(spark, monkeypatch, name):
+    def facts(*_, **__):
+        raise AssertionError("every fact is projected")
+
+    monkeypatch.setattr(A, "facts", facts)
+    monkeypatch.setattr(project, "facts", facts)
+    A._written.clear()
+    entry.queries()[name](spark, SF)
+
+
 def _parsed(spark, seed):
     """Random files: services with and without name, the same targets in several sections, times that tie."""
     r = random.Random(seed)
