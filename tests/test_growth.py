@@ -8,6 +8,33 @@ from pyspark.sql import functions as F
 from cartolake.operators import context, correlate, extract, graph_read
 
 
+def _skills(n):
+    r = random.Random(1)
+    words = ["bolt", "gear", "ring", "valve"]
+    return [("w", f"n{i:03}", f"{r.choice(words)} {r.choice(words)}", r.choice(words), [r.choice(["add gear", "ring"])], True) for i in range(n)]
+
+
+SKILLS = "workspace_id string, name string, title string, description string, triggers array<string>, enabled boolean"
+
+
+def test_skills_that_score_alike_are_scored_once(spark, monkeypatch):
+    rows, asked = _skills(1000), []
+    inner = context.containing
+    monkeypatch.setattr(context, "containing", lambda needles, texts: (asked.append(needles.count()), inner(needles, texts))[1])
+    queries = [("w", i, q) for i, q in enumerate(["Add gear to bolt", "ring", "add gear to bolt", "valves", "none"])]
+    got = context.match_skills(spark.createDataFrame(rows, SKILLS), spark.createDataFrame(queries, "workspace_id string, query_id int, query string")).collect()
+    want = set()
+    for _, i, q in queries:
+        scored = []
+        for _, name, title, description, triggers, _ in rows:
+            has = lambda w, q=q: w in q.lower()
+            score = sum(3.0 for t in triggers if has(t)) + sum(1.0 for w in set(title.split()) if has(w)) + sum(0.5 for w in set(description.split()) if has(w))
+            scored += [(-score, name)] if score else []
+        want |= {("w", i, name, -s, r) for r, (s, name) in enumerate(sorted(scored)[:3], 1)}
+    assert {tuple(x) for x in got} == want and want
+    assert asked[0] < 500  # needles of classes, not of skills
+
+
 def test_linked_services_are_formed_once(spark):
     r = random.Random(2)
     make = lambda: sorted({("w", r.choice("efg"), (s := r.choice("abcdefgh")), s.upper()) for _ in range(30)})
