@@ -73,3 +73,14 @@ def test_prompts_alone_go_to_workers(spark):
     got = {x.id: x.result for x in out.collect()}
     assert len(got) == 1000 and all(v.split(":")[1] == f"p{k}" and int(v.split(":")[0]) <= 256 for k, v in got.items())
     assert "MapInPandas" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_counted_edges_are_not_dealt_out(spark):
+    nodes = spark.createDataFrame([("w", "Service", x) for x in "ab"] + [("v", "Service", "c")], "workspace_id string, label string, id string")
+    e = [("w", "CALLS", "a", "b"), ("w", "CALLS", "a", "c"), ("w", "CALLS", "x", "b"), ("w", "EXPOSES", "b", None), ("w", None, "a", "b"), ("v", "CALLS", "c", "c")]
+    edges = spark.createDataFrame(e, "workspace_id string, label string, source_id string, target_id string")
+    out = graph_read.count_edges_per_label(nodes, edges)
+    assert {(x.workspace_id, x.label, x.n) for x in out.collect() if x.n} == {("w", "CALLS", 1), ("v", "CALLS", 1)}
+    plan = out._jdf.queryExecution().sparkPlan().toString().splitlines()
+    assert [x for x in plan if "LeftAnti" in x] == [x for x in plan if "BroadcastHashJoin" in x and "LeftAnti" in x] != []
+    assert not any("LeftSemi" in x for x in plan)
