@@ -22,6 +22,7 @@ READS = {
 #: The same for queries whose plans alone are looked at.
 PLANS = {
     "p17_graph_totals": ALL,
+    "q8_dismiss_orphaned": [],
 }
 
 
