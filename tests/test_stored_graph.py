@@ -23,6 +23,7 @@ READS = {
 PLANS = {
     "p17_graph_totals": ALL,
     "q8_dismiss_orphaned": [],
+    "r16_callers_by_id": ["CALLS"],
 }
 
 
