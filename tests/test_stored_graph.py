@@ -24,6 +24,7 @@ PLANS = {
     "p17_graph_totals": ALL,
     "q8_dismiss_orphaned": [],
     "r16_callers_by_id": ["CALLS"],
+    "r20_callers_of_service": ["CALLS", "EXPOSES"],
 }
 
 
