@@ -25,6 +25,7 @@ PLANS = {
     "q8_dismiss_orphaned": [],
     "r16_callers_by_id": ["CALLS"],
     "r20_callers_of_service": ["CALLS", "EXPOSES"],
+    "r21_legend_counts": [],
 }
 
 
