@@ -26,6 +26,7 @@ PLANS = {
     "r16_callers_by_id": ["CALLS"],
     "r20_callers_of_service": ["CALLS", "EXPOSES"],
     "r21_legend_counts": [],
+    "r2_list_services": [],
 }
 
 
