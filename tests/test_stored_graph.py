@@ -27,6 +27,7 @@ PLANS = {
     "r20_callers_of_service": ["CALLS", "EXPOSES"],
     "r21_legend_counts": [],
     "r2_list_services": [],
+    "r5_event_consumers": ["CONSUMES"],
 }
 
 
