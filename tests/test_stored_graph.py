@@ -28,6 +28,7 @@ PLANS = {
     "r21_legend_counts": [],
     "r2_list_services": [],
     "r5_event_consumers": ["CONSUMES"],
+    "r8_conventions": [],
 }
 
 
