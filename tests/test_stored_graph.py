@@ -29,6 +29,7 @@ PLANS = {
     "r2_list_services": [],
     "r5_event_consumers": ["CONSUMES"],
     "r8_conventions": [],
+    "r9_nodes_by_label": [],
 }
 
 
