@@ -30,6 +30,7 @@ PLANS = {
     "r5_event_consumers": ["CONSUMES"],
     "r8_conventions": [],
     "r9_nodes_by_label": [],
+    "w10_schema_drift": ALL,
 }
 
 
