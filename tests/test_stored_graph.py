@@ -31,6 +31,7 @@ PLANS = {
     "r8_conventions": [],
     "r9_nodes_by_label": [],
     "w10_schema_drift": ALL,
+    "w11_check_property_keys": [],
 }
 
 
