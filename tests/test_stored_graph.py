@@ -32,6 +32,7 @@ PLANS = {
     "r9_nodes_by_label": [],
     "w10_schema_drift": ALL,
     "w11_check_property_keys": [],
+    "w14_schema_report": ALL,
 }
 
 
