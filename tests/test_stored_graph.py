@@ -33,6 +33,7 @@ PLANS = {
     "w10_schema_drift": ALL,
     "w11_check_property_keys": [],
     "w14_schema_report": ALL,
+    "w9_skip_invalid": [],
 }
 
 
