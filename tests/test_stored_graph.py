@@ -34,6 +34,7 @@ PLANS = {
     "w11_check_property_keys": [],
     "w14_schema_report": ALL,
     "w9_skip_invalid": [],
+    "q10_dangling_endpoints": ALL,
 }
 
 
