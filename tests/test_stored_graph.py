@@ -35,6 +35,7 @@ PLANS = {
     "w14_schema_report": ALL,
     "w9_skip_invalid": [],
     "q10_dangling_endpoints": ALL,
+    "p8_summary": ALL,
 }
 
 
