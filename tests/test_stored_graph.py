@@ -36,6 +36,7 @@ PLANS = {
     "w9_skip_invalid": [],
     "q10_dangling_endpoints": ALL,
     "p8_summary": ALL,
+    "q3_related_degree": [],
 }
 
 
