@@ -37,6 +37,7 @@ PLANS = {
     "q10_dangling_endpoints": ALL,
     "p8_summary": ALL,
     "q3_related_degree": [],
+    "q9_duplicate_services": [],
 }
 
 
