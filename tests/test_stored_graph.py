@@ -38,6 +38,7 @@ PLANS = {
     "p8_summary": ALL,
     "q3_related_degree": [],
     "q9_duplicate_services": [],
+    "r10_node_detail": ALL,
 }
 
 
