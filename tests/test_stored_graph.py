@@ -39,6 +39,7 @@ PLANS = {
     "q3_related_degree": [],
     "q9_duplicate_services": [],
     "r10_node_detail": ALL,
+    "r11_count_nodes_per_label": [],
 }
 
 
