@@ -40,6 +40,7 @@ PLANS = {
     "q9_duplicate_services": [],
     "r10_node_detail": ALL,
     "r11_count_nodes_per_label": [],
+    "r13_service_neighborhood": ["CONSUMES", "DEPENDS_ON", "EXPOSES", "PUBLISHES"],
 }
 
 
