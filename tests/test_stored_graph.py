@@ -18,6 +18,7 @@ ALL = sorted(project.EDGE_SECTIONS)
 #: Queries, and the labels of the edges that they write.
 READS = {
     "r1_get_service": [],
+    "st6_sweep": ALL,
 }
 #: The same for queries whose plans alone are looked at.
 PLANS = {
